@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from windrow.functions.columns import EPSILON, bin_index
 from windrow.functions.kolmogorov import p_value
-from windrow.operators.ranks import value_cuts, wide_quantiles, with_range
+from windrow.operators.ranks import sketched_cuts, wide_quantiles, with_range
 from windrow.operators.samples import BASELINE, CURRENT, of_features
 from windrow.schema import FEATURES
 
@@ -217,8 +217,10 @@ def ks_2samp(
 ) -> DataFrame:
     """Two-sample KS statistic, exact over any number of distinct values, and its two-sided p."""
     counted = tally(of_features(samples, features))
-    sizes = counted.groupBy("feature_name").agg(F.sum("base").alias("n_base"), F.sum("curr").alias("n_curr"))
-    ranged = with_range(counted, value_cuts(counted)).join(F.broadcast(sizes), "feature_name")
+    sides = counted.groupBy("feature_name").agg(
+        F.sum("base").alias("n_base"), F.sum("curr").alias("n_curr"), sketched_cuts("value").alias("cuts")
+    )
+    ranged = with_range(counted.join(F.broadcast(sides), "feature_name"))
     largest = with_largest_gap(range_gaps(ranged, "n_base", "n_curr"))
     per_feature = largest.groupBy("feature_name").agg(
         F.max("d").alias("d"), F.max("n_base").alias("n_base"), F.max("n_curr").alias("n_curr")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from windrow.functions.columns import psi_severity
@@ -21,7 +21,7 @@ from windrow.operators.distribution import (
     with_largest_gap,
     z_columns,
 )
-from windrow.operators.ranks import value_cuts, with_range
+from windrow.operators.ranks import sketched_cuts, with_range
 from windrow.operators.samples import of_features
 from windrow.schema import FEATURES
 
@@ -49,33 +49,46 @@ def detect_drift(
     The values are shuffled once, as counts per distinct value; profile, cuts and bins all read that shuffle.
     """
     counted = tally(of_features(samples, features))
-    has_base = counted.groupBy("feature_name").agg((F.sum("base") == 0).alias("baseline_missing"))
-    counted = (
-        counted.join(F.broadcast(has_base), "feature_name")
-        .withColumn("base", F.when(F.col("baseline_missing"), F.col("curr")).otherwise(F.col("base")))
-    )
-
     value, base, curr = F.col("value"), F.col("base"), F.col("curr")
-    in_base = F.when(base > 0, value)
+
+    def side_profile(side: Column, name: str) -> list[Column]:
+        present = F.when(side > 0, value)
+        return [
+            F.sum(side).alias(f"n_{name}"),
+            F.min(present).alias(f"low_{name}"),
+            F.max(present).alias(f"high_{name}"),
+            (F.sum(value * side) / F.nullif(F.sum(side), F.lit(0))).alias(f"mean_{name}"),
+        ]
+
     profile = counted.groupBy("feature_name").agg(
-        F.sum("base").alias("n_base"),
-        F.sum("curr").alias("n_curr"),
-        F.min(in_base).alias("low"),
-        F.max(in_base).alias("high"),
-        F.min("value").alias("joint_low"),
-        F.max("value").alias("joint_high"),
-        (F.sum(value * base) / F.sum("base")).alias("mean_base"),
-        (F.sum(value * curr) / F.nullif(F.sum("curr"), F.lit(0))).alias("mean_curr"),
+        *side_profile(base, "base"), *side_profile(curr, "curr"), sketched_cuts("value").alias("cuts")
     )
+    missing = F.col("n_base") == 0
+    # Without baseline the current side stands in for it.
+    constants = {
+        "baseline_missing": missing,
+        **{c: F.when(missing, F.col(f"{c}_curr")).otherwise(F.col(f"{c}_base")) for c in ("low", "high")},
+        "n_base": F.when(missing, F.col("n_curr")).otherwise(F.col("n_base")),
+        "n_curr": F.col("n_curr"),
+        "mean_base": F.when(missing, F.col("mean_curr")).otherwise(F.col("mean_base")),
+        "mean_curr": F.col("mean_curr"),
+        "joint_low": F.least("low_base", "low_curr"),
+        "joint_high": F.greatest("high_base", "high_curr"),
+    }
+    profile = profile.filter("n_curr > 0").select(
+        "feature_name",
+        *[column.alias(name) for name, column in constants.items()],
+        "cuts",
+    )
+
     off_mean = value - F.col("mean_base")
     ranged = (
-        with_range(counted, value_cuts(counted))
-        .join(F.broadcast(profile.filter("n_curr > 0")), "feature_name")
+        with_range(counted.join(F.broadcast(profile), "feature_name"))
+        .withColumn("base", F.when(F.col("baseline_missing"), curr).otherwise(base))
         .withColumn("psi_bin", psi_bin(value, F.col("low"), F.col("high")))
         .withColumn("kl_bin", kl_bin(value, F.col("joint_low"), F.col("joint_high")))
         .withColumn("squares", base * off_mean * off_mean)
     )
-    constants = ["baseline_missing", *[c for c in profile.columns if c != "feature_name"]]
     # Bins ascend with the range, so a feature has at most (ranges + bins) of these groups.
     small = with_largest_gap(
         range_gaps(ranged, "psi_bin", "kl_bin", *constants, aggregates=[F.sum("squares").alias("squares")])

@@ -11,16 +11,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Bounds of what is broadcast per group: about _SAMPLE values are collected, every _STRIDE-th is a cut.
+# Bounds of what is broadcast per group: cuts are every _STRIDE-th of about _SAMPLE values. The search for
+# a value's range takes one step per bit, and finds up to 2 ** _SEARCH_BITS - 1 cuts.
 _SAMPLE = 16_384
 _STRIDE = 16
-_FANOUT = 32
+_SEARCH_BITS = 11
 
 
 def value_cuts(counted: DataFrame, group: str = "feature_name", value: str = "value") -> DataFrame:
-    """Per group an ordered array of ``cuts``, at most about a thousand, and every 32nd as ``heads``.
+    """Per group an ascending array of about a thousand ``cuts``. ``counted`` has one row per distinct value.
 
-    ``counted`` has one row per distinct value. The hash keeps one value in ``n / 16384`` of ``n``.
+    The cuts are chosen by hash, one value in ``n / 16384`` of ``n``, and so are a function of the data.
     """
     size = counted.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
     keep_one_in = F.greatest(F.lit(1), F.ceil(F.col("_n") / _SAMPLE))
@@ -30,32 +31,31 @@ def value_cuts(counted: DataFrame, group: str = "feature_name", value: str = "va
         .groupBy(group)
         .agg(F.array_sort(F.collect_list(value)).alias("_sample"))
     )
+    every = F.filter("_sample", lambda _, i: i % _STRIDE == 0)
+    return sampled.select(group, every.alias("cuts"))
 
-    def every(array: Column, step: int) -> Column:
-        return F.filter(array, lambda _, i: i % step == 0)
 
-    return sampled.select(group, every(F.col("_sample"), _STRIDE).alias("cuts")).withColumn(
-        "heads", every(F.col("cuts"), _FANOUT)
-    )
+def sketched_cuts(value: str | Column) -> Column:
+    """Aggregate: about a thousand cuts from a quantile sketch.
 
+    Cheaper than ``value_cuts``, but a sketch depends on the order in which it is merged. It is for plans that
+    read the cuts in one place and whose result is the same for any cuts.
+    """
+    return F.percentile_approx(value, [i / 1024 for i in range(1, 1024)], F.lit(10_000))
 
-def with_range(counted: DataFrame, cuts: DataFrame, group: str = "feature_name", value: str = "value") -> DataFrame:
-    """Adds ``range_id``, ascending with the value. The search looks at heads, then at one stretch of cuts."""
 
-    def at_or_below(array: Column) -> Column:
-        return F.size(F.filter(array, lambda cut: cut <= F.col(value)))
+def with_range(counted: DataFrame, value: str = "value") -> DataFrame:
+    """Replaces ``cuts`` by ``range_id``, ascending with the value: the number of cuts at or below it.
 
-    head = at_or_below(F.col("heads"))
-    stretch = F.slice("cuts", (F.col("_head") - 1) * _FANOUT + 1, _FANOUT)
-    return (
-        counted.join(F.broadcast(cuts), group, "left")
-        .withColumn("_head", F.coalesce(head, F.lit(0)))
-        .withColumn(
-            "range_id",
-            F.when(F.col("_head") <= 0, F.lit(0)).otherwise((F.col("_head") - 1) * _FANOUT + at_or_below(stretch)),
-        )
-        .drop("cuts", "heads", "_head")
-    )
+    A binary search written as one projection per step. Steps compile into straight-line code over the
+    broadcast array, where a lambda over the array would be interpreted and the array copied with each row.
+    """
+    found = counted.withColumn("range_id", F.lit(0))
+    for bit in reversed(range(_SEARCH_BITS)):
+        step = 1 << bit
+        beyond = F.get("cuts", F.col("range_id") + (step - 1)) <= F.col(value)
+        found = found.withColumn("range_id", F.col("range_id") + F.when(beyond, step).otherwise(0))
+    return found.drop("cuts")
 
 
 def quantiles(
@@ -67,7 +67,8 @@ def quantiles(
     holding a wanted rank are sorted.
     """
     counted = rows.groupBy(group, value).agg(F.count(F.lit(1)).alias("n"))
-    ranged = with_range(counted, value_cuts(counted, group, value), group, value)
+    cuts = value_cuts(counted, group, value)
+    ranged = with_range(counted.join(F.broadcast(cuts), group), value)
 
     ordered = Window.partitionBy(group).orderBy("range_id")
     totals = (
@@ -85,17 +86,11 @@ def quantiles(
         .filter((F.col("rank") >= F.col("_before")) & (F.col("rank") < F.col("_before") + F.col("_in_range")))
         .select(group, "range_id", "p", "rank", "weight", "_before")
     )
-    needed = targets.select(group, "range_id").distinct()
-    in_range = Window.partitionBy(group, "range_id").orderBy(value)
-    ranked = ranged.join(F.broadcast(needed), [group, "range_id"], "left_semi").withColumn(
-        "_upto", F.sum("n").over(in_range.rowsBetween(Window.unboundedPreceding, 0))
-    )
+    in_range = Window.partitionBy(group, "range_id", "p", "rank").orderBy(value)
     return (
-        ranked.join(F.broadcast(targets), [group, "range_id"])
-        .filter(
-            (F.col("rank") < F.col("_before") + F.col("_upto"))
-            & (F.col("rank") >= F.col("_before") + F.col("_upto") - F.col("n"))
-        )
+        ranged.join(F.broadcast(targets), [group, "range_id"])
+        .withColumn("_upto", F.col("_before") + F.sum("n").over(in_range.rowsBetween(Window.unboundedPreceding, 0)))
+        .filter((F.col("rank") < F.col("_upto")) & (F.col("rank") >= F.col("_upto") - F.col("n")))
         .groupBy(group, "p")
         .agg(F.min(value).alias("_low"), F.max(value).alias("_high"), F.min_by("weight", "rank").alias("_low_weight"))
         .select(
