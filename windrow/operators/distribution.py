@@ -22,7 +22,13 @@ N_BINS = 10
 _KL_WIDEN = 1e-9
 _KL_SMOOTH = 1e-10
 
-_BASE, _CURR = F.col("side") == BASELINE, F.col("side") == CURRENT
+
+def _base() -> Column:
+    return F.col("side") == BASELINE
+
+
+def _curr() -> Column:
+    return F.col("side") == CURRENT
 
 
 # PSI -----------------------------------------------------------------------------------------------------
@@ -69,13 +75,14 @@ def _binned(samples: DataFrame, edges: DataFrame, bin_of, n_bins: int) -> DataFr
         samples.join(F.broadcast(edges), "feature_name")
         .withColumn("bin", bin_of(F.col("value"), F.col("low"), F.col("high"), n_bins))
         .groupBy("feature_name", *constants, "bin")
-        .agg(F.count_if(_BASE).alias("base"), F.count_if(_CURR).alias("curr"))
+        .agg(F.count_if(_base()).alias("base"), F.count_if(_curr()).alias("curr"))
         .groupBy("feature_name", *constants)
         .agg(counts_per_bin("bin", "base", n_bins).alias("base"), counts_per_bin("bin", "curr", n_bins).alias("curr"))
     )
 
 
-_SCORED = [F.col(c) for c in ("base", "curr", "n_base", "n_curr", "low", "high")]
+def _scored() -> list[Column]:
+    return [F.col(c) for c in ("base", "curr", "n_base", "n_curr", "low", "high")]
 
 
 def psi(samples: DataFrame, n_bins: int = N_BINS, features: Sequence[str] = FEATURES) -> DataFrame:
@@ -83,12 +90,12 @@ def psi(samples: DataFrame, n_bins: int = N_BINS, features: Sequence[str] = FEAT
     samples = of_features(samples, features)
     value = F.col("value")
     edges = samples.groupBy("feature_name").agg(
-        F.min(F.when(_BASE, value)).alias("low"),
-        F.max(F.when(_BASE, value)).alias("high"),
-        F.count_if(_BASE).alias("n_base"),
-        F.count_if(_CURR).alias("n_curr"),
+        F.min(F.when(_base(), value)).alias("low"),
+        F.max(F.when(_base(), value)).alias("high"),
+        F.count_if(_base()).alias("n_base"),
+        F.count_if(_curr()).alias("n_curr"),
     )
-    return _binned(samples, edges, psi_bin, n_bins).select("feature_name", psi_score(*_SCORED).alias("psi_score"))
+    return _binned(samples, edges, psi_bin, n_bins).select("feature_name", psi_score(*_scored()).alias("psi_score"))
 
 
 # KL ------------------------------------------------------------------------------------------------------
@@ -119,10 +126,10 @@ def kl_divergence(samples: DataFrame, n_bins: int = N_BINS, features: Sequence[s
     edges = samples.groupBy("feature_name").agg(
         F.min(value).alias("low"),
         F.max(value).alias("high"),
-        F.count_if(_BASE).alias("n_base"),
-        F.count_if(_CURR).alias("n_curr"),
+        F.count_if(_base()).alias("n_base"),
+        F.count_if(_curr()).alias("n_curr"),
     )
-    return _binned(samples, edges, kl_bin, n_bins).select("feature_name", kl_score(*_SCORED).alias("kl_divergence"))
+    return _binned(samples, edges, kl_bin, n_bins).select("feature_name", kl_score(*_scored()).alias("kl_divergence"))
 
 
 # Z score -------------------------------------------------------------------------------------------------
@@ -147,9 +154,9 @@ def z_score(samples: DataFrame, threshold: float = 3.0, features: Sequence[str]
     """Distance of the means in population standard deviations of the baseline. One pass."""
     value = F.col("value")
     moments = of_features(samples, features).groupBy("feature_name").agg(
-        F.avg(F.when(_BASE, value)).alias("mean_base"),
-        F.stddev_pop(F.when(_BASE, value)).alias("std_base"),
-        F.avg(F.when(_CURR, value)).alias("mean_curr"),
+        F.avg(F.when(_base(), value)).alias("mean_base"),
+        F.stddev_pop(F.when(_base(), value)).alias("std_base"),
+        F.avg(F.when(_curr(), value)).alias("mean_curr"),
     )
     mean_base, std_base, mean_curr = (F.col(c) for c in ("mean_base", "std_base", "mean_curr"))
     comparable = mean_base.isNotNull() & mean_curr.isNotNull()
@@ -162,7 +169,7 @@ def z_score(samples: DataFrame, threshold: float = 3.0, features: Sequence[str]
 def tally(samples: DataFrame) -> DataFrame:
     """Counts of both sides per distinct value: what a value held by a third of the rows shrinks to."""
     return samples.groupBy("feature_name", "value").agg(
-        F.count_if(_BASE).alias("base"), F.count_if(_CURR).alias("curr")
+        F.count_if(_base()).alias("base"), F.count_if(_curr()).alias("curr")
     )
 
 
@@ -249,7 +256,7 @@ def histogram(samples: DataFrame, n_bins: int = 30, features: Sequence[str] = FE
         F.when(flat, F.col("low") - 0.5).otherwise(F.col("low")).alias("low"),
         F.when(flat, F.col("high") + 0.5).otherwise(F.col("high")).alias("high"),
     ).withColumn("width", (F.col("high") - F.col("low")) / F.lit(float(n_bins)))
-    counts = [F.count_if(_BASE).alias("n_baseline"), F.count_if(_CURR).alias("n_current")] if split else []
+    counts = [F.count_if(_base()).alias("n_baseline"), F.count_if(_curr()).alias("n_current")] if split else []
     counted = (
         samples.join(F.broadcast(extent), "feature_name")
         .withColumn("bin", bin_index(value, F.col("low"), F.col("width"), n_bins))

@@ -142,12 +142,12 @@ def refresh_expiry(
     return stale
 
 
-def refresh_features(online: OnlineStore, users: DataFrame, compute: Callable[[DataFrame], DataFrame]) -> int | None:
+def refresh_features(online: OnlineStore, users: DataFrame, compute: Callable[[DataFrame], DataFrame]) -> int:
     """Recomputes the vectors of ``users`` with ``compute(users)``."""
     return online.refresh(users, compute)
 
 
-def refresh_baselines(online: OnlineStore, baselines: Baselines, now: float) -> int | None:
+def refresh_baselines(online: OnlineStore, baselines: Baselines, now: float) -> int:
     """Makes the current values the baseline of every feature that has any."""
     return baselines.save(wide_to_long(online.read(now)), now)
 

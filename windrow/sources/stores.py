@@ -28,7 +28,7 @@ class FeatureHistory:
         """``event_date`` comes from the window, so a vector computed twice lands on the same day."""
         return vectors.withColumn("event_date", F.to_date("window_start"))
 
-    def append(self, vectors: DataFrame, tag: str | None = None, **commit) -> int | None:
+    def append(self, vectors: DataFrame, tag: str | None = None, **commit) -> int:
         return self.table.append(self.dated(vectors), tag, **commit)
 
     def upsert(self, vectors: DataFrame, **commit) -> int:
@@ -91,7 +91,7 @@ class OnlineStore:
     def _bucketed(self, rows: DataFrame) -> DataFrame:
         return rows.withColumn("user_bucket", F.pmod(F.xxhash64("user_id"), F.lit(self.buckets)).cast("int"))
 
-    def write(self, vectors: DataFrame, ttl: float = FEATURE_TTL_SECONDS, tag: str | None = None) -> int | None:
+    def write(self, vectors: DataFrame, ttl: float = FEATURE_TTL_SECONDS, tag: str | None = None) -> int:
         return self.table.append(self._bucketed(with_expiry(latest_per_user(vectors), ttl)), tag)
 
     def read_all(self) -> DataFrame:
@@ -106,14 +106,14 @@ class OnlineStore:
         rows = self.read_all() if now is None else self.read(now)
         return rows.select("user_id")
 
-    def extend(self, users: DataFrame, now: float, ttl: float = FEATURE_TTL_SECONDS) -> int | None:
+    def extend(self, users: DataFrame, now: float, ttl: float = FEATURE_TTL_SECONDS) -> int:
         """Counts the expiry of live ``users`` anew. Only their rows are written."""
         chosen = self.read(now).join(users.select("user_id").distinct(), "user_id", "left_semi")
         return self.table.append(self._bucketed(extend_ttl(chosen, users, now, ttl)))
 
     def refresh(
         self, users: DataFrame, compute: Callable[[DataFrame], DataFrame], ttl: float = FEATURE_TTL_SECONDS
-    ) -> int | None:
+    ) -> int:
         """Recomputes the vectors of ``users`` with ``compute`` and writes them."""
         return self.write(compute(users.select("user_id").distinct()), ttl)
 
@@ -134,7 +134,7 @@ class Baselines:
     def __init__(self, spark: SparkSession, path: str):
         self.table = VersionedTable(spark, path, "feature_name")
 
-    def save(self, samples: DataFrame, now: float, ttl: float = BASELINE_TTL_SECONDS) -> int | None:
+    def save(self, samples: DataFrame, now: float, ttl: float = BASELINE_TTL_SECONDS) -> int:
         """Replaces the baseline of every feature having values in ``(feature_name, value)``; others stay."""
         rows = samples.select("feature_name", "value", F.lit(now + ttl).alias("expires_at"))
         return self.table.replace_partitions(rows, ())

@@ -44,7 +44,12 @@ class VersionedTable:
 
     def latest_version(self) -> int:
         """-1 before the first commit."""
-        return self.manifest().agg(F.coalesce(F.max("version"), F.lit(-1))).first()[0]
+        return self._latest_and_tagged("")[0]
+
+    def _latest_and_tagged(self, tag: str | None) -> tuple[int, int | None]:
+        """The newest version, and the version committed with ``tag`` if there is one."""
+        tagged = F.max(F.when(F.col("tag") == tag, F.col("version")))
+        return tuple(self.manifest().agg(F.coalesce(F.max("version"), F.lit(-1)), tagged).first())
 
     def history(self, limit: int = 10) -> DataFrame:
         """Newest commits first."""
@@ -53,13 +58,17 @@ class VersionedTable:
         )
         return per_version.orderBy(F.col("version").desc()).limit(limit)
 
-    def has_tag(self, tag: str) -> bool:
-        return not self.manifest().filter(F.col("tag") == tag).isEmpty()
-
     def _commit(
-        self, rows: DataFrame, operation: str, replaces: bool, tag: str | None, committed_at: float | None, empty: Sequence = ()
+        self,
+        rows: DataFrame,
+        operation: str,
+        replaces: bool,
+        committed_at: float | None,
+        empty: Sequence = (),
+        tag: str | None = None,
+        version: int | None = None,
     ) -> int:
-        version = self.latest_version() + 1
+        version = self.latest_version() + 1 if version is None else version
         folder = f"{self.path}/data/version={version:010d}"
         # Left over from a failed attempt if it exists: no manifest entry names it.
         rows.write.mode("overwrite").partitionBy(self.partition_by).parquet(folder)
@@ -82,19 +91,20 @@ class VersionedTable:
 
     # Writing ------------------------------------------------------------------------------------
 
-    def append(self, rows: DataFrame, tag: str | None = None, committed_at: float | None = None) -> int | None:
-        """Adds rows. A ``tag`` is committed once: a repeated batch changes nothing and returns None."""
-        if tag is not None and self.has_tag(tag):
-            return None
-        return self._commit(self._sized(rows), "append", False, tag, committed_at)
+    def append(self, rows: DataFrame, tag: str | None = None, committed_at: float | None = None) -> int:
+        """Adds rows and returns the version. A ``tag`` is committed once: repeating it changes nothing."""
+        latest, tagged = self._latest_and_tagged(tag)
+        if tagged is not None:
+            return tagged
+        return self._commit(self._sized(rows), "append", False, committed_at, tag=tag, version=latest + 1)
 
     def overwrite(self, rows: DataFrame, committed_at: float | None = None) -> int:
         """Replaces the whole table."""
-        return self._commit(self._sized(rows), "overwrite", True, None, committed_at, self.partitions())
+        return self._commit(self._sized(rows), "overwrite", True, committed_at, self.partitions())
 
     def replace_partitions(self, rows: DataFrame, partitions: Sequence, committed_at: float | None = None) -> int:
         """Replaces the named partitions by ``rows``, which lie in them; a partition without rows becomes empty."""
-        return self._commit(self._sized(rows), "replace", True, None, committed_at, partitions)
+        return self._commit(self._sized(rows), "replace", True, committed_at, partitions)
 
     def upsert(
         self, rows: DataFrame, key: Sequence[str], order: Sequence[str], committed_at: float | None = None
@@ -106,7 +116,7 @@ class VersionedTable:
         """
         touched = [r[0] for r in rows.select(self.partition_by).distinct().collect()]
         merged = merge_rows(self.read(partitions=touched), rows, key, order) if self.exists() else merge_rows(None, rows, key, order)
-        return self._commit(self._sized(merged), "upsert", True, None, committed_at)
+        return self._commit(self._sized(merged), "upsert", True, committed_at)
 
     def compact(self, cluster_by: Sequence[str], partitions: Sequence | None = None, committed_at: float | None = None) -> int:
         """Rewrites partitions into fewer files, range-clustered so that Parquet statistics can skip them."""
@@ -114,7 +124,7 @@ class VersionedTable:
         clustered = rows.repartitionByRange(self.partition_by, *cluster_by).sortWithinPartitions(
             self.partition_by, *cluster_by
         )
-        return self._commit(clustered, "compact", True, None, committed_at)
+        return self._commit(clustered, "compact", True, committed_at)
 
     def _sized(self, rows: DataFrame) -> DataFrame:
         """Rows gathered by partition; adaptive execution splits a partition that is too large for a file."""
@@ -136,36 +146,41 @@ class VersionedTable:
             entries = entries.filter(F.col("version") <= version)
         elif as_of is not None:
             entries = entries.filter(F.col("committed_at") <= as_of)
-        replaced = entries.filter("replaces").groupBy("partition").agg(F.max("version").alias("since"))
-        kept = entries.filter(F.col("partition").isNotNull()).join(replaced, "partition", "left")
-        current = (F.col("version") >= F.coalesce("since", F.lit(0))) & F.col("has_rows")
-        return kept.filter(current).select("partition", "version")
+        commits = F.collect_list(F.struct("version", "has_rows"))
+        by_partition = (
+            entries.filter(F.col("partition").isNotNull())
+            .groupBy("partition")
+            .agg(F.max(F.when(F.col("replaces"), F.col("version"))).alias("since"), commits.alias("commits"))
+        )
+        each = by_partition.select("partition", F.coalesce("since", F.lit(0)).alias("since"), F.inline("commits"))
+        return each.filter((F.col("version") >= F.col("since")) & F.col("has_rows")).select("partition", "version")
 
     def read(
-        self,
-        version: int | None = None,
-        as_of: float | None = None,
-        partitions: Sequence | None = None,
-        tag: str | None = None,
+        self, version: int | None = None, as_of: float | None = None, partitions: Sequence | None = None
     ) -> DataFrame:
         """Rows of a snapshot; ``version`` wins over ``as_of`` (epoch seconds). ``partitions`` keeps only those
-        partitions, ``tag`` only the commit of that tag.
+        partitions.
 
         What is collected is one row per partition and commit, from the manifest.
         """
         entries = self.snapshot(version, as_of)
         if partitions is not None:
             entries = entries.filter(F.col("partition").isin(*[str(p) for p in partitions]))
-        if tag is not None:
-            entries = entries.join(self.manifest().filter(F.col("tag") == tag).select("version").distinct(), "version")
-        root = f"{self.path}/data"
-        wanted = [
-            f"{root}/version={r['version']:010d}/{self.partition_by}={r['partition']}" for r in entries.collect()
-        ]
-        schema = self._schema()
-        if not wanted:
+        folders = [f"version={r['version']:010d}/{self.partition_by}={r['partition']}" for r in entries.collect()]
+        return self._read_folders(folders, self._schema())
+
+    def read_commit(self, version: int, schema: StructType) -> DataFrame:
+        """The rows one version wrote."""
+        folder = f"version={version:010d}"
+        if not self._partitions_in(f"{self.path}/data/{folder}"):
+            return self._read_folders([], schema)
+        return self._read_folders([folder], schema)
+
+    def _read_folders(self, folders: list[str], schema: StructType) -> DataFrame:
+        if not folders:
             return self.spark.createDataFrame([], schema)
-        rows = self.spark.read.schema(schema).option("basePath", root).parquet(*wanted)
+        root = f"{self.path}/data"
+        rows = self.spark.read.schema(schema).option("basePath", root).parquet(*[f"{root}/{f}" for f in folders])
         return rows.select(*schema.fieldNames())
 
     def _schema(self) -> StructType:

@@ -41,9 +41,8 @@ def cell_table(spark: SparkSession, path: str) -> VersionedTable:
 
 def _append_batch(table: VersionedTable, batch: DataFrame, batch_id: int, tag: str) -> DataFrame:
     dated = batch.withColumn("event_date", F.to_date("window_start")).withColumn("batch_id", F.lit(batch_id))
-    table.append(dated, tag)
     # Reading back what was written keeps Spark from running the batch again for every use.
-    return table.read(tag=tag)
+    return table.read_commit(table.append(dated, tag), dated.schema)
 
 
 def _with_context(table: VersionedTable, new: DataFrame, widths: Widths) -> DataFrame | None:
