@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import add
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,10 +14,6 @@ def ratio(numerator: Column, denominator: Column) -> Column:
     return F.when(denominator > 0, numerator / denominator).otherwise(F.lit(0.0)).cast("double")
 
 
-def total(columns: list[Column]) -> Column:
-    return reduce(add, columns)
-
-
 def relative_deviation(offline: Column, online: Column) -> Column:
     return F.abs(offline - online) / (F.abs(offline) + F.lit(EPSILON))
 
@@ -49,10 +42,10 @@ def skew_severity(rate: Column) -> Column:
     )
 
 
-def bin_index(value: Column, low: Column, width: Column, n_bins: int) -> Column:
-    """How many of the left edges ``low + i * width`` are at or below ``value`` (0 = below all).
+def bin_index(value: str, low: str, width: str, n_bins: int) -> str:
+    """SQL for how many of the left edges ``low + i * width`` are at or below ``value`` (0 = below all).
 
     A sum of comparisons: it stays in generated code and reproduces the edges exactly, which
     a division by the width or ``width_bucket`` does not.
     """
-    return total([(value >= low + F.lit(i) * width).cast("int") for i in range(n_bins)])
+    return " + ".join(f"CAST({value} >= {low} + {float(i)}D * ({width}) AS INT)" for i in range(n_bins))

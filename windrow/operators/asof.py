@@ -31,44 +31,30 @@ def point_in_time(
     per_block = whole_multiple(block, grid)
     vector_columns = [c for c in vectors.columns if c != key]
     label_slot = F.floor(epoch(label_time) / seconds(grid))
-    block_of = F.floor(F.col("_slot") / per_block)
-
-    asked = labels.select(key, label_slot.alias("_slot")).distinct().withColumn("_block", block_of)
     known = vectors.select(
-        key,
-        F.floor(epoch(vector_time) / seconds(grid)).alias("_slot"),
-        F.struct(*vector_columns).alias("_vector"),
-    ).withColumn("_block", block_of)
-
-    # What each block starts from: the last vector of the blocks before it.
-    latest_of_block = known.groupBy(key, "_block").agg(F.max_by("_vector", "_slot").alias("_vector"))
-    missing = F.lit(None).cast(known.schema["_vector"].dataType)
-    by_block = Window.partitionBy(key).orderBy("_block")
-    carried = (
-        latest_of_block.unionByName(asked.select(key, "_block").distinct().withColumn("_vector", missing))
-        .groupBy(key, "_block")
-        .agg(F.max("_vector").alias("_vector"))
-        .select(
-            key,
-            (F.col("_block") * per_block - 1).alias("_slot"),
-            F.last("_vector", ignorenulls=True).over(by_block.rowsBetween(Window.unboundedPreceding, -1)).alias("_vector"),
-            "_block",
-        )
-        .filter(F.col("_vector").isNotNull())
+        key, F.floor(epoch(vector_time) / seconds(grid)).alias("_slot"), F.struct(*vector_columns).alias("_vector")
     )
-
-    rows = (
-        asked.withColumn("_vector", missing)
-        .withColumn("_asked", F.lit(True))
-        .unionByName(known.withColumn("_asked", F.lit(False)))
-        .unionByName(carried.withColumn("_asked", F.lit(False)))
+    missing = F.lit(None).cast(known.schema["_vector"].dataType)
+    asked = labels.select(key, label_slot.alias("_slot")).distinct()
+    rows = asked.select("*", missing.alias("_vector"), F.lit(True).alias("_asked")).unionByName(
+        known.withColumn("_asked", F.lit(False))
     )
     # Within a step the vector comes first: it ends at the step's start, no label of it is earlier.
-    so_far = Window.partitionBy(key, "_block").orderBy("_slot", "_asked").rowsBetween(Window.unboundedPreceding, 0)
+    in_block = Window.partitionBy(key, "_block").orderBy("_slot", "_asked").rowsBetween(Window.unboundedPreceding, 0)
+    so_far = rows.withColumn("_block", F.floor(F.col("_slot") / per_block)).withColumn(
+        "_vector", F.last("_vector", ignorenulls=True).over(in_block)
+    )
+    # What a block starts from is the last vector of the blocks before it; there are few blocks per key.
+    before = Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = (
+        so_far.groupBy(key, "_block")
+        .agg(F.max_by("_vector", F.struct("_slot", "_asked")).alias("_carried"))
+        .withColumn("_carried", F.last("_carried", ignorenulls=True).over(before))
+    )
     answers = (
-        rows.withColumn("_vector", F.last("_vector", ignorenulls=True).over(so_far))
-        .filter("_asked")
-        .select(key, "_slot", "_vector")
+        so_far.filter("_asked")
+        .join(carried, [key, "_block"], "left")
+        .select(key, "_slot", F.coalesce("_vector", "_carried").alias("_vector"))
     )
     found = labels.withColumn("_slot", label_slot).join(answers, [key, "_slot"], "left")
     vector = F.col("_vector")

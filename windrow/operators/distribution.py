@@ -34,13 +34,13 @@ def _curr() -> Column:
 # PSI -----------------------------------------------------------------------------------------------------
 
 
-def psi_bin(value: Column, low: Column, high: Column, n_bins: int = N_BINS) -> Column:
+def psi_bin(value: str, low: str, high: str, n_bins: int = N_BINS) -> Column:
     """Bin 1..n of the baseline's range cut into equal parts, null outside it.
 
     Bins are closed on the left; the last is closed on both sides and widened a little.
     """
-    inside = (value >= low) & (value <= high + F.lit(EPSILON))
-    return F.when(inside, bin_index(value, low, (high - low) / F.lit(float(n_bins)), n_bins))
+    index = bin_index(value, low, f"({high} - {low}) / {n_bins}D", n_bins)
+    return F.expr(f"CASE WHEN {value} >= {low} AND {value} <= {high} + {EPSILON}D THEN {index} END")
 
 
 def psi_score(base: Column, curr: Column, n_base: Column, n_curr: Column, low: Column, high: Column) -> Column:
@@ -63,9 +63,8 @@ def _sum(array: Column) -> Column:
 
 def counts_per_bin(bin_column: str, n: str, n_bins: int = N_BINS) -> Column:
     """Aggregate: array of the sums of ``n`` in bins 1..n_bins."""
-    return F.array(
-        *[F.coalesce(F.sum(F.when(F.col(bin_column) == i, F.col(n))), F.lit(0)) for i in range(1, n_bins + 1)]
-    )
+    sums = (f"coalesce(sum({n}) FILTER (WHERE {bin_column} = {i}), 0)" for i in range(1, n_bins + 1))
+    return F.expr(f"array({', '.join(sums)})")
 
 
 def _binned(samples: DataFrame, edges: DataFrame, bin_of, n_bins: int) -> DataFrame:
@@ -73,7 +72,7 @@ def _binned(samples: DataFrame, edges: DataFrame, bin_of, n_bins: int) -> DataFr
     constants = ("low", "high", "n_base", "n_curr")
     return (
         samples.join(F.broadcast(edges), "feature_name")
-        .withColumn("bin", bin_of(F.col("value"), F.col("low"), F.col("high"), n_bins))
+        .withColumn("bin", bin_of("value", "low", "high", n_bins))
         .groupBy("feature_name", *constants, "bin")
         .agg(F.count_if(_base()).alias("base"), F.count_if(_curr()).alias("curr"))
         .groupBy("feature_name", *constants)
@@ -101,8 +100,8 @@ def psi(samples: DataFrame, n_bins: int = N_BINS, features: Sequence[str] = FEAT
 # KL ------------------------------------------------------------------------------------------------------
 
 
-def kl_bin(value: Column, low: Column, high: Column, n_bins: int = N_BINS) -> Column:
-    return bin_index(value, low, (high + F.lit(_KL_WIDEN) - low) / F.lit(float(n_bins)), n_bins)
+def kl_bin(value: str, low: str, high: str, n_bins: int = N_BINS) -> Column:
+    return F.expr(bin_index(value, low, f"({high} + {_KL_WIDEN}D - {low}) / {n_bins}D", n_bins))
 
 
 def kl_score(base: Column, curr: Column, n_base: Column, n_curr: Column, low: Column, high: Column) -> Column:
@@ -110,7 +109,7 @@ def kl_score(base: Column, curr: Column, n_base: Column, n_curr: Column, low: Co
     width = (high + F.lit(_KL_WIDEN) - low) / F.size(base).cast("double")
 
     def density(counts: Column, n: Column) -> Column:
-        return F.transform(counts, lambda c: c / n / width + F.lit(_KL_SMOOTH))
+        return F.transform(counts, lambda c: F.try_divide(F.try_divide(c, n), width) + F.lit(_KL_SMOOTH))
 
     p, q = density(base, n_base), density(curr, n_curr)
     p_total, q_total = _sum(p), _sum(q)
@@ -173,13 +172,18 @@ def tally(samples: DataFrame) -> DataFrame:
     )
 
 
+def _share(count: Column, n: str) -> Column:
+    """Null for a side without values, which has no distribution function."""
+    return F.try_divide(F.coalesce(count, F.lit(0)), F.col(n))
+
+
 def range_gaps(ranged: DataFrame, *more_keys: str, aggregates: Sequence[Column] = ()) -> DataFrame:
     """Per value range the extremes of F_base - F_curr counted from the range's start, and its totals.
 
     ``ranged`` has ``range_id``, ``base``, ``curr`` and the sizes ``n_base``, ``n_curr`` of the sides.
     """
     upto = Window.partitionBy("feature_name", "range_id").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    gap = F.sum("base").over(upto) / F.col("n_base") - F.sum("curr").over(upto) / F.col("n_curr")
+    gap = _share(F.sum("base").over(upto), "n_base") - _share(F.sum("curr").over(upto), "n_curr")
     return (
         ranged.withColumn("gap", gap)
         .groupBy("feature_name", "range_id", *more_keys)
@@ -200,9 +204,7 @@ def with_largest_gap(gaps: DataFrame) -> DataFrame:
     values themselves need not be read again. Runs over at most a thousand ranges a feature.
     """
     lower = Window.partitionBy("feature_name").orderBy("range_id").rangeBetween(Window.unboundedPreceding, -1)
-    offset = F.coalesce(F.sum("base").over(lower), F.lit(0)) / F.col("n_base") - F.coalesce(
-        F.sum("curr").over(lower), F.lit(0)
-    ) / F.col("n_curr")
+    offset = _share(F.sum("base").over(lower), "n_base") - _share(F.sum("curr").over(lower), "n_curr")
     return gaps.withColumn("offset", offset).withColumn(
         "d", F.greatest(F.abs(F.col("offset") + F.col("min_gap")), F.abs(F.col("offset") + F.col("max_gap")))
     )
@@ -259,7 +261,7 @@ def histogram(samples: DataFrame, n_bins: int = 30, features: Sequence[str] = FE
     counts = [F.count_if(_base()).alias("n_baseline"), F.count_if(_curr()).alias("n_current")] if split else []
     counted = (
         samples.join(F.broadcast(extent), "feature_name")
-        .withColumn("bin", bin_index(value, F.col("low"), F.col("width"), n_bins))
+        .withColumn("bin", F.expr(bin_index("value", "low", "width", n_bins)))
         .groupBy("feature_name", "bin")
         .agg(*(counts or [F.count(F.lit(1)).alias("n")]))
     )

@@ -75,19 +75,20 @@ def detect_drift(
         "joint_low": F.least("low_base", "low_curr"),
         "joint_high": F.greatest("high_base", "high_curr"),
     }
-    profile = profile.filter("n_curr > 0").select(
+    profile = profile.filter(F.col("n_curr") > 0).select(
         "feature_name",
         *[column.alias(name) for name, column in constants.items()],
         "cuts",
     )
 
     off_mean = value - F.col("mean_base")
-    ranged = (
-        with_range(counted.join(F.broadcast(profile), "feature_name"))
-        .withColumn("base", F.when(F.col("baseline_missing"), curr).otherwise(base))
-        .withColumn("psi_bin", psi_bin(value, F.col("low"), F.col("high")))
-        .withColumn("kl_bin", kl_bin(value, F.col("joint_low"), F.col("joint_high")))
-        .withColumn("squares", base * off_mean * off_mean)
+    ranged = with_range(counted.join(F.broadcast(profile), "feature_name")).withColumns(
+        {
+            "base": F.when(F.col("baseline_missing"), curr).otherwise(base),
+            "psi_bin": psi_bin("value", "low", "high"),
+            "kl_bin": kl_bin("value", "joint_low", "joint_high"),
+            "squares": F.when(F.col("baseline_missing"), curr).otherwise(base) * off_mean * off_mean,
+        }
     )
     # Bins ascend with the range, so a feature has at most (ranges + bins) of these groups.
     small = with_largest_gap(
@@ -119,7 +120,7 @@ def detect_drift(
     )
     by_psi = psi_severity(F.col("psi_score"), thresholds.psi_warn, thresholds.psi_alert)
     severity = F.when((by_psi == "ok") & F.col("ks_significant"), "warn").otherwise(by_psi)
-    return scores.withColumn("severity", severity).withColumn("is_drifting", F.col("severity") != "ok")
+    return scores.withColumns({"severity": severity, "is_drifting": severity != "ok"})
 
 
 def drift_verdict(report: DataFrame) -> DataFrame:

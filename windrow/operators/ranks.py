@@ -12,10 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Bounds of what is broadcast per group: cuts are every _STRIDE-th of about _SAMPLE values. The search for
-# a value's range takes one step per bit, and finds up to 2 ** _SEARCH_BITS - 1 cuts.
+# a value's range quarters the cuts at each step, and finds up to 4 ** _SEARCH_STEPS - 1 of them.
 _SAMPLE = 16_384
 _STRIDE = 16
-_SEARCH_BITS = 11
+_SEARCH_STEPS = 6
 
 
 def value_cuts(counted: DataFrame, group: str = "feature_name", value: str = "value") -> DataFrame:
@@ -35,26 +35,26 @@ def value_cuts(counted: DataFrame, group: str = "feature_name", value: str = "va
     return sampled.select(group, every.alias("cuts"))
 
 
-def sketched_cuts(value: str | Column) -> Column:
+def sketched_cuts(value: str) -> Column:
     """Aggregate: about a thousand cuts from a quantile sketch.
 
     Cheaper than ``value_cuts``, but a sketch depends on the order in which it is merged. It is for plans that
     read the cuts in one place and whose result is the same for any cuts.
     """
-    return F.percentile_approx(value, [i / 1024 for i in range(1, 1024)], F.lit(10_000))
+    shares = ", ".join(f"{i / 1024}D" for i in range(1, 1024))
+    return F.expr(f"percentile_approx({value}, array({shares}), 10000)")
 
 
 def with_range(counted: DataFrame, value: str = "value") -> DataFrame:
     """Replaces ``cuts`` by ``range_id``, ascending with the value: the number of cuts at or below it.
 
-    A binary search written as one projection per step. Steps compile into straight-line code over the
-    broadcast array, where a lambda over the array would be interpreted and the array copied with each row.
+    A search written as one projection per step. Steps compile into straight-line code over the broadcast
+    array, where a lambda over the array would be interpreted and the array copied with each row.
     """
     found = counted.withColumn("range_id", F.lit(0))
-    for bit in reversed(range(_SEARCH_BITS)):
-        step = 1 << bit
-        beyond = F.get("cuts", F.col("range_id") + (step - 1)) <= F.col(value)
-        found = found.withColumn("range_id", F.col("range_id") + F.when(beyond, step).otherwise(0))
+    for step in (4**i for i in reversed(range(_SEARCH_STEPS))):
+        passed = (f"if(get(cuts, range_id + {k * step - 1}) <= {value}, {step}, 0)" for k in (1, 2, 3))
+        found = found.withColumn("range_id", F.expr(f"range_id + {' + '.join(passed)}"))
     return found.drop("cuts")
 
 
@@ -74,18 +74,25 @@ def quantiles(
     totals = (
         ranged.groupBy(group, "range_id")
         .agg(F.sum("n").alias("_in_range"))
-        .withColumn("_before", F.sum("_in_range").over(ordered.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_in_range"))
-        .withColumn("_total", F.sum("_in_range").over(Window.partitionBy(group)))
-    )
-    wanted = F.array(*[F.lit(float(p)) for p in probabilities])
-    position = F.col("p") * (F.col("_total") - 1)
-    targets = (
-        totals.withColumn("p", F.explode(wanted))
-        .withColumn("rank", F.explode(F.array_distinct(F.array(F.floor(position), F.ceil(position)))))
-        .withColumn("weight", F.lit(1.0) - F.abs(position - F.col("rank")))
-        .filter((F.col("rank") >= F.col("_before")) & (F.col("rank") < F.col("_before") + F.col("_in_range")))
-        .select(group, "range_id", "p", "rank", "weight", "_before")
+        .withColumns(
+            {
+                "_before": F.sum("_in_range").over(ordered.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_in_range"),
+                "_total": F.sum("_in_range").over(Window.partitionBy(group)),
+            }
+        )
     )
+
+    def wanted(p: float) -> Column:
+        position = F.lit(p) * (F.col("_total") - 1)
+        ends = F.array_distinct(F.array(F.floor(position), F.ceil(position)))
+        return F.transform(
+            ends,
+            lambda rank: F.struct(F.lit(p).alias("p"), rank.alias("rank"), (1.0 - F.abs(position - rank)).alias("weight")),
+        )
+
+    targets = totals.select(
+        group, "range_id", "_before", "_in_range", F.inline(F.flatten(F.array(*[wanted(float(p)) for p in probabilities])))
+    ).filter((F.col("rank") >= F.col("_before")) & (F.col("rank") < F.col("_before") + F.col("_in_range")))
     in_range = Window.partitionBy(group, "range_id", "p", "rank").orderBy(value)
     return (
         ranged.join(F.broadcast(targets), [group, "range_id"])

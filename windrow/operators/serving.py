@@ -81,30 +81,36 @@ def freshness_report(ages: DataFrame, sla: float = FRESHNESS_SLA_SECONDS, approx
         F.count_if(late).alias("violations"),
         F.round(F.avg(late.cast("double")) * 100, 1).alias("violation_pct"),
     )
-    ranks = _global_quantiles(ages, "freshness_seconds", {"median_age": 0.5, "p95_age": 0.95}, approximate)
-    return counts.join(F.broadcast(ranks), F.lit(True), "left").select(
-        "users", "median_age", "p95_age", "violations", "violation_pct"
+    names = {"median_age": 0.5, "p95_age": 0.95}
+    return _with_quantiles(counts, ages, "freshness_seconds", names, approximate).select(
+        "users", *names, "violations", "violation_pct"
     )
 
 
-def _global_quantiles(rows: DataFrame, value: str, names: dict[str, float], approximate: bool) -> DataFrame:
-    one_group = rows.filter(F.col(value).isNotNull()).select(F.lit(0).alias("_all"), value)
-    return wide_quantiles(one_group, names, "_all", value, approximate).drop("_all")
+def _with_quantiles(
+    one_row: DataFrame, rows: DataFrame, value: str, names: dict[str, float], approximate: bool
+) -> DataFrame:
+    """Quantiles of all ``rows`` beside the one row of counts."""
+    values = rows.filter(F.col(value).isNotNull()).select(F.lit("all").alias("_group"), value)
+    ranks = wide_quantiles(values, names, "_group", value, approximate)
+    return one_row.withColumn("_group", F.lit("all")).join(F.broadcast(ranks), "_group", "left").drop("_group")
 
 
 def stalest(ages: DataFrame, n: int = 20) -> DataFrame:
     return ages.orderBy(F.col("freshness_seconds").desc(), "user_id").limit(n)
 
 
-def sla_violations(online: DataFrame, registry: DataFrame, now: Column | float) -> DataFrame:
+def sla_violations(
+    online: DataFrame, registry: DataFrame, now: Column | float, features: Sequence[str] = FEATURES
+) -> DataFrame:
     """Per registered feature, users whose vector is older than the feature's own promise."""
-    ages = freshness(online, now)
-    # Users are counted per age first, so that the registry multiplies ages and not users.
-    by_age = ages.groupBy("freshness_seconds").agg(F.count(F.lit(1)).alias("users"))
+    # Users are counted per age before an age is repeated for each feature of the vector.
+    by_age = freshness(online, now).groupBy("freshness_seconds").agg(F.count(F.lit(1)).alias("users"))
+    per_feature = by_age.select("*", F.explode(F.array(*[F.lit(c) for c in features])).alias("feature_name"))
     promised = registry.filter("is_active").select("feature_name", "freshness_sla_seconds")
     late = F.col("freshness_seconds") > F.col("freshness_sla_seconds")
     return (
-        by_age.join(F.broadcast(promised), F.lit(True))
+        per_feature.join(promised, "feature_name")
         .groupBy("feature_name", "freshness_sla_seconds")
         .agg(
             F.sum("users").alias("users"),
@@ -152,11 +158,10 @@ def latency_report(requests: DataFrame, sla_ms: float = LATENCY_SLA_MS, approxim
         F.count(F.lit(1)).alias("requests"),
         F.count_if(~answered).alias("errors"),
         F.count_if(slow).alias("above_sla"),
-        F.round(F.count_if(slow) / F.count(F.lit(1)) * 100, 1).alias("above_sla_pct"),
+        F.round(F.try_divide(F.count_if(slow), F.count(F.lit(1))) * 100, 1).alias("above_sla_pct"),
     )
     names = {"p50_ms": 0.5, "p95_ms": 0.95, "p99_ms": 0.99}
-    ranks = _global_quantiles(requests.filter(answered), "latency_ms", names, approximate)
-    return counts.join(F.broadcast(ranks), F.lit(True), "left").select(
+    return _with_quantiles(counts, requests.filter(answered), "latency_ms", names, approximate).select(
         "requests", *names, "errors", "above_sla", "above_sla_pct"
     )
 

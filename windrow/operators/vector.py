@@ -57,9 +57,8 @@ def in_time_blocks(rows: DataFrame, start: Column, lookback: int) -> DataFrame:
     size = _BLOCK_LOOKBACKS * lookback
     own = F.floor(start / size)
     reaches_next = start >= (own + 1) * size - lookback
-    return rows.withColumn(
-        "block", F.explode(F.when(reaches_next, F.array(own, own + 1)).otherwise(F.array(own)))
-    ).withColumn("home", F.col("block") == own)
+    blocks = F.when(reaches_next, F.array(own, own + 1)).otherwise(F.array(own))
+    return rows.select("*", F.explode(blocks).alias("block")).withColumn("home", F.col("block") == own)
 
 
 def vector_from_cells(cell: DataFrame, widths: Widths = REFERENCE_WIDTHS, computed_at: Column | None = None) -> DataFrame:
@@ -68,67 +67,62 @@ def vector_from_cells(cell: DataFrame, widths: Widths = REFERENCE_WIDTHS, comput
     One shuffle, on ``(user_id, block)``, serves all frames; nothing is joined.
     """
     base = seconds(widths.base)
-    start = epoch("window_start")
     # Cells without purchase, cart or view can influence no vector.
     useful = cell.filter(F.col("n_purchases") + F.col("n_carts") + F.col("n_views") > 0)
-    rows = in_time_blocks(useful.withColumn("t", start), F.col("t"), widths.lookback)
+    timed = useful.select(
+        "*",
+        epoch("window_start").alias("t"),
+        *[F.floor(epoch("window_start") / seconds(w)).alias(c) for c, w in (("cart_slot", widths.carts), ("view_slot", widths.views))],
+    )
     group = Window.partitionBy("user_id", "block")
+    n, amounts = F.col("n_amounts"), F.col("sum_amount")
 
     # For the spread, amounts are shifted by the mean of the whole group, which cancels out of it.
-    n, amounts = F.col("n_amounts"), F.col("sum_amount")
-    rows = rows.withColumn("center", ratio(F.sum(amounts).over(group), F.sum(n).over(group)))
-    shifted = amounts - n * F.col("center")
-    rows = rows.withColumn("s1", shifted).withColumn(
-        "s2", F.col("m2_amount") + F.when(n > 0, shifted * shifted / n).otherwise(F.lit(0.0))
-    )
+    center = ratio(F.sum(amounts).over(group), F.sum(n).over(group))
+    rows = in_time_blocks(timed, F.col("t"), widths.lookback).withColumn("s1", amounts - n * center)
+    s1, s2 = F.col("s1"), F.col("m2_amount") + F.when(n > 0, F.col("s1") * F.col("s1") / n).otherwise(F.lit(0.0))
 
-    def ending_here(width: str):
-        return group.orderBy("t").rangeBetween(base - seconds(width), 0)
-
-    spend, history = ending_here(widths.spend), ending_here(widths.history)
-    rows = (
-        rows.withColumn("spend_n", F.sum("n_amounts").over(spend))
-        .withColumn("spend_sum", F.sum("sum_amount").over(spend))
-        .withColumn("hist_n", F.sum("n_amounts").over(history))
-        .withColumn("hist_sum", F.sum("sum_amount").over(history))
-        .withColumn("hist_s1", F.sum("s1").over(history))
-        .withColumn("hist_s2", F.sum("s2").over(history))
-    )
+    def ending_here(measure: Column, width: str) -> Column:
+        return F.sum(measure).over(group.orderBy("t").rangeBetween(base - seconds(width), 0))
 
-    def last_closed(measures: list[str], width: str, frame: DataFrame) -> DataFrame:
+    def last_closed(measure: str, slot: str, width: str) -> Column:
         # A tumbling window is closed at the end of its last cell; before that its predecessor counts.
-        size = seconds(width)
-        frame = frame.withColumn("slot", F.floor(F.col("t") / size))
-        by_slot = group.orderBy("slot")
-        closes = (F.col("t") + base) % size == 0
-        for measure in measures:
-            own = F.sum(measure).over(by_slot.rangeBetween(0, 0))
-            before = F.sum(measure).over(by_slot.rangeBetween(-1, -1))
-            frame = frame.withColumn(
-                f"closed_{measure}", F.coalesce(F.when(closes, own).otherwise(before), F.lit(0))
-            )
-        return frame.drop("slot")
-
-    rows = rows.withColumn("n_buys", F.col("n_purchases"))
-    rows = last_closed(["n_carts", "n_buys"], widths.carts, rows)
-    rows = last_closed(["n_views"], widths.views, rows)
+        by_slot = group.orderBy(slot)
+        closes = (F.col("t") + base) % seconds(width) == 0
+        own = F.sum(measure).over(by_slot.rangeBetween(0, 0))
+        before = F.sum(measure).over(by_slot.rangeBetween(-1, -1))
+        return F.coalesce(F.when(closes, own).otherwise(before), F.lit(0))
+
+    rows = rows.withColumns(
+        {
+            "spend_n": ending_here(n, widths.spend),
+            "spend_sum": ending_here(amounts, widths.spend),
+            "hist_n": ending_here(n, widths.history),
+            "hist_sum": ending_here(amounts, widths.history),
+            "hist_s1": ending_here(s1, widths.history),
+            "hist_s2": ending_here(s2, widths.history),
+            "closed_carts": last_closed("n_carts", "cart_slot", widths.carts),
+            "closed_buys": last_closed("n_purchases", "cart_slot", widths.carts),
+            "closed_views": last_closed("n_views", "view_slot", widths.views),
+        }
+    )
 
     mean_history = ratio(F.col("hist_sum"), F.col("hist_n"))
     spread = F.greatest(F.col("hist_s2") - F.col("hist_s1") * F.col("hist_s1") / F.col("hist_n"), F.lit(0.0))
     deviation = F.when(F.col("hist_n") > 1, F.sqrt(spread / (F.col("hist_n") - 1))).otherwise(F.lit(1.0))
     score = F.abs((amounts / n - mean_history) / (deviation + F.lit(EPSILON)))
-    carts, buys = F.col("closed_n_carts"), F.col("closed_n_buys")
+    carts, buys = F.col("closed_carts"), F.col("closed_buys")
 
     return rows.filter(F.col("home") & (F.col("n_purchases") > 0)).select(
         "user_id",
         "window_start",
         "window_end",
-        (epoch("window_start") if computed_at is None else computed_at).cast("double").alias("computed_at"),
+        (F.col("t") if computed_at is None else computed_at).cast("double").alias("computed_at"),
         F.col("n_purchases").cast("double").alias("txn_count_5m"),
         ratio(F.col("spend_sum"), F.col("spend_n")).alias("avg_spend_1h"),
         ratio(F.col("n_events"), F.col("n_sessions")).alias("session_activity_rate"),
         F.greatest(ratio(carts - buys, carts), F.lit(0.0)).alias("cart_abandon_ratio"),
-        F.col("closed_n_views").cast("double").alias("product_interaction_freq"),
+        F.col("closed_views").cast("double").alias("product_interaction_freq"),
         # Without an amount in the window there is nothing to score.
         F.when(n > 0, score).otherwise(F.lit(0.0)).alias("anomaly_score"),
     )

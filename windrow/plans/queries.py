@@ -29,7 +29,7 @@ from windrow.operators.vector import (
 )
 from windrow.schema import FEATURES
 from windrow.session import configure, shared_folder
-from windrow.sources.activity import as_events, read_activity
+from windrow.sources.activity import as_events, read_activity, user_name
 from windrow.sources.events import encode_events, in_range, parse_events, validate_events
 from windrow.sources.stores import FeatureHistory, OnlineStore, with_expiry
 from windrow.sources.tables import merge_rows, partition_filter, with_partition_columns
@@ -86,7 +86,7 @@ def full_records(spark: SparkSession, folder: str) -> DataFrame:
     customer = spark.read.parquet(f"{folder}/customer.parquet")
     nation = spark.read.parquet(f"{folder}/nation.parquet")
     who = customer.join(nation, customer.c_nationkey == nation.n_nationkey, "left").select(
-        F.format_string("usr_%05d", "c_custkey").alias("user_id"),
+        user_name("c_custkey").alias("user_id"),
         F.struct(F.col("n_name").alias("country"), F.col("c_name").alias("city")).alias("location"),
         F.try_element_at(device, F.col("c_mktsegment")).alias("device_type"),
     )
@@ -242,7 +242,7 @@ def _store_queries() -> dict[str, Query]:
         root = scratch(s)
         history = FeatureHistory(s, f"{root}/history")
         query = start_history(
-            _activity_stream(s, d), history, cell_table(s, f"{root}/cells"), f"{root}/checkpoint", trigger=None,
+            activity_stream(s, d), history, cell_table(s, f"{root}/cells"), f"{root}/checkpoint", trigger=None,
             clock=lambda: NOW_EPOCH,
         )
         query.awaitTermination()
@@ -252,7 +252,7 @@ def _store_queries() -> dict[str, Query]:
         root = scratch(s)
         online = OnlineStore(s, f"{root}/online", buckets=8)
         query = start_online(
-            _activity_stream(s, d), online, cell_table(s, f"{root}/live"), f"{root}/checkpoint", trigger=None,
+            activity_stream(s, d), online, cell_table(s, f"{root}/live"), f"{root}/checkpoint", trigger=None,
             clock=lambda: NOW_EPOCH,
         )
         query.awaitTermination()
@@ -268,7 +268,7 @@ def _store_queries() -> dict[str, Query]:
     }
 
 
-def _activity_stream(s: SparkSession, d: str) -> DataFrame:
+def activity_stream(s: SparkSession, d: str) -> DataFrame:
     schema = s.read.parquet(f"{d}/events.parquet").schema
     table = s.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
     return as_events(table).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
@@ -281,7 +281,7 @@ def _without_zone(frame: DataFrame) -> DataFrame:
 def _user_queries() -> dict[str, Query]:
     def cohort(s: SparkSession, d: str) -> DataFrame:
         customer = s.read.parquet(f"{d}/customer.parquet").filter(F.col("c_mktsegment") == "BUILDING")
-        users = customer.select(F.format_string("usr_%05d", "c_custkey").alias("user_id"))
+        users = customer.select(user_name("c_custkey").alias("user_id"))
         dated = FeatureHistory.dated(latest.in_cohort(vectors(s, d), users))
         return rounded(training_projection(dated).withColumn("event_date", F.col("event_date").cast("string")))
 
@@ -368,7 +368,7 @@ def _consistency_queries() -> dict[str, Query]:
 def _serving_queries() -> dict[str, Query]:
     def users(s: SparkSession, d: str) -> DataFrame:
         customer = s.read.parquet(f"{d}/customer.parquet")
-        return customer.select(F.format_string("usr_%05d", "c_custkey").alias("user_id"))
+        return customer.select(user_name("c_custkey").alias("user_id"))
 
     def ages(s: SparkSession, d: str) -> DataFrame:
         return serving.freshness(online_rows(s, d), NOW_EPOCH)
