@@ -213,8 +213,8 @@ def test_refresh_compaction_and_expiry_job(spark, tmp_path):
     before = values(online.read_all(), "user_id", "avg_spend_1h", "expires_at")
     online.compact()
     assert values(online.read_all(), "user_id", "avg_spend_1h", "expires_at") == before
-    online.compact(drop_expired_before=180)
-    assert values(online.read_all(), "user_id") == [("a",), ("c",)]
+    online.compact(drop_expired_before=355)
+    assert values(online.read_all(), "user_id") == [("b",)]
 
 
 # Baselines and jobs ---------------------------------------------------------------------------------------

@@ -13,21 +13,17 @@ from pyspark.sql import functions as F
 EXACT_UP_TO = 10_000
 
 
-def asymptotic_p(n: Column, m: Column, d: Column) -> Column:
+def asymptotic_p(n: str, m: str, d: str) -> Column:
     """Kolmogorov's series at the argument corrected for finite samples (Vrbik, 2018).
 
     Below 0.2 the series is 1 to twelve digits but converges too slowly to be summed.
     """
-    effective = F.round(n.cast("double") * m / (n + m))
-    z = F.sqrt(effective) * d
-    x = z + F.lit(1.0) / (F.lit(6.0) * F.sqrt(effective)) + (z - F.lit(1.0)) / (F.lit(4.0) * effective)
-    terms = F.transform(
-        F.sequence(F.lit(1), F.lit(100)),
-        lambda k: F.when(k % 2 == 1, F.lit(2.0)).otherwise(F.lit(-2.0)) * F.exp(F.lit(-2.0) * k * k * x * x),
-    )
-    series = F.aggregate(terms, F.lit(0.0), lambda total, term: total + term)
-    bounded = F.least(F.greatest(series, F.lit(0.0)), F.lit(1.0))
-    return F.when((d <= 0) | (x < 0.2), F.lit(1.0)).otherwise(bounded)
+    effective = f"round(double({n}) * {m} / ({n} + {m}))"
+    z = f"(sqrt({effective}) * {d})"
+    x = f"({z} + 1D / (6D * sqrt({effective})) + ({z} - 1D) / (4D * {effective}))"
+    terms = f"transform(sequence(1, 100), k -> if(k % 2 = 1, 2D, -2D) * exp(-2D * k * k * {x} * {x}))"
+    series = f"aggregate({terms}, 0D, (total, term) -> total + term)"
+    return F.expr(f"CASE WHEN {d} <= 0 OR {x} < 0.2D THEN 1D ELSE least(greatest({series}, 0D), 1D) END")
 
 
 def exact_p_function():
@@ -63,7 +59,7 @@ def exact_p_function():
     return exact_p_value
 
 
-def exact_p(n: Column, m: Column, d: Column) -> Column:
+def exact_p(n: str, m: str, d: str) -> Column:
     """Exact p per row; null beyond ``EXACT_UP_TO``, where the caller uses the series."""
     one, limit = exact_p_function(), EXACT_UP_TO
 
@@ -77,8 +73,8 @@ def exact_p(n: Column, m: Column, d: Column) -> Column:
     return F.pandas_udf(p, "double")(n, m, d)
 
 
-def p_value(n: Column, m: Column, d: Column, method: str = "auto") -> Column:
-    """``auto`` is exact up to 10,000 values a side and asymptotic beyond; ``asymptotic`` stays in the JVM."""
+def p_value(n: str, m: str, d: str, method: str = "auto") -> Column:
+    """p from the named columns. ``auto`` is exact up to 10,000 values a side and asymptotic beyond; ``asymptotic`` stays in the JVM."""
     series = asymptotic_p(n, m, d)
     if method == "asymptotic":
         return series

@@ -43,22 +43,23 @@ def psi_bin(value: str, low: str, high: str, n_bins: int = N_BINS) -> Column:
     return F.expr(f"CASE WHEN {value} >= {low} AND {value} <= {high} + {EPSILON}D THEN {index} END")
 
 
-def psi_score(base: Column, curr: Column, n_base: Column, n_curr: Column, low: Column, high: Column) -> Column:
+def psi_score(base: str, curr: str, n_base: str, n_curr: str, low: str, high: str) -> Column:
     """PSI from arrays of counts per bin. Shares divide by all values of the side, binned or not."""
 
-    def share(count: Column, n: Column) -> Column:
-        return F.when(count == 0, F.lit(EPSILON)).otherwise(count / (n + F.lit(EPSILON)))
+    def share(count: str, n: str) -> str:
+        return f"if({count} = 0, {EPSILON}D, {count} / ({n} + {EPSILON}D))"
 
-    def term(b: Column, c: Column) -> Column:
-        return (share(c, n_curr) - share(b, n_base)) * F.ln(share(c, n_curr) / share(b, n_base))
+    p, q = share("b", n_base), share("c", n_curr)
+    terms = f"zip_with({base}, {curr}, (b, c) -> ({q} - {p}) * ln({q} / {p}))"
+    return F.expr(f"if({_comparable(n_base, n_curr, low, high)}, round(greatest({_sum(terms)}, 0D), 6), 0D)")
 
-    score = F.round(F.greatest(_sum(F.zip_with(base, curr, term)), F.lit(0.0)), 6)
-    comparable = (n_base > 0) & (n_curr > 0) & (low < high)
-    return F.when(comparable, score).otherwise(F.lit(0.0))
 
+def _sum(array: str) -> str:
+    return f"aggregate({array}, 0D, (so_far, x) -> so_far + x)"
 
-def _sum(array: Column) -> Column:
-    return F.aggregate(array, F.lit(0.0), lambda so_far, x: so_far + x)
+
+def _comparable(n_base: str, n_curr: str, low: str, high: str) -> str:
+    return f"{n_base} > 0 AND {n_curr} > 0 AND {low} < {high}"
 
 
 def counts_per_bin(bin_column: str, n: str, n_bins: int = N_BINS) -> Column:
@@ -80,8 +81,7 @@ def _binned(samples: DataFrame, edges: DataFrame, bin_of, n_bins: int) -> DataFr
     )
 
 
-def _scored() -> list[Column]:
-    return [F.col(c) for c in ("base", "curr", "n_base", "n_curr", "low", "high")]
+_SCORED = ("base", "curr", "n_base", "n_curr", "low", "high")
 
 
 def psi(samples: DataFrame, n_bins: int = N_BINS, features: Sequence[str] = FEATURES) -> DataFrame:
@@ -94,7 +94,7 @@ def psi(samples: DataFrame, n_bins: int = N_BINS, features: Sequence[str] = FEAT
         F.count_if(_base()).alias("n_base"),
         F.count_if(_curr()).alias("n_curr"),
     )
-    return _binned(samples, edges, psi_bin, n_bins).select("feature_name", psi_score(*_scored()).alias("psi_score"))
+    return _binned(samples, edges, psi_bin, n_bins).select("feature_name", psi_score(*_SCORED).alias("psi_score"))
 
 
 # KL ------------------------------------------------------------------------------------------------------
@@ -104,19 +104,17 @@ def kl_bin(value: str, low: str, high: str, n_bins: int = N_BINS) -> Column:
     return F.expr(bin_index(value, low, f"({high} + {_KL_WIDEN}D - {low}) / {n_bins}D", n_bins))
 
 
-def kl_score(base: Column, curr: Column, n_base: Column, n_curr: Column, low: Column, high: Column) -> Column:
+def kl_score(base: str, curr: str, n_base: str, n_curr: str, low: str, high: str) -> Column:
     """KL(baseline || current) of the smoothed, renormalised densities over the joint range."""
-    width = (high + F.lit(_KL_WIDEN) - low) / F.size(base).cast("double")
+    width = f"(({high} + {_KL_WIDEN}D - {low}) / size({base}))"
 
-    def density(counts: Column, n: Column) -> Column:
-        return F.transform(counts, lambda c: F.try_divide(F.try_divide(c, n), width) + F.lit(_KL_SMOOTH))
+    def density(counts: str, n: str) -> str:
+        return f"transform({counts}, x -> try_divide(try_divide(x, {n}), {width}) + {_KL_SMOOTH}D)"
 
     p, q = density(base, n_base), density(curr, n_curr)
-    p_total, q_total = _sum(p), _sum(q)
-    score = _sum(F.zip_with(p, q, lambda a, b: a / p_total * F.ln((a / p_total) / (b / q_total))))
+    score = f"zip_with({p}, {q}, (a, b) -> a / {_sum(p)} * ln((a / {_sum(p)}) / (b / {_sum(q)})))"
     # A joint range without width has both sides constant and equal.
-    comparable = (n_base > 0) & (n_curr > 0) & (low < high)
-    return F.when(comparable, score).otherwise(F.lit(0.0))
+    return F.expr(f"if({_comparable(n_base, n_curr, low, high)}, {_sum(score)}, 0D)")
 
 
 def kl_divergence(samples: DataFrame, n_bins: int = N_BINS, features: Sequence[str] = FEATURES) -> DataFrame:
@@ -128,24 +126,21 @@ def kl_divergence(samples: DataFrame, n_bins: int = N_BINS, features: Sequence[s
         F.count_if(_base()).alias("n_base"),
         F.count_if(_curr()).alias("n_curr"),
     )
-    return _binned(samples, edges, kl_bin, n_bins).select("feature_name", kl_score(*_scored()).alias("kl_divergence"))
+    return _binned(samples, edges, kl_bin, n_bins).select("feature_name", kl_score(*_SCORED).alias("kl_divergence"))
 
 
 # Z score -------------------------------------------------------------------------------------------------
 
 
-def z_columns(mean_base: Column, std_base: Column, mean_curr: Column, comparable: Column, threshold: float) -> list[Column]:
-    z = F.abs(mean_curr - mean_base) / (std_base + F.lit(EPSILON))
-
-    def where_comparable(column: Column, otherwise: float) -> Column:
-        return F.when(comparable, F.round(column, 4)).otherwise(F.lit(otherwise))
-
+def z_columns(mean_base: str, std_base: str, mean_curr: str, comparable: str, threshold: float) -> list[Column]:
+    std = f"({std_base} + {EPSILON}D)"
+    z = f"(abs({mean_curr} - {mean_base}) / {std})"
     return [
-        where_comparable(mean_curr, 0.0).alias("current_mean"),
-        where_comparable(mean_base, 0.0).alias("baseline_mean"),
-        where_comparable(std_base + F.lit(EPSILON), 1.0).alias("baseline_std"),
-        where_comparable(z, 0.0).alias("z_score"),
-        F.when(comparable, z > threshold).otherwise(F.lit(False)).alias("is_anomalous"),
+        F.expr(f"if({comparable}, round({mean_curr}, 4), 0D)").alias("current_mean"),
+        F.expr(f"if({comparable}, round({mean_base}, 4), 0D)").alias("baseline_mean"),
+        F.expr(f"if({comparable}, round({std}, 4), 1D)").alias("baseline_std"),
+        F.expr(f"if({comparable}, round({z}, 4), 0D)").alias("z_score"),
+        F.expr(f"if({comparable}, {z} > {threshold}D, false)").alias("is_anomalous"),
     ]
 
 
@@ -157,9 +152,8 @@ def z_score(samples: DataFrame, threshold: float = 3.0, features: Sequence[str]
         F.stddev_pop(F.when(_base(), value)).alias("std_base"),
         F.avg(F.when(_curr(), value)).alias("mean_curr"),
     )
-    mean_base, std_base, mean_curr = (F.col(c) for c in ("mean_base", "std_base", "mean_curr"))
-    comparable = mean_base.isNotNull() & mean_curr.isNotNull()
-    return moments.select("feature_name", *z_columns(mean_base, std_base, mean_curr, comparable, threshold))
+    comparable = "(mean_base IS NOT NULL AND mean_curr IS NOT NULL)"
+    return moments.select("feature_name", *z_columns("mean_base", "std_base", "mean_curr", comparable, threshold))
 
 
 # Kolmogorov-Smirnov --------------------------------------------------------------------------------------
@@ -210,15 +204,18 @@ def with_largest_gap(gaps: DataFrame) -> DataFrame:
     )
 
 
-def ks_columns(d: Column, n_base: Column, n_curr: Column, alpha: float, method: str) -> list[Column]:
-    comparable = (n_base > 0) & (n_curr > 0)
-    d = F.when(comparable, d).otherwise(F.lit(0.0))
-    p = F.when(comparable, p_value(n_base, n_curr, d, method)).otherwise(F.lit(1.0))
-    return [
-        F.round(d, 6).alias("ks_statistic"),
-        F.round(p, 6).alias("ks_p_value"),
-        (p < alpha).alias("ks_significant"),
-    ]
+def with_ks(frame: DataFrame, alpha: float, method: str) -> DataFrame:
+    """Adds statistic, p and significance to rows of ``d``, ``n_base`` and ``n_curr``."""
+    comparable = "n_base > 0 AND n_curr > 0"
+    known = frame.withColumn("d", F.expr(f"if({comparable}, d, 0D)"))
+    p = F.when(F.expr(comparable), p_value("n_base", "n_curr", "d", method)).otherwise(F.lit(1.0))
+    return known.withColumn("_p", p).withColumns(
+        {
+            "ks_statistic": F.round("d", 6),
+            "ks_p_value": F.round("_p", 6),
+            "ks_significant": F.col("_p") < alpha,
+        }
+    )
 
 
 def ks_2samp(
@@ -234,9 +231,7 @@ def ks_2samp(
     per_feature = largest.groupBy("feature_name").agg(
         F.max("d").alias("d"), F.max("n_base").alias("n_base"), F.max("n_curr").alias("n_curr")
     )
-    return per_feature.select(
-        "feature_name", *ks_columns(F.col("d"), F.col("n_base"), F.col("n_curr"), alpha, method)
-    )
+    return with_ks(per_feature, alpha, method).select("feature_name", "ks_statistic", "ks_p_value", "ks_significant")
 
 
 # Histograms and summaries --------------------------------------------------------------------------------
@@ -258,21 +253,22 @@ def histogram(samples: DataFrame, n_bins: int = 30, features: Sequence[str] = FE
         F.when(flat, F.col("low") - 0.5).otherwise(F.col("low")).alias("low"),
         F.when(flat, F.col("high") + 0.5).otherwise(F.col("high")).alias("high"),
     ).withColumn("width", (F.col("high") - F.col("low")) / F.lit(float(n_bins)))
-    counts = [F.count_if(_base()).alias("n_baseline"), F.count_if(_curr()).alias("n_current")] if split else []
-    counted = (
+    counts = {"n_baseline": _base(), "n_current": _curr()} if split else {"n": F.lit(True)}
+    per_bin = (
         samples.join(F.broadcast(extent), "feature_name")
         .withColumn("bin", F.expr(bin_index("value", "low", "width", n_bins)))
-        .groupBy("feature_name", "bin")
-        .agg(*(counts or [F.count(F.lit(1)).alias("n")]))
+        .groupBy("feature_name", "low", "width", "bin")
+        .agg(*[F.count_if(condition).alias(name) for name, condition in counts.items()])
+        .groupBy("feature_name", "low", "width")
+        .agg(*[counts_per_bin("bin", name, n_bins).alias(name) for name in counts])
     )
-    names = counted.columns[2:]
-    every_bin = extent.withColumn("bin", F.explode(F.sequence(F.lit(1), F.lit(n_bins))))
-    return every_bin.join(counted, ["feature_name", "bin"], "left").select(
+    zipped = F.arrays_zip(F.sequence(F.lit(1), F.lit(n_bins)).alias("bin"), *[F.col(name) for name in counts])
+    return per_bin.select("feature_name", "low", "width", F.explode(zipped).alias("b")).select(
         "feature_name",
-        "bin",
-        (F.col("low") + (F.col("bin") - 1) * F.col("width")).alias("lower"),
-        (F.col("low") + F.col("bin") * F.col("width")).alias("upper"),
-        *[F.coalesce(c, F.lit(0)).alias(c) for c in names],
+        "b.bin",
+        (F.col("low") + (F.col("b.bin") - 1) * F.col("width")).alias("lower"),
+        (F.col("low") + F.col("b.bin") * F.col("width")).alias("upper"),
+        *[f"b.{name}" for name in counts],
     )
 
 

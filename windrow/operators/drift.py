@@ -13,11 +13,11 @@ from windrow.operators.distribution import (
     counts_per_bin,
     kl_bin,
     kl_score,
-    ks_columns,
     psi_bin,
     psi_score,
     range_gaps,
     tally,
+    with_ks,
     with_largest_gap,
     z_columns,
 )
@@ -49,45 +49,38 @@ def detect_drift(
     The values are shuffled once, as counts per distinct value; profile, cuts and bins all read that shuffle.
     """
     counted = tally(of_features(samples, features))
-    value, base, curr = F.col("value"), F.col("base"), F.col("curr")
 
-    def side_profile(side: Column, name: str) -> list[Column]:
-        present = F.when(side > 0, value)
+    def side_profile(side: str) -> list[Column]:
+        present = f"FILTER (WHERE {side} > 0)"
         return [
-            F.sum(side).alias(f"n_{name}"),
-            F.min(present).alias(f"low_{name}"),
-            F.max(present).alias(f"high_{name}"),
-            (F.sum(value * side) / F.nullif(F.sum(side), F.lit(0))).alias(f"mean_{name}"),
+            F.expr(f"sum({side})").alias(f"n_{side}"),
+            F.expr(f"min(value) {present}").alias(f"low_{side}"),
+            F.expr(f"max(value) {present}").alias(f"high_{side}"),
+            F.expr(f"try_divide(sum(value * {side}), sum({side}))").alias(f"mean_{side}"),
         ]
 
     profile = counted.groupBy("feature_name").agg(
-        *side_profile(base, "base"), *side_profile(curr, "curr"), sketched_cuts("value").alias("cuts")
+        *side_profile("base"), *side_profile("curr"), sketched_cuts("value").alias("cuts")
     )
-    missing = F.col("n_base") == 0
     # Without baseline the current side stands in for it.
     constants = {
-        "baseline_missing": missing,
-        **{c: F.when(missing, F.col(f"{c}_curr")).otherwise(F.col(f"{c}_base")) for c in ("low", "high")},
-        "n_base": F.when(missing, F.col("n_curr")).otherwise(F.col("n_base")),
-        "n_curr": F.col("n_curr"),
-        "mean_base": F.when(missing, F.col("mean_curr")).otherwise(F.col("mean_base")),
-        "mean_curr": F.col("mean_curr"),
-        "joint_low": F.least("low_base", "low_curr"),
-        "joint_high": F.greatest("high_base", "high_curr"),
+        "baseline_missing": "n_base = 0",
+        **{f"{c}_base": f"if(n_base = 0, {c}_curr, {c}_base)" for c in ("n", "low", "high", "mean")},
+        "n_curr": "n_curr",
+        "mean_curr": "mean_curr",
+        "joint_low": "least(low_base, low_curr)",
+        "joint_high": "greatest(high_base, high_curr)",
     }
-    profile = profile.filter(F.col("n_curr") > 0).select(
-        "feature_name",
-        *[column.alias(name) for name, column in constants.items()],
-        "cuts",
+    profile = profile.filter("n_curr > 0").selectExpr(
+        "feature_name", "cuts", *[f"{sql} AS {name}" for name, sql in constants.items()]
     )
-
-    off_mean = value - F.col("mean_base")
+    stands_in = "if(baseline_missing, curr, base)"
     ranged = with_range(counted.join(F.broadcast(profile), "feature_name")).withColumns(
         {
-            "base": F.when(F.col("baseline_missing"), curr).otherwise(base),
-            "psi_bin": psi_bin("value", "low", "high"),
+            "base": F.expr(stands_in),
+            "psi_bin": psi_bin("value", "low_base", "high_base"),
             "kl_bin": kl_bin("value", "joint_low", "joint_high"),
-            "squares": F.when(F.col("baseline_missing"), curr).otherwise(base) * off_mean * off_mean,
+            "squares": F.expr(f"{stands_in} * pow(value - mean_base, 2)"),
         }
     )
     # Bins ascend with the range, so a feature has at most (ranges + bins) of these groups.
@@ -97,30 +90,29 @@ def detect_drift(
 
     per_feature = small.groupBy("feature_name", *constants).agg(
         F.max("d").alias("d"),
-        F.sqrt(F.sum("squares") / F.col("n_base")).alias("std_base"),
+        F.expr("sqrt(sum(squares) / n_base)").alias("std_base"),
         *[counts_per_bin(b, side).alias(f"{b}_{side}") for b in ("psi_bin", "kl_bin") for side in ("base", "curr")],
     )
-    n_base, n_curr = F.col("n_base"), F.col("n_curr")
-    scores = per_feature.select(
-        "feature_name",
-        psi_score(
-            F.col("psi_bin_base"), F.col("psi_bin_curr"), n_base, n_curr, F.col("low"), F.col("high")
-        ).alias("psi_score"),
-        *ks_columns(F.col("d"), n_base, n_curr, thresholds.ks_alpha, ks_method),
-        *z_columns(F.col("mean_base"), F.col("std_base"), F.col("mean_curr"), n_curr > 0, thresholds.z_alert),
-        F.round(
-            kl_score(
-                F.col("kl_bin_base"), F.col("kl_bin_curr"), n_base, n_curr, F.col("joint_low"), F.col("joint_high")
-            ),
-            6,
-        ).alias("kl_divergence"),
-        n_base.alias("baseline_size"),
-        n_curr.alias("current_size"),
-        "baseline_missing",
+    severity = psi_severity(F.col("psi_score"), thresholds.psi_warn, thresholds.psi_alert)
+    kl = kl_score("kl_bin_base", "kl_bin_curr", "n_base", "n_curr", "joint_low", "joint_high")
+    return (
+        with_ks(per_feature, thresholds.ks_alpha, ks_method)
+        .select(
+            "feature_name",
+            psi_score("psi_bin_base", "psi_bin_curr", "n_base", "n_curr", "low_base", "high_base").alias("psi_score"),
+            "ks_statistic",
+            "ks_p_value",
+            "ks_significant",
+            *z_columns("mean_base", "std_base", "mean_curr", "n_curr > 0", thresholds.z_alert),
+            F.round(kl, 6).alias("kl_divergence"),
+            F.col("n_base").alias("baseline_size"),
+            F.col("n_curr").alias("current_size"),
+            "baseline_missing",
+        )
+        .withColumn("severity", severity)
+        .withColumn("severity", F.expr("if(severity = 'ok' AND ks_significant, 'warn', severity)"))
+        .withColumn("is_drifting", F.col("severity") != "ok")
     )
-    by_psi = psi_severity(F.col("psi_score"), thresholds.psi_warn, thresholds.psi_alert)
-    severity = F.when((by_psi == "ok") & F.col("ks_significant"), "warn").otherwise(by_psi)
-    return scores.withColumns({"severity": severity, "is_drifting": severity != "ok"})
 
 
 def drift_verdict(report: DataFrame) -> DataFrame:
