@@ -144,6 +144,20 @@ def test_second_writer_of_a_version_fails(spark, tmp_path):
         table._commit(rows, "append", False, None, version=0)
 
 
+def test_manifest_is_rolled_up(spark, tmp_path):
+    history = FeatureHistory(spark, f"{tmp_path}/h")
+    history.table.commits_per_rollup = 3
+    for i in range(7):
+        history.append(vectors(spark, ("a", i, i, i)), f"q/{i}", committed_at=float(i))
+    assert history.table._names("rollup") == ["00000000", "00000001"]
+    assert values(history.table.manifest(), "version") == [(i,) for i in range(7)]
+    assert values(history.read(), "computed_at") == [(float(i),) for i in range(7)]
+    assert history.read(version=1).count() == 2 and history.append(vectors(spark), "q/2") == 2
+    # A roll-up that was not finished is passed over.
+    (tmp_path / "h" / "rollup" / "00000001" / "_SUCCESS").rename(tmp_path / "unfinished")
+    assert values(history.table.manifest(), "version") == [(i,) for i in range(7)]
+
+
 def test_replacing_a_day_by_nothing_empties_it(spark, tmp_path):
     history = FeatureHistory(spark, f"{tmp_path}/h")
     history.append(vectors(spark, ("a", 0, 1, 1), ("a", 1440, 1, 1)))

@@ -12,7 +12,6 @@ import json
 from collections.abc import Sequence
 from datetime import datetime, timezone
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -27,6 +26,8 @@ _MANIFEST_SCHEMA = """
 class VersionedTable:
     """A table at ``path`` partitioned by one column of few values, such as a date or a hash bucket."""
 
+    commits_per_rollup = 100
+
     def __init__(self, spark: SparkSession, path: str, partition_by: str = "event_date"):
         self.spark = spark
         self.path = path.rstrip("/")
@@ -35,12 +36,28 @@ class VersionedTable:
     # Manifest -----------------------------------------------------------------------------------
 
     def manifest(self) -> DataFrame:
-        try:
-            return self.spark.read.schema(_MANIFEST_SCHEMA).json(f"{self.path}/manifest/*")
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return self.spark.createDataFrame([], _MANIFEST_SCHEMA)
+        """All entries: the newest roll-up and the commits after it."""
+        reader = self.spark.read.schema(_MANIFEST_SCHEMA)
+        finished = (n for n in reversed(self._names("rollup")) if "_SUCCESS" in self._names(f"rollup/{n}"))
+        rolled = next(finished, None)
+        later = [f"{self.path}/manifest/{n}/*" for n in self._names("manifest") if rolled is None or n > rolled]
+        if rolled is None:
+            return reader.json(later) if later else self.spark.createDataFrame([], _MANIFEST_SCHEMA)
+        entries = reader.parquet(f"{self.path}/rollup/{rolled}")
+        return entries.unionByName(reader.json(later)) if later else entries
+
+    def _names(self, folder: str) -> list[str]:
+        """Names in a folder of the table, in order; none if it does not exist."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{folder}")
+        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return sorted(f.getPath().getName() for f in files.listStatus(path)) if files.exists(path) else []
+
+    def _roll_up(self, version: int) -> None:
+        """After each full group of commits, gathers their entries and all earlier ones in one file, so that a
+        table of a million commits is still read from two or three folders."""
+        if (version + 1) % self.commits_per_rollup == 0:
+            group = f"{version // self.commits_per_rollup:08d}"
+            self.manifest().coalesce(1).write.mode("overwrite").parquet(f"{self.path}/rollup/{group}")
 
     def latest_version(self) -> int:
         """-1 before the first commit."""
@@ -71,8 +88,9 @@ class VersionedTable:
         version = self.latest_version() + 1 if version is None else version
         folder = f"{self.path}/data/version={version:010d}"
         # Left over from a failed attempt if it exists: no manifest entry names it.
-        rows.write.mode("overwrite").partitionBy(self.partition_by).parquet(folder)
-        written = self._partitions_in(folder)
+        writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "static")
+        writer.partitionBy(self.partition_by).parquet(folder)
+        written = self._partitions_of(version)
         now = datetime.now(timezone.utc).timestamp() if committed_at is None else committed_at
         touched = sorted(written | {str(p) for p in empty}) or [None]
         entries = [
@@ -80,14 +98,14 @@ class VersionedTable:
             for i, p in enumerate(touched)
         ]
         entry = self.spark.createDataFrame(entries, _MANIFEST_SCHEMA).coalesce(1)
-        entry.write.mode("errorifexists").json(f"{self.path}/manifest/{version:010d}")
+        group = version // self.commits_per_rollup
+        entry.write.mode("errorifexists").json(f"{self.path}/manifest/{group:08d}/{version:010d}")
+        self._roll_up(version)
         return version
 
-    def _partitions_in(self, folder: str) -> set[str]:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
-        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(path)
-        names = (f.getPath().getName() for f in files if f.isDirectory())
-        return {name.split("=", 1)[1] for name in names if name.startswith(f"{self.partition_by}=")}
+    def _partitions_of(self, version: int) -> set[str]:
+        prefix = f"{self.partition_by}="
+        return {n[len(prefix) :] for n in self._names(f"data/version={version:010d}") if n.startswith(prefix)}
 
     # Writing ------------------------------------------------------------------------------------
 
@@ -171,10 +189,7 @@ class VersionedTable:
 
     def read_commit(self, version: int, schema: StructType) -> DataFrame:
         """The rows one version wrote."""
-        folder = f"version={version:010d}"
-        if not self._partitions_in(f"{self.path}/data/{folder}"):
-            return self._read_folders([], schema)
-        return self._read_folders([folder], schema)
+        return self._read_folders([f"version={version:010d}"] if self._partitions_of(version) else [], schema)
 
     def _read_folders(self, folders: list[str], schema: StructType) -> DataFrame:
         if not folders:
