@@ -75,7 +75,8 @@ def _latest(name: str, of: str, where: str = "true", ttl: int | None = None) ->
 
 def _samples(widths: tuple[str, ...]) -> str:
     return f"""{_EVENTS}, {_vector("vec", widths)},
-samples AS (SELECT feature_name, CASE WHEN window_start < {_SPLIT} THEN 'baseline' ELSE 'current' END AS side, value
+samples AS (SELECT feature_name, CASE WHEN window_start < {_SPLIT} THEN 'baseline' ELSE 'current' END AS side,
+                   round(value, 9) AS value
             FROM (UNPIVOT vec ON {_F} INTO NAME feature_name VALUE value))"""
 
 
@@ -359,7 +360,7 @@ def _drift_sql() -> dict[str, str]:
     kept = ", ".join(f"'{f}'" for f in FEATURES[:3])
     alone = _with_drift(_DENSE).replace(
         "SELECT feature_name, CASE WHEN window_start <",
-        f"""SELECT * FROM (SELECT feature_name, value, unnest(CASE WHEN feature_name IN ({kept})
+        f"""SELECT * FROM (SELECT feature_name, round(value, 9) AS value, unnest(CASE WHEN feature_name IN ({kept})
               THEN [CASE WHEN window_start < {_SPLIT} THEN 'baseline' ELSE 'current' END]
               WHEN window_start >= {_SPLIT} THEN ['baseline', 'current'] ELSE [] END) AS side
             FROM (UNPIVOT vec ON {_F} INTO NAME feature_name VALUE value))), samples_unused AS (

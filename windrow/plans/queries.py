@@ -63,8 +63,12 @@ def online_rows(spark: SparkSession, folder: str, widths: Widths = REFERENCE_WID
 
 
 def drift_samples(spark: SparkSession, folder: str, widths: Widths = DENSE_WIDTHS) -> DataFrame:
-    """First half of the month as baseline, second half as current."""
-    long = wide_to_long(vectors(spark, folder, widths), keep=["window_start"])
+    """First half of the month as baseline, second half as current.
+
+    Values are rounded so that equal ones stay equal whatever the order their sums were made in; ranks and bins
+    depend on it.
+    """
+    long = rounded(wide_to_long(vectors(spark, folder, widths), keep=["window_start"]), 9)
     early = F.col("window_start") < F.lit(SPLIT).cast("timestamp_ntz")
     return long.select("feature_name", F.when(early, "baseline").otherwise("current").alias("side"), "value")
 
