@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from windrow.operators.cells import cells, fold_cells, session_cells
 from windrow.operators.latest import latest_per_user
 from windrow.operators.vector import feature_vector
-from windrow.schema import FEATURES
+from windrow.plans.jobs import stream_features
+from windrow.schema import EVENT_SCHEMA, FEATURES
 from windrow.sources.activity import read_activity
 from windrow.sources.events import encode_events, parse_events, read_event_stream
 from windrow.sources.stores import FeatureHistory, OnlineStore
-from windrow.streaming.features import cell_table, late_rows, start_history, start_online
+from windrow.streaming.features import cell_table, compact_live_cells, late_rows, start_history, start_online
 
 SENTINEL = "sentinel"
 
@@ -96,3 +97,34 @@ def test_online_query_ends_at_the_latest_vectors(spark, replay, tmp_path):
     expected = latest_per_user(feature_vector(events, computed_at=F.lit(1.0)))
     assert_same(expected.select("user_id", "window_start", *FEATURES), online.read(now=2.0))
     assert online.read(now=301.0).isEmpty()
+
+
+def test_stream_job_drops_invalid_events_and_live_cells_fold(spark, tmp_path):
+    at = datetime(2024, 1, 1, 12)
+
+    def write(*rows):
+        full = [
+            (f"e{m}{u}", u, "s", kind, at + timedelta(minutes=m), 5.0, "p", "home", ("US", "Austin"), device, None)
+            for u, m, kind, device in rows
+        ]
+        lines = encode_events(spark.createDataFrame(full, EVENT_SCHEMA)).select(F.col("value").cast("string"))
+        lines.coalesce(1).write.mode("append").text(f"{tmp_path}/events")
+
+    def run():
+        for query in stream_features(spark, f"{tmp_path}/t", f"{tmp_path}/c", trigger=None, folder=f"{tmp_path}/events"):
+            assert query.awaitTermination(300)
+
+    write(("a", 0, "purchase", "mobile"), ("b", 1, "purchase", "toaster"))
+    run()
+    write(("a", 2, "purchase", "mobile"), ("a", 60, "page_view", "tablet"))
+    run()
+    online = OnlineStore(spark, f"{tmp_path}/t/online").read_all().collect()
+    assert [(r["user_id"], r["txn_count_5m"]) for r in online] == [("a", 2.0)]
+    stored = FeatureHistory(spark, f"{tmp_path}/t/history").read().collect()
+    assert [(r["user_id"], r["txn_count_5m"]) for r in stored] == [("a", 2.0)]
+
+    live = cell_table(spark, f"{tmp_path}/t/live_cells")
+    emitted = live.read()
+    assert emitted.count() == 3
+    compact_live_cells(live, [at.date()])
+    assert sorted(r["n_events"] for r in live.read().collect()) == [1, 2]

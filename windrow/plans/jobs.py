@@ -16,7 +16,7 @@ from windrow.operators.latest import latest_per_user, sample_users
 from windrow.operators.samples import two_sided, wide_to_long
 from windrow.operators.serving import find_stale
 from windrow.operators.vector import REFERENCE_WIDTHS, Widths, backfill_vector
-from windrow.schema import ALERTS_TOPIC, STALE_TTL_SECONDS
+from windrow.schema import ALERTS_TOPIC, STALE_TTL_SECONDS, TRIGGER
 from windrow.sources.events import parse_events, read_event_stream, validate_events
 from windrow.sources.stores import Baselines, FeatureHistory, Log, OnlineStore, emit
 from windrow.streaming.features import cell_table, start_history, start_online
@@ -37,18 +37,23 @@ def _metric(rows: DataFrame, metric_type: str, value: str, now: float) -> DataFr
 
 
 def stream_features(
-    spark: SparkSession, root: str, checkpoints: str, widths: Widths = REFERENCE_WIDTHS, **source
+    spark: SparkSession,
+    root: str,
+    checkpoints: str,
+    widths: Widths = REFERENCE_WIDTHS,
+    trigger: str | None = TRIGGER,
+    **source,
 ) -> tuple:
     """Starts both queries over one source; ``source`` is passed to ``read_event_stream``."""
 
     def events() -> DataFrame:
         return validate_events(parse_events(read_event_stream(spark, **source)))[0]
 
-    history = FeatureHistory(spark, f"{root}/history")
-    online = OnlineStore(spark, f"{root}/online")
+    history, online = FeatureHistory(spark, f"{root}/history"), OnlineStore(spark, f"{root}/online")
+    cells, live_cells = cell_table(spark, f"{root}/cells"), cell_table(spark, f"{root}/live_cells")
     return (
-        start_history(events(), history, cell_table(spark, f"{root}/cells"), f"{checkpoints}/history", widths),
-        start_online(events(), online, cell_table(spark, f"{root}/live_cells"), f"{checkpoints}/online", widths),
+        start_history(events(), history, cells, f"{checkpoints}/history", widths, trigger),
+        start_online(events(), online, live_cells, f"{checkpoints}/online", widths, trigger=trigger),
     )
 
 

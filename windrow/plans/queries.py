@@ -18,7 +18,7 @@ from windrow.functions.columns import psi_reading, psi_severity
 from windrow.operators import consistency, diagnosis, distribution, drift, features, latest, registry, serving
 from windrow.operators.asof import point_in_time
 from windrow.operators.cells import cells, fold_cells, session_cells
-from windrow.operators.samples import two_sided, wide_to_long
+from windrow.operators.samples import wide_to_long
 from windrow.operators.vector import (
     DENSE_WIDTHS,
     REFERENCE_WIDTHS,
@@ -356,7 +356,10 @@ def _consistency_queries() -> dict[str, Query]:
 
     def alert(s: SparkSession, d: str) -> DataFrame:
         sent = consistency.alerts(skew_report(s, d), F.lit(NOW_EPOCH))
-        value = "alert_type string, severity string, inconsistency_rate double, worst_feature string, max_deviation double, sample_size long, timestamp double"  # noqa: E501
+        value = """
+            alert_type string, severity string, inconsistency_rate double, worst_feature string,
+            max_deviation double, sample_size long, timestamp double
+        """
         return rounded(sent.select("key", F.from_json("value", value).alias("v")).select("key", "v.*"))
 
     return {

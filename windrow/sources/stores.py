@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +14,8 @@ from windrow.operators.vector import training_projection
 from windrow.schema import BASELINE_TTL_SECONDS, DIAGNOSIS_SCHEMA, FEATURE_TTL_SECONDS, METRIC_SCHEMA
 from windrow.sources.tables import VersionedTable
 
+_log = logging.getLogger(__name__)
+
 VECTOR_KEY = ("user_id", "window_start")
 
 
@@ -40,6 +43,7 @@ class FeatureHistory:
             self.append(vectors, tag)
             return True
         except Exception:
+            _log.exception("batch %d could not be appended and is set aside", batch_id)
             folder = f"{self.dead_letters}/batch_id={batch_id}"
             self.dated(vectors).write.mode("overwrite").partitionBy("event_date").parquet(folder)
             return False
