@@ -162,6 +162,13 @@ def hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, most: int =
     return docs
 
 
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs`` without a hit, with their own columns, whatever these are called."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(row, F.col("text").cast("string").alias("text"))
+    return hits(rows, benchmark).filter(F.size("spans") == 0).select("row.*")
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Per row of ``docs(doc_id, text)``: words, hit words, items, their digest, and the verdict."""
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))

@@ -34,6 +34,7 @@ TOTAL_SHARE = (3, 2)  # the mix has 150% of all words
 MOST_REPEATS = 2
 BLOCK_ROWS = 4096
 EPSILON = 1e-9
+ROW = ("doc_id", "source", "size", "tie", "tie2")
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -134,7 +135,7 @@ def landing(size: np.ndarray, chance: np.ndarray, draws: np.ndarray) -> np.ndarr
 
 def balance(group: pd.DataFrame) -> pd.DataFrame:
     """One block: rows in a fixed order, a flight, and a landing where the block is the source's only one."""
-    group = group.sort_values(["doc_id", "size", "chance"], kind="stable", na_position="first").reset_index(drop=True)
+    group = group.sort_values(["doc_id", "size", "tie", "tie2"], na_position="first").reset_index(drop=True)
     key = f"{group['rank'][0]}/{group['block'][0]}/{group['round'][0]}"
     draws = np.random.default_rng(zlib.crc32(key.encode())).random((2, len(group)))
     size = group["size"].to_numpy(np.int64)
@@ -147,8 +148,44 @@ def balance(group: pd.DataFrame) -> pd.DataFrame:
 def mixed(docs: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Per row of ``docs(doc_id, text, source)``: size, source size, target, copies in the mix, and words taken."""
     rows = sizes(
-        docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("source").cast("string"))
-    ).drop("text")
+        docs.select(
+            F.col("doc_id").cast("long"),
+            F.col("text").cast("string"),
+            F.col("source").cast("string"),
+            F.xxhash64("text").alias("tie"),
+            F.lit(0).cast("long").alias("tie2"),
+        )
+    )
+    return drawn(rows.drop("text"), block_rows).drop("tie", "tie2")
+
+
+def resampled(docs: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them, with their own columns, whatever these are called.
+
+    Rows that agree in every column can't be told apart, nor need to be: they are one row with all their draws, so no
+    number of equal rows makes a hot key.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    whole = docs.select(row).select("row", F.xxhash64("row").alias("tie"), F.xxhash64(F.lit(1), F.col("row")).alias("tie2"))
+    rows = whole.select(
+        F.col("row.doc_id").cast("long").alias("doc_id"),
+        F.col("row.text").cast("string").alias("text"),
+        F.col("row.source").cast("string").alias("source"),
+        "tie",
+        "tie2",
+    )
+    draws = drawn(sizes(rows).drop("text"), block_rows).groupBy("tie", "tie2").agg(F.sum("copies").alias("copies"))
+    return (
+        whole.groupBy("tie", "tie2")
+        .agg(F.first("row").alias("row"))
+        .join(draws.filter(F.col("copies") > 0), ["tie", "tie2"])
+        .select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+        .select("row.*")
+    )
+
+
+def drawn(rows: DataFrame, block_rows: int) -> DataFrame:
+    """The mix of ``rows(doc_id, source, size, tie, tie2)``; the ties order rows of one id."""
     rows = stored(rows, "sizes")
     plan = stored(targets(rows), "targets")
     joined = rows.withColumn("named", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
@@ -158,7 +195,7 @@ def mixed(docs: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
         joined.join(plan, "named")
         .withColumn("whole", F.floor(ratio + EPSILON).cast("int"))
         .withColumn("chance", F.greatest(ratio - F.col("whole"), F.lit(0.0)))
-        .select("doc_id", "source", "size", "rank", "source_size", "target", "whole", "chance")
+        .select(*ROW, "rank", "source_size", "target", "whole", "chance")
     )
     schema = waiting.withColumns({c: F.lit(0).cast("long") for c in ("n", "blocks", "block")}).withColumn(
         "round", F.lit(0)
@@ -171,7 +208,7 @@ def mixed(docs: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
         dealt = (
             waiting.join(counts, "rank")
             .withColumn("blocks", blocks)
-            .withColumn("block", F.pmod(F.xxhash64("doc_id", "size", F.lit(turn)), F.col("blocks")))
+            .withColumn("block", F.pmod(F.xxhash64("doc_id", "size", "tie", "tie2", F.lit(turn)), F.col("blocks")))
             .withColumn("round", F.lit(turn))
             .select(*schema.columns)
         )
@@ -186,9 +223,7 @@ def mixed(docs: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
         out = out.unionByName(part)
     copies = F.col("whole") + F.rint("chance").cast("int")
     return out.select(
-        "doc_id",
-        "source",
-        "size",
+        *ROW,
         "source_size",
         "target",
         copies.alias("copies"),

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from windrow.llm import decontaminate, fertility, mix, records
+from windrow.llm import decontaminate, fertility, mix, records, simhash
 
 
 def tokenizer_file(name: str) -> str:
@@ -39,5 +39,9 @@ def op7_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.read_records(spark, manifest)
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_fertility, op3_mix, op7_records)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_fertility, op3_mix, op7_records, op10_simhash)}
