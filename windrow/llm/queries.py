@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from windrow.llm import decontaminate, fertility, mix, records, simhash
+from windrow.llm import decontaminate, fertility, language, mix, records, simhash, warc
 
 
 def tokenizer_file(name: str) -> str:
@@ -34,14 +34,25 @@ def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op7_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = records.write_records(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
     return records.read_records(spark, manifest)
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    found = warc.records(warc.chunk_table(spark, warc.write_archives(pages), data=False))
+    kind = pages.schema["page_id"].dataType
+    return found.withColumns({c: found[c].cast(kind) for c in ("page_id", "refers_to")})
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_fertility, op3_mix, op7_records, op10_simhash)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_fertility, op3_mix, op5_language, op7_records, op9_warc, op10_simhash)}
