@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from windrow.llm import decontaminate, fertility, language, mix, records, simhash, warc
+from windrow.llm import decontaminate, fertility, language, licenses, lines, mix, records, simhash, warc
 
 
 def tokenizer_file(name: str) -> str:
@@ -38,11 +39,21 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = records.write_records(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
     return records.read_records(spark, manifest)
 
 
+def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines, deleted lines and runs of every document, and the digest of what is kept."""
+    rows = lines.deduplicated(table(spark, sf_dir, "documents"))
+    return rows.withColumn("kept_sha256", F.sha2("kept_text", 256)).drop("kept_text")
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     found = warc.records(warc.chunk_table(spark, warc.write_archives(pages), data=False))
@@ -55,4 +66,4 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_fertility, op3_mix, op5_language, op7_records, op9_warc, op10_simhash)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_fertility, op3_mix, op5_language, op6_licenses, op7_records, op8_lines, op9_warc, op10_simhash)}
