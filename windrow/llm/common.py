@@ -42,6 +42,8 @@ def stored(frame: DataFrame, name: str) -> DataFrame:
     spark = frame.sparkSession
     path = scratch(spark, name)
     frame.write.parquet(path)
+    # Shuffle files of what is now stored go when the driver collects its garbage, which it may not do for long.
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(frame.schema).parquet(path)
 
 

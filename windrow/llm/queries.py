@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from windrow.llm import decontaminate, fertility, language, licenses, lines, mix, records, simhash, warc
+from windrow.llm import decontaminate, fertility, language, licenses, lines, mix, records, repeats, simhash, warc
 
 
 def tokenizer_file(name: str) -> str:
@@ -35,6 +35,17 @@ def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    removed = F.aggregate("runs", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["begin"])
+    return repeats.deduplicated(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "n_bytes",
+        removed.alias("n_removed"),
+        F.size("runs").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
@@ -66,4 +77,4 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_fertility, op3_mix, op5_language, op6_licenses, op7_records, op8_lines, op9_warc, op10_simhash)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_fertility, op3_mix, op4_suffix_array, op5_language, op6_licenses, op7_records, op8_lines, op9_warc, op10_simhash)}
