@@ -2,6 +2,73 @@
 
 from __future__ import annotations
 
+from windrow.llm.decontaminate import WINDOW
+from windrow.llm.lines import MIN_LINES
+
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+WORDS = f"regexp_extract_all({LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+DECONTAMINATE = f"""
+WITH item AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item_id, {WORDS} AS w FROM benchmark),
+pattern AS (
+  SELECT DISTINCT item_id, least(len(w), {WINDOW}) AS size, array_to_string(w[i : i + least(len(w), {WINDOW}) - 1], ' ') AS gram
+  FROM item, unnest(range(1, greatest(len(w) - {WINDOW}, 0) + 2)) AS t(i) WHERE len(w) > 0
+),
+doc AS (SELECT doc_id, {WORDS} AS w FROM documents),
+hit AS (
+  SELECT doc_id, i, size, item_id
+  FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM doc, (SELECT DISTINCT size FROM pattern))
+  JOIN pattern USING (size) WHERE array_to_string(w[i : i + size - 1], ' ') = gram
+),
+covered AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit
+  FROM (SELECT doc_id, unnest(range(i, i + size)) AS p FROM hit) GROUP BY doc_id
+),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+          FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+# A run of lines is compared by the lines themselves.
+LINES = f"""
+WITH doc AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+run AS (
+  SELECT doc_id, i, array_to_string(lines[i : i + {MIN_LINES} - 1], chr(10)) AS run
+  FROM doc, unnest(range(1, len(lines) - {MIN_LINES} + 2)) AS t(i)
+),
+later AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY run ORDER BY doc_id, i) AS nth FROM run)
+  WHERE nth > 1
+),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + {MIN_LINES})) AS i FROM later),
+heads AS (SELECT doc_id, i, i - 1 = lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS goes_on FROM gone),
+counts AS (
+  SELECT doc_id, count(*) AS n_removed, count(*) FILTER (goes_on IS NOT TRUE) AS n_runs, list(i) AS gone
+  FROM heads GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(lines) AS BIGINT) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(n_runs, 0) AS n_runs,
+  sha256(coalesce(array_to_string(list_filter(lines, lambda x, i: NOT list_contains(coalesce(gone, []), i)), chr(10)), ''))
+    AS kept_sha256
+FROM doc LEFT JOIN counts USING (doc_id)
+"""
+
+# Five hex digits are four digits to base 32.
+BASE32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (CAST('0x' || substr(sha, {5 * g + 1}, 5) AS BIGINT) >> {shift}) % 32 + 1, 1)"
+    for g in range(8)
+    for shift in (15, 10, 5, 0)
+)
+WARC = f"""
+WITH page AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS sha FROM pages),
+named AS (SELECT *, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, min(page_id) OVER (PARTITION BY sha, octet_length(encode(html))) AS first FROM page)
+SELECT page_id, payload_bytes, {BASE32} AS payload_digest,
+  CASE WHEN first IS NULL OR page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+FROM named
+"""
+
 
 def llm_sql() -> dict[str, str]:
-    return {}
+    return {"op1_decontaminate": DECONTAMINATE, "op8_lines": LINES, "op9_warc": WARC}
