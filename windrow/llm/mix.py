@@ -120,16 +120,16 @@ def step(chance: np.ndarray, members: list[int], move: tuple[float, ...], draw:
 
 
 def landing(size: np.ndarray, chance: np.ndarray, draws: np.ndarray) -> np.ndarray:
-    """Decides what the flight has left: two documents by words alone, the last by its chance."""
+    """Decides what the flight has left: two documents by words alone, the last by its chance; a row of draws for each."""
     chance = chance.copy()
     left = np.flatnonzero((chance > EPSILON) & (chance < 1 - EPSILON))
     if len(left) == 2:
         a, b = map(int, left)
         if size[a] and size[b]:
-            step(chance, [a, b], (float(size[b]), -float(size[a])), draws[a])
+            step(chance, [a, b], (float(size[b]), -float(size[a])), draws[0, a])
         left = np.flatnonzero((chance > EPSILON) & (chance < 1 - EPSILON))
     for i in left:
-        chance[i] = float(draws[i] < chance[i])
+        chance[i] = float(draws[1, i] < chance[i])
     return chance
 
 
@@ -137,11 +137,11 @@ def balance(group: pd.DataFrame) -> pd.DataFrame:
     """One block: rows in a fixed order, a flight, and a landing where the block is the source's only one."""
     group = group.sort_values(["doc_id", "size", "tie", "tie2"], na_position="first").reset_index(drop=True)
     key = f"{group['rank'][0]}/{group['block'][0]}/{group['round'][0]}"
-    draws = np.random.default_rng(zlib.crc32(key.encode())).random((2, len(group)))
+    draws = np.random.default_rng(zlib.crc32(key.encode())).random((3, len(group)))
     size = group["size"].to_numpy(np.int64)
     chance = flight(size, group["chance"].to_numpy(float), draws[0])
     if group["blocks"][0] == 1:
-        chance = landing(size, chance, draws[1])
+        chance = landing(size, chance, draws[1:])
     return group.assign(chance=chance)
 
 
