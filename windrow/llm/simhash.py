@@ -362,7 +362,8 @@ def copies(docs: DataFrame) -> DataFrame:
 def without_copies(docs: DataFrame) -> DataFrame:
     """One document of each group of near copies: the one with the smallest id, and of its rows one. Rows without id stay."""
     drop = stored(copies(docs), "copies")
-    kept = docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
+    # The same join at every size: what is dropped grows with the documents.
+    kept = docs.join(drop.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
     rows = docs.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     if rows.filter("n > 1").isEmpty():
         return kept
