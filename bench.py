@@ -15,6 +15,7 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from windrow.functions.time import bound
 from windrow.operators import consistency, distribution, drift, latest, serving
 from windrow.operators.asof import point_in_time
 from windrow.operators.samples import wide_to_long
@@ -80,7 +81,7 @@ def main() -> None:
     stored = spark.read.parquet(f"{root}/vectors")
     samples = spark.read.parquet(f"{root}/samples")
     online = with_expiry(latest.latest_per_user(stored), 2 * 86400)
-    early = stored.filter(F.col("window_start") < F.lit(SPLIT).cast("timestamp_ntz"))
+    early = stored.filter(F.col("window_start") < bound(SPLIT))
     labels = read_activity(spark, FOLDER).select("user_id", F.col("timestamp").alias("label_ts"))
     reports = {
         "stored_detect_drift": lambda: drift.detect_drift(samples),
@@ -101,7 +102,7 @@ def main() -> None:
 
     history = FeatureHistory(spark, f"{root}/history")
     cells = cell_table(spark, f"{root}/cells")
-    stream = activity_stream(spark, FOLDER)
+    stream = activity_stream(spark, FOLDER, root)
     query = start_history(stream, history, cells, f"{root}/checkpoint", trigger=None)
     seconds["streamed_history"] = round(timed(query.awaitTermination), 3)
     events = spark.read.parquet(f"{FOLDER}/events.parquet").count()

@@ -6,10 +6,11 @@ import duckdb
 import pandas as pd
 import pytest
 
-from __spark_entry__ import oracle_sql, queries
+from windrow.plans.oracle import all_sql
+from windrow.plans.queries import all_queries
 
 FOLDER = os.environ.get("ORACLE_DIR", "/root/testdata/sf0.01")
-SQL, QUERIES = oracle_sql(), queries()
+SQL, QUERIES = all_sql(), all_queries()
 
 
 @pytest.fixture(scope="module")
@@ -31,16 +32,14 @@ def canonical(frame: pd.DataFrame) -> list[tuple]:
     return sorted(zip(*columns), key=repr)
 
 
-def test_every_query_but_the_exact_p_has_sql():
-    assert set(QUERIES) - set(SQL) == {"ks_2samp_exact"}
-    assert set(SQL) <= set(QUERIES)
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(SQL)
 
 
 def check_plan(name: str, plan: str) -> None:
     """No cross join of tables, nothing row by row in Python."""
     assert "CartesianProduct" not in plan
-    if name not in ("freshness_report", "latency_report"):  # these put two frames of one row side by side
-        assert "BroadcastNestedLoopJoin" not in plan
+    assert "BroadcastNestedLoopJoin" not in plan
     assert "Python" not in plan
 
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from windrow.functions.columns import psi_severity, skew_severity
-from windrow.functions.kolmogorov import exact_p_function, p_value
+from windrow.functions.kolmogorov import p_value
 from windrow.operators import ranks
 from windrow.operators.distribution import box_stats, feature_summary, histogram, kl_divergence, ks_2samp, psi, z_score
 from windrow.operators.drift import detect_drift, drift_verdict
@@ -138,17 +138,20 @@ def test_histogram_of_a_constant(spark):
     assert sum(r["n"] for r in counts) == 2 and (counts[0]["lower"], counts[-1]["upper"]) == (4.5, 5.5)
 
 
-def test_exact_p_values():
-    exact = exact_p_function()
-    assert exact(5, 5, 1.0) == pytest.approx(2 / 252)
-    assert exact(3, 4, 1.0) == pytest.approx(2 / 35)
-    assert exact(7, 9, 0.0) == 1.0
+def exact(spark, *cases):
+    rows = spark.createDataFrame([(i, n, m, float(d)) for i, (n, m, d) in enumerate(cases)], "i int, n int, m int, d double")
+    return [r[0] for r in rows.orderBy("i").select(p_value("n", "m", "d", "exact")).collect()]
 
 
-def test_exact_p_counts_lattice_paths():
+def test_exact_p_values(spark):
+    assert exact(spark, (5, 5, 1.0), (3, 4, 1.0), (7, 9, 0.0)) == pytest.approx([2 / 252, 2 / 35, 1.0])
+    assert exact(spark, (0, 3, 0.5)) == [None]
+
+
+def test_exact_p_counts_lattice_paths(spark):
     from itertools import combinations
 
-    exact, n, m = exact_p_function(), 4, 6
+    n, m = 4, 6
     gaps = []
     for ups in combinations(range(n + m), n):
         i = j = 0
@@ -157,17 +160,33 @@ def test_exact_p_counts_lattice_paths():
             i, j = (i + 1, j) if step in ups else (i, j + 1)
             worst = max(worst, abs(i / n - j / m))
         gaps.append(worst)
-    for d in (0.25, 1 / 3, 0.5, 0.75):
-        assert exact(n, m, d) == pytest.approx(sum(g >= d - 1e-12 for g in gaps) / len(gaps))
+    limits = (0.25, 1 / 3, 0.5, 0.75)
+    want = [sum(g >= d - 1e-12 for g in gaps) / len(gaps) for d in limits]
+    assert exact(spark, *[(n, m, d) for d in limits]) == pytest.approx(want)
 
 
 def test_asymptotic_p_is_close_to_exact(spark):
-    cases = spark.createDataFrame([(200, 200, 0.1), (1000, 900, 0.05), (5000, 4000, 0.03), (20000, 20000, 0.01)], "n int, m int, d double")
-    series = p_value("n", "m", "d", "asymptotic")
-    rows = cases.select("n", "m", "d", p_value("n", "m", "d").alias("auto"), series.alias("series")).collect()
-    for row in rows:
-        assert row["auto"] == pytest.approx(row["series"], abs=0.03 if row["n"] < 1000 else 0.005)
-    assert rows[-1]["auto"] == rows[-1]["series"]
+    cases = [(200, 200, 0.1), (500, 400, 0.05)]
+    frame = spark.createDataFrame(cases, "n int, m int, d double")
+    series = [r[0] for r in frame.select(p_value("n", "m", "d")).collect()]
+    assert series == pytest.approx(exact(spark, *cases), abs=0.03)
+    with pytest.raises(ValueError, match="unknown method"):
+        p_value("n", "m", "d", "auto")
+
+
+def test_too_many_groups_for_a_broadcast_fail(spark):
+    groups = spark.range(30).selectExpr("CAST(id AS STRING) AS feature_name", "id")
+    assert ranks.checked(groups, 30).count() == 30
+    with pytest.raises(Exception, match="more than 29 groups"):
+        ranks.checked(groups, 29).collect()
+
+
+def test_features_beyond_the_six_are_compared(spark):
+    rows = [("seventh", side, float(i + (side == "current") * 50)) for i in range(100) for side in ("baseline", "current")]
+    samples = spark.createDataFrame(rows, "feature_name string, side string, value double")
+    assert [r.feature_name for r in detect_drift(samples).collect()] == ["seventh"]
+    assert feature_summary(samples.drop("side")).count() == 1
+    assert detect_drift(samples, features=["sixth"]).isEmpty()
 
 
 def test_severity_thresholds(spark):

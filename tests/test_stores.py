@@ -1,9 +1,8 @@
-"""Parsing and validation, versioned tables, the online store, baselines, logs and jobs."""
+"""Parsing and validation, append-only tables, the online store, baselines, logs and jobs."""
 
 import json
-from datetime import date, datetime, timedelta
+from datetime import date, datetime, timedelta, timezone
 
-import pytest
 from pyspark.sql import functions as F
 
 from windrow.operators.vector import backfill_vector, feature_vector
@@ -12,7 +11,7 @@ from windrow.schema import EVENT_SCHEMA, FEATURES
 from windrow.sources.activity import read_activity, user_name
 from windrow.sources.events import encode_events, parse_events, read_event_history, validate_events
 from windrow.sources.stores import Baselines, FeatureHistory, OnlineStore, diagnosis_log, metric_log
-from windrow.sources.tables import VersionedTable, partition_filter, with_partition_columns
+from windrow.sources.tables import BatchTable, partition_filter, with_partition_columns
 
 T0 = datetime(2024, 1, 1, 12)
 VECTOR = (
@@ -87,94 +86,98 @@ def test_user_name_is_the_padded_number(spark):
     assert [r[0] for r in rows] == [f"usr_{n:05d}" for n in numbers]
 
 
-# Versioned tables -----------------------------------------------------------------------------------------
+# Append-only tables -----------------------------------------------------------------------------------------
 
 
-def test_snapshots_by_version_and_time(spark, tmp_path):
+def test_states_by_time(spark, tmp_path):
     history = FeatureHistory(spark, f"{tmp_path}/h")
-    assert history.append(vectors(spark, ("a", 0, 1, 1)), committed_at=100.0) == 0
-    assert history.append(vectors(spark, ("a", 1440, 2, 2)), committed_at=200.0) == 1
-    assert history.upsert(vectors(spark, ("a", 0, 3, 3), ("b", 0, 3, 4)), committed_at=300.0) == 2
-    assert values(history.read(version=0), "user_id", "avg_spend_1h") == [("a", 1.0)]
+    history.append(vectors(spark, ("a", 0, 1, 1)), written_at=100.0)
+    history.append(vectors(spark, ("a", 1440, 2, 2)), written_at=200.0)
+    history.append(vectors(spark, ("a", 0, 3, 3), ("b", 0, 3, 4)), written_at=300.0)
+    assert values(history.read(as_of=100.0), "user_id", "avg_spend_1h") == [("a", 1.0)]
     assert values(history.read(as_of=250.0), "user_id", "avg_spend_1h") == [("a", 1.0), ("a", 2.0)]
     assert values(history.read(), "user_id", "avg_spend_1h") == [("a", 2.0), ("a", 3.0), ("b", 4.0)]
-    assert history.read(version=0, as_of=300.0).count() == 1
-    assert [r["version"] for r in history.history(2).collect()] == [2, 1]
+    assert history.read(as_of=99.0).isEmpty()
     training = history.read_for_training(as_of=300.0, cohort=["b"])
     assert training.columns == ["user_id", *FEATURES, "computed_at", "event_date"] and training.count() == 1
 
 
-def test_upsert_rewrites_only_touched_days(spark, tmp_path):
-    history = FeatureHistory(spark, f"{tmp_path}/h")
-    history.append(vectors(spark, ("a", 0, 1, 1), ("a", 1440, 1, 1)))
-    history.upsert(vectors(spark, ("a", 0, 2, 2)))
-    entries = history.table.manifest().filter("version = 1").collect()
-    assert [(r["partition"], r["replaces"]) for r in entries] == [("2024-01-01", True)]
+def test_interleaved_writers_keep_all_rows(spark, tmp_path):
+    """Two writers that both begin before either ends: the rows of both are there, and each window once."""
+    path = f"{tmp_path}/h"
+    history = FeatureHistory(spark, path)
+    history.append(vectors(spark, ("zero", 0, 1, 0)), written_at=1.0)
+    one, two = FeatureHistory(spark, path), FeatureHistory(spark, path)
+    slow, quick = (one.dated(vectors(spark, (u, 0, 1, v), ("both", 0, 1, v))) for u, v in (("A", 1), ("B", 2)))
+    two.table.append(quick, "quick", 2.0)
+    one.table.append(slow, "slow", 3.0)
+    assert values(history.read(), "user_id", "avg_spend_1h") == [("A", 1.0), ("B", 2.0), ("both", 1.0), ("zero", 0.0)]
+    # Writing at the same time, from threads.
+    from concurrent.futures import ThreadPoolExecutor
 
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda i: FeatureHistory(spark, path).append(vectors(spark, (f"t{i}", i, 1, i))), range(8)))
+    assert {f"t{i}" for i in range(8)} <= {u for u, in values(history.read(), "user_id")}
+    assert history.read().count() == 12
 
-def test_older_row_does_not_undo_a_newer_one(spark, tmp_path):
-    history = FeatureHistory(spark, f"{tmp_path}/h")
-    history.upsert(vectors(spark, ("a", 0, 5, 5), ("a", 0, 4, 4)))
-    history.upsert(vectors(spark, ("a", 0, 3, 3)))
-    assert values(history.read(), "computed_at") == [(5.0,)]
 
-
-def test_repeated_batch_changes_nothing(spark, tmp_path):
+def test_a_repeated_batch_replaces_itself(spark, tmp_path):
     history = FeatureHistory(spark, f"{tmp_path}/h")
     batch = vectors(spark, ("a", 0, 1, 1))
-    assert history.append(batch, "q/0") == history.append(batch, "q/0") == 0
-    assert history.append(batch, "q/1") == 1
+    assert history.append(batch, "q/0") == history.append(batch, "q/0")
+    assert history.table.rows().count() == 1
+    history.append(batch, "q/1")
+    assert history.table.rows().count() == 2 and history.read().count() == 1
 
 
-def test_compaction_keeps_the_rows_and_older_versions(spark, tmp_path):
+def test_a_backfill_beside_a_stream_leaves_one_row_per_window(spark, tmp_path):
     history = FeatureHistory(spark, f"{tmp_path}/h")
-    for i in range(3):
-        history.append(vectors(spark, ("a", i, i, i)))
-    before = values(history.read(), "user_id", "computed_at")
-    assert history.compact() == 3
-    assert values(history.read(), "user_id", "computed_at") == before
-    assert history.read(version=1).count() == 2
+    history.append(vectors(spark, ("a", 0, 900, 1), ("a", 5, 900, 2), ("b", 10, 900, 3), ("a", 90, 900, 4)), "stream-1", 10.0)
+    fresh = vectors(spark, ("a", 0, 0, 7), ("b", 10, 0, 8))
+    history.replace_range(fresh, T0, T0 + timedelta(hours=1), written_at=20.0)
+    assert values(history.read(), "user_id", "avg_spend_1h") == [("a", 4.0), ("a", 7.0), ("b", 8.0)]
+    assert history.read(as_of=10.0).count() == 4
+    # The window the backfill removed comes back if it is written again.
+    history.append(vectors(spark, ("a", 5, 1, 9)), written_at=30.0)
+    assert values(history.read(), "avg_spend_1h") == [(4.0,), (7.0,), (8.0,), (9.0,)]
 
 
-def test_second_writer_of_a_version_fails(spark, tmp_path):
-    table = VersionedTable(spark, f"{tmp_path}/t")
-    rows = FeatureHistory.dated(vectors(spark, ("a", 0, 1, 1)))
-    table.append(rows)
-    with pytest.raises(Exception, match="(?i)already exists"):
-        table._commit(rows, "append", False, None, version=0)
-
-
-def test_manifest_is_rolled_up(spark, tmp_path):
+def test_compaction_of_closed_days(spark, tmp_path):
     history = FeatureHistory(spark, f"{tmp_path}/h")
-    history.table.commits_per_rollup = 3
-    for i in range(7):
-        history.append(vectors(spark, ("a", i, i, i)), f"q/{i}", committed_at=float(i))
-    assert history.table._names("rollup") == ["00000000", "00000001"]
-    assert values(history.table.manifest(), "version") == [(i,) for i in range(7)]
-    assert values(history.read(), "computed_at") == [(float(i),) for i in range(7)]
-    assert history.read(version=1).count() == 2 and history.append(vectors(spark), "q/2") == 2
-    # A roll-up that was not finished is passed over.
-    (tmp_path / "h" / "rollup" / "00000001" / "_SUCCESS").rename(tmp_path / "unfinished")
-    assert values(history.table.manifest(), "version") == [(i,) for i in range(7)]
-
-
-def test_replacing_a_day_by_nothing_empties_it(spark, tmp_path):
+    for i in range(3):
+        history.append(vectors(spark, ("a", i, i, i), ("a", 1440 + i, i, i), ("c", 0, i, i)), written_at=float(i))
+    before, then = (values(history.read(at), "user_id", "window_start", "computed_at") for at in (None, 1.0))
+    assert history.compact("2024-01-02", keep_since=1.0) == ["2024-01-01"]
+    assert [len(history.table.batches(d)) for d in history.table.partitions()] == [1, 3]
+    assert values(history.read(), "user_id", "window_start", "computed_at") == before
+    assert values(history.read(1.0), "user_id", "window_start", "computed_at") == then
+    assert history.compact("2024-01-03") == ["2024-01-02"] and history.compact("2024-01-03") == []
+    assert values(history.read(), "user_id", "window_start", "computed_at") == before
+    assert history.retain("2024-01-02") == ["2024-01-01"]
+    assert {d for d, in values(history.read(), "event_date")} == {date(2024, 1, 2)}
+
+
+def test_failed_append_is_set_aside_and_replayed(spark, tmp_path):
     history = FeatureHistory(spark, f"{tmp_path}/h")
-    history.append(vectors(spark, ("a", 0, 1, 1), ("a", 1440, 1, 1)))
-    history.table.replace_partitions(FeatureHistory.dated(vectors(spark)), [date(2024, 1, 1)])
-    assert values(history.read(), "event_date") == [(date(2024, 1, 2),)]
-    history.table.overwrite(FeatureHistory.dated(vectors(spark)))
-    assert history.read().isEmpty()
+    history.append(vectors(spark, ("a", 0, 1, 1)), written_at=1.0)
+    working = history.table.append
+    history.table.append = None
+    batch = vectors(spark, ("b", 0, 1, 1))
+    assert not history.append_or_set_aside(batch, "q/7")
+    assert not history.append_or_set_aside(batch, "q/7")
+    assert history.read().count() == 1
+    history.table.append = working
+    assert history.replay(written_at=2.0) == ["q-7"] and history.replay() == []
+    assert values(history.read(), "user_id") == [("a",), ("b",)]
 
 
-def test_failed_append_is_set_aside_once(spark, tmp_path):
+def test_nothing_to_append(spark, tmp_path):
     history = FeatureHistory(spark, f"{tmp_path}/h")
+    history.append(vectors(spark))
+    assert not history.table.exists()
     history.append(vectors(spark, ("a", 0, 1, 1)))
-    history.table.append = None
-    batch = vectors(spark, ("b", 0, 1, 1))
-    assert not history.append_or_set_aside(batch, 7, "q/7")
-    assert not history.append_or_set_aside(batch, 7, "q/7")
-    assert spark.read.parquet(history.dead_letters).count() == 1
+    history.append(vectors(spark))
+    assert history.read().count() == 1
 
 
 def test_partition_columns_and_filter(spark):
@@ -189,7 +192,20 @@ def test_read_prunes_to_partitions(spark, tmp_path):
     history.append(vectors(spark, ("a", 0, 1, 1), ("a", 1440, 1, 1)))
     plan = history.read().filter(partition_filter("2024-01-02")).select("avg_spend_1h")._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(event_date" in plan
-    assert "ReadSchema: struct<avg_spend_1h:double>" in plan
+    assert "txn_count_5m:double" not in plan.split("ReadSchema: ")[-1]
+    ranged = history.read_range(T0 + timedelta(days=1), T0 + timedelta(days=2))
+    plan = ranged._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(event_date" in plan and values(ranged, "event_date") == [(date(2024, 1, 2),)]
+
+
+def test_users_are_read_from_their_buckets(spark, tmp_path):
+    online = OnlineStore(spark, f"{tmp_path}/o", buckets=16)
+    online.write(vectors(spark, *[(f"u{i}", 0, 0, i) for i in range(200)]))
+    asked = spark.createDataFrame([("u7",), ("unknown",)], "user_id string")
+    found = online.read_users(asked)
+    assert values(found, "user_id", "avg_spend_1h") == [("u7", 7.0)]
+    assert "PartitionFilters: [" in (plan := found._jdf.queryExecution().executedPlan().toString())
+    assert "user_bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
 
 
 # Online store ---------------------------------------------------------------------------------------------
@@ -228,6 +244,7 @@ def test_refresh_compaction_and_expiry_job(spark, tmp_path):
     online.compact()
     assert values(online.read_all(), "user_id", "avg_spend_1h", "expires_at") == before
     online.compact(drop_expired_before=355)
+    assert all(len(online.table.batches(b)) <= 1 for b in online.table.partitions())
     assert values(online.read_all(), "user_id") == [("b",)]
 
 
@@ -280,6 +297,16 @@ def test_consistency_job(spark, tmp_path):
     assert jobs.check_consistency(history, online, metrics, now=20, sample=3).first()["sample_size"] == 3
 
 
+def test_consistency_job_compares_all_users(spark, tmp_path):
+    history, online = FeatureHistory(spark, f"{tmp_path}/h"), OnlineStore(spark, f"{tmp_path}/o", 2)
+    rows = vectors(spark, *[(f"u{i}", 0, 10, i + 1) for i in range(1500)])
+    history.append(rows)
+    online.write(rows)
+    report = jobs.check_consistency(history, online, metric_log(spark, f"{tmp_path}/m"), now=20)
+    assert report.first()["sample_size"] == 1500
+    assert jobs.check_consistency(history, online, metric_log(spark, f"{tmp_path}/m"), now=10**6).first()["sample_size"] == 0
+
+
 def test_drift_job(spark, small, tmp_path):
     online, baselines = OnlineStore(spark, f"{tmp_path}/o", 2), Baselines(spark, f"{tmp_path}/b")
     metrics, diagnoses = metric_log(spark, f"{tmp_path}/m"), diagnosis_log(spark, f"{tmp_path}/d")
@@ -300,8 +327,16 @@ def test_maintenance(spark, tmp_path):
     history, online = FeatureHistory(spark, f"{tmp_path}/h"), OnlineStore(spark, f"{tmp_path}/o", 2)
     history.append(vectors(spark, ("a", 0, 1, 1)))
     online.write(vectors(spark, ("a", 0, 1, 1)), ttl=10)
-    assert jobs.maintain(history, online, now=100.0) == (1, 1)
-    assert history.read().count() == 1 and online.read_all().isEmpty()
+    history.append(vectors(spark, ("b", 0, 1, 1), ("b", 1440, 1, 1)))
+    cells = BatchTable(spark, f"{tmp_path}/c", ("user_id",))
+    for name in ("one", "two"):
+        cells.append(FeatureHistory.dated(vectors(spark, ("a", 0, 1, 1))), name)
+    at = datetime(2024, 1, 2, 12, tzinfo=timezone.utc).timestamp()
+    assert jobs.maintain(history, online, [cells], now=at) == ["2024-01-01"]
+    assert cells.batches("2024-01-01") != [] and len(cells.batches("2024-01-01")) == 1
+    assert history.read().count() == 3 and (not online.table.exists() or online.read_all().isEmpty())
+    jobs.maintain(history, online, [cells], now=at, keep_days=0)
+    assert history.read().count() == 1 and not cells.exists()
 
 
 def test_plain_scan_reads_only_needed_columns(spark, small):

@@ -1,5 +1,6 @@
 """Streamed and batch features are equal, batches can be repeated, late rows are dropped."""
 
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -12,8 +13,8 @@ from windrow.plans.jobs import stream_features
 from windrow.schema import EVENT_SCHEMA, FEATURES
 from windrow.sources.activity import read_activity
 from windrow.sources.events import encode_events, parse_events, read_event_stream
-from windrow.sources.stores import FeatureHistory, OnlineStore
-from windrow.streaming.features import cell_table, compact_live_cells, late_rows, start_history, start_online
+from windrow.sources.stores import FeatureHistory, OnlineStore, metric_log
+from windrow.streaming.features import LateRows, cell_table, compact_cells, start_history, start_online
 
 SENTINEL = "sentinel"
 
@@ -71,25 +72,50 @@ def test_history_query_equals_batch(spark, replay, tmp_path):
     table = cell_table(spark, f"{tmp_path}/cells")
 
     def run():
-        stream = parse_events(read_event_stream(spark, folder=folder, max_per_trigger=1))
+        stream = parse_events(read_event_stream(spark, folder=folder, max_files=1))
         query = start_history(stream, history, table, f"{tmp_path}/checkpoint", trigger=None, clock=lambda: 1.0)
         assert query.awaitTermination(600)
         return query
 
-    query = run()
-    assert late_rows(query) == 1
+    late = LateRows(metric_log(spark, f"{tmp_path}/metrics"), clock=lambda: 5.0)
+    spark.streams.addListener(late)
+    run()
+    for _ in range(100):
+        if late.total:
+            break
+        time.sleep(0.1)
+    spark.streams.removeListener(late)
+    assert late.total == 1
+    logged = late.metrics.read().collect()
+    assert [(r.feature_name, r.metric_type, r.metric_value) for r in logged] == [("feature_history", "late_rows", 1.0)]
     expected = feature_vector(events, computed_at=F.lit(1.0)).select("user_id", "window_start", "window_end", *FEATURES)
     assert_same(expected, history.read())
-    # A restart from the checkpoint has nothing left to do.
-    before = history.table.latest_version()
+    # Several batches were written; a restart from the checkpoint has nothing left to do.
+    before = history.table.rows().count()
+    assert len({b for d in history.table.partitions() for b in history.table.batches(d)}) >= 4
     run()
-    assert history.table.latest_version() == before
+    assert history.table.rows().count() == before
+
+
+def test_events_sent_twice_count_once(spark, small, tmp_path):
+    events = read_activity(spark, small).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    again = events.filter(F.crc32("event_id") % 3 == 0)
+    lines = encode_events(events.unionByName(again)).select(F.col("value").cast("string"))
+    lines.coalesce(1).write.text(f"{tmp_path}/events")
+    online = OnlineStore(spark, f"{tmp_path}/online", buckets=4)
+    stream = parse_events(read_event_stream(spark, folder=f"{tmp_path}/events"))
+    query = start_online(
+        stream, online, cell_table(spark, f"{tmp_path}/live"), f"{tmp_path}/checkpoint", trigger=None, clock=lambda: 1.0
+    )
+    assert query.awaitTermination(600)
+    expected = latest_per_user(feature_vector(events, computed_at=F.lit(1.0)))
+    assert_same(expected.select("user_id", "window_start", *FEATURES), online.read(now=2.0))
 
 
 def test_online_query_ends_at_the_latest_vectors(spark, replay, tmp_path):
     folder, events, end = replay
     online = OnlineStore(spark, f"{tmp_path}/online", buckets=4)
-    stream = parse_events(read_event_stream(spark, folder=folder, max_per_trigger=1))
+    stream = parse_events(read_event_stream(spark, folder=folder, max_files=1))
     query = start_online(
         stream, online, cell_table(spark, f"{tmp_path}/live"), f"{tmp_path}/checkpoint", trigger=None, clock=lambda: 1.0
     )
@@ -124,7 +150,7 @@ def test_stream_job_drops_invalid_events_and_live_cells_fold(spark, tmp_path):
     assert [(r["user_id"], r["txn_count_5m"]) for r in stored] == [("a", 2.0)]
 
     live = cell_table(spark, f"{tmp_path}/t/live_cells")
-    emitted = live.read()
-    assert emitted.count() == 3
-    compact_live_cells(live, [at.date()])
-    assert sorted(r["n_events"] for r in live.read().collect()) == [1, 2]
+    assert live.rows().count() == 3
+    assert compact_cells(live, "2024-01-02") == ["2024-01-01"]
+    assert sorted(r["n_events"] for r in live.rows().collect()) == [1, 2]
+    assert compact_cells(live, "2024-01-02") == []

@@ -2,17 +2,9 @@
 
 from __future__ import annotations
 
-from math import gcd
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed value: largest sample for which the exact distribution is the default.
-EXACT_UP_TO = 10_000
-
-
 def asymptotic_p(n: str, m: str, d: str) -> Column:
     """Kolmogorov's series at the argument corrected for finite samples (Vrbik, 2018).
 
@@ -26,58 +18,26 @@ def asymptotic_p(n: str, m: str, d: str) -> Column:
     return F.expr(f"CASE WHEN {d} <= 0 OR {x} < 0.2D THEN 1D ELSE least(greatest({series}, 0D), 1D) END")
 
 
-def exact_p_function():
-    """The function ``(n, m, d) -> p``: the share of lattice paths from (0, 0) to (n, m) that reach a gap of ``d``.
-
-    Built inside a function so that Spark ships it whole and tasks need not import this package.
-    """
-
-    def exact_p_value(n: int, m: int, d: float) -> float:
-        # Walks the diagonals of the lattice. Weights are path counts divided by all paths to the point,
-        # so nothing overflows, and points with a gap of ``d`` or more are dropped.
-        scale = n * m // gcd(n, m)
-        reach = round(d * scale)
-        if reach <= 0:
-            return 1.0
-        up, across = scale // n, scale // m
-        inside = np.zeros(n + 1)
-        inside[0] = 1.0
-        for length in range(1, n + m + 1):
-            # Only i with |i * up - (length - i) * across| < reach stay inside.
-            first = max(0, length - m, (length * across - reach) // (up + across) + 1)
-            last = min(n, length, -((-length * across - reach) // (up + across)) - 1)
-            if first > last:
-                return 1.0
-            i = np.arange(first, last + 1)
-            step = np.zeros(n + 1)
-            step[first : last + 1] = inside[i] * ((length - i) / length)
-            right = np.maximum(i - 1, 0)
-            step[first : last + 1] += np.where(i > 0, inside[right], 0.0) * (i / length)
-            inside = step
-        return float(min(max(1.0 - inside[n], 0.0), 1.0))
-
-    return exact_p_value
-
-
 def exact_p(n: str, m: str, d: str) -> Column:
-    """Exact p per row; null beyond ``EXACT_UP_TO``, where the caller uses the series."""
-    one, limit = exact_p_function(), EXACT_UP_TO
+    """The share of lattice paths from (0, 0) to (n, m) that reach a gap of ``d``, in the engine's own expressions.
 
-    def p(n: pd.Series, m: pd.Series, d: pd.Series) -> pd.Series:
-        rows = zip(n, m, d)
-        return pd.Series(
-            [one(int(a), int(b), float(x)) if 0 < min(a, b) and max(a, b) <= limit else None for a, b, x in rows],
-            dtype="float64",
-        )
-
-    return F.pandas_udf(p, "double")(n, m, d)
+    Walks the lattice by its diagonals. ``inside`` holds, for each number of steps to the right, the share of paths to
+    that point that have kept below the gap; shares don't overflow. The work is (n + m) * n steps for each row, so
+    this is for rows that are few and samples that are small, and asked for by name.
+    """
+    reach = f"bigint(round({d} * {n} * {m}))"
+    point = f"i <= length AND length - i <= {m} AND abs(i * {m} - (length - i) * {n}) < {reach}"
+    share = "get(inside, i) * ((length - i) / length) + if(i > 0, get(inside, i - 1), 0D) * (i / length)"
+    steps = f"transform(sequence(0, int({n})), i -> if({point}, {share}, 0D))"
+    start = f"transform(sequence(0, int({n})), i -> if(i = 0, 1D, 0D))"
+    walk = f"aggregate(sequence(1, int({n} + {m})), {start}, (inside, length) -> {steps}, inside -> 1D - get(inside, int({n})))"
+    return F.expr(f"CASE WHEN {n} = 0 OR {m} = 0 THEN NULL WHEN {reach} <= 0 THEN 1D ELSE least(greatest({walk}, 0D), 1D) END")
 
 
-def p_value(n: str, m: str, d: str, method: str = "auto") -> Column:
-    """p from the named columns. ``auto`` is exact up to 10,000 values a side and asymptotic beyond; ``asymptotic`` stays in the JVM."""
-    series = asymptotic_p(n, m, d)
+def p_value(n: str, m: str, d: str, method: str = "asymptotic") -> Column:
+    """p from the named columns, by the ``asymptotic`` series or the ``exact`` count, whatever the samples' sizes."""
     if method == "asymptotic":
-        return series
-    if method != "auto":
-        raise ValueError(f"unknown method {method!r}")
-    return F.coalesce(exact_p(n, m, d), series)
+        return asymptotic_p(n, m, d)
+    if method == "exact":
+        return exact_p(n, m, d)
+    raise ValueError(f"unknown method {method!r}")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,7 +38,12 @@ def shift(column: str | Column, by_seconds: int) -> Column:
     return column + F.expr(f"INTERVAL '{by_seconds}' SECOND")
 
 
-def event_date(column: str | Column) -> Column:
-    """UTC calendar day of a timestamp."""
-    column = F.col(column) if isinstance(column, str) else column
-    return F.to_date(column)
+def bound(moment: datetime | str) -> Column:
+    """A moment as a literal that reads the same whatever the driver's time zone: naive ones are in UTC."""
+    if isinstance(moment, Column):
+        return moment
+    if isinstance(moment, datetime):
+        if moment.tzinfo is not None:
+            moment = moment.astimezone(timezone.utc).replace(tzinfo=None)
+        moment = moment.isoformat(sep=" ")
+    return F.lit(moment).cast("timestamp_ntz")

@@ -13,9 +13,8 @@ from pyspark.sql import functions as F
 
 from windrow.functions.columns import EPSILON, bin_index
 from windrow.functions.kolmogorov import p_value
-from windrow.operators.ranks import sketched_cuts, wide_quantiles, with_range
+from windrow.operators.ranks import checked, sketched_cuts, wide_quantiles, with_range
 from windrow.operators.samples import BASELINE, CURRENT, of_features
-from windrow.schema import FEATURES
 
 # Bins, widening of the last edge and smoothing of densities.
 N_BINS = 10
@@ -72,7 +71,7 @@ def _binned(samples: DataFrame, edges: DataFrame, bin_of, n_bins: int) -> DataFr
     """Per feature the edges' columns and the arrays of counts ``base`` and ``curr``."""
     constants = ("low", "high", "n_base", "n_curr")
     return (
-        samples.join(F.broadcast(edges), "feature_name")
+        samples.join(F.broadcast(checked(edges)), "feature_name")
         .withColumn("bin", bin_of("value", "low", "high", n_bins))
         .groupBy("feature_name", *constants, "bin")
         .agg(F.count_if(_base()).alias("base"), F.count_if(_curr()).alias("curr"))
@@ -84,7 +83,7 @@ def _binned(samples: DataFrame, edges: DataFrame, bin_of, n_bins: int) -> DataFr
 _SCORED = ("base", "curr", "n_base", "n_curr", "low", "high")
 
 
-def psi(samples: DataFrame, n_bins: int = N_BINS, features: Sequence[str] = FEATURES) -> DataFrame:
+def psi(samples: DataFrame, n_bins: int = N_BINS, features: Sequence[str] | None = None) -> DataFrame:
     """``(feature_name, psi_score)``; 0.0 if a side is empty or the baseline is constant."""
     samples = of_features(samples, features)
     value = F.col("value")
@@ -117,7 +116,7 @@ def kl_score(base: str, curr: str, n_base: str, n_curr: str, low: str, high: str
     return F.expr(f"if({_comparable(n_base, n_curr, low, high)}, {_sum(score)}, 0D)")
 
 
-def kl_divergence(samples: DataFrame, n_bins: int = N_BINS, features: Sequence[str] = FEATURES) -> DataFrame:
+def kl_divergence(samples: DataFrame, n_bins: int = N_BINS, features: Sequence[str] | None = None) -> DataFrame:
     samples = of_features(samples, features)
     value = F.col("value")
     edges = samples.groupBy("feature_name").agg(
@@ -144,7 +143,7 @@ def z_columns(mean_base: str, std_base: str, mean_curr: str, comparable: str, th
     ]
 
 
-def z_score(samples: DataFrame, threshold: float = 3.0, features: Sequence[str] = FEATURES) -> DataFrame:
+def z_score(samples: DataFrame, threshold: float = 3.0, features: Sequence[str] | None = None) -> DataFrame:
     """Distance of the means in population standard deviations of the baseline. One pass."""
     value = F.col("value")
     moments = of_features(samples, features).groupBy("feature_name").agg(
@@ -219,14 +218,14 @@ def with_ks(frame: DataFrame, alpha: float, method: str) -> DataFrame:
 
 
 def ks_2samp(
-    samples: DataFrame, alpha: float = 0.05, method: str = "auto", features: Sequence[str] = FEATURES
+    samples: DataFrame, alpha: float = 0.05, method: str = "asymptotic", features: Sequence[str] | None = None
 ) -> DataFrame:
-    """Two-sample KS statistic, exact over any number of distinct values, and its two-sided p."""
+    """Two-sample KS statistic over any number of distinct values, and its two-sided p by ``method``."""
     counted = tally(of_features(samples, features))
     sides = counted.groupBy("feature_name").agg(
         F.sum("base").alias("n_base"), F.sum("curr").alias("n_curr"), sketched_cuts("value").alias("cuts")
     )
-    ranged = with_range(counted.join(F.broadcast(sides), "feature_name"))
+    ranged = with_range(counted.join(F.broadcast(checked(sides)), "feature_name"))
     largest = with_largest_gap(range_gaps(ranged, "n_base", "n_curr"))
     per_feature = largest.groupBy("feature_name").agg(
         F.max("d").alias("d"), F.max("n_base").alias("n_base"), F.max("n_curr").alias("n_curr")
@@ -237,7 +236,7 @@ def ks_2samp(
 # Histograms and summaries --------------------------------------------------------------------------------
 
 
-def histogram(samples: DataFrame, n_bins: int = 30, features: Sequence[str] = FEATURES) -> DataFrame:
+def histogram(samples: DataFrame, n_bins: int = 30, features: Sequence[str] | None = None) -> DataFrame:
     """Equal-width counts ``(feature_name, bin, lower, upper, n)``, empty bins included.
 
     Samples without a ``side`` are one series; otherwise both sides share the edges and are counted apart.
@@ -255,7 +254,7 @@ def histogram(samples: DataFrame, n_bins: int = 30, features: Sequence[str] = FE
     ).withColumn("width", (F.col("high") - F.col("low")) / F.lit(float(n_bins)))
     counts = {"n_baseline": _base(), "n_current": _curr()} if split else {"n": F.lit(True)}
     per_bin = (
-        samples.join(F.broadcast(extent), "feature_name")
+        samples.join(F.broadcast(checked(extent)), "feature_name")
         .withColumn("bin", F.expr(bin_index("value", "low", "width", n_bins)))
         .groupBy("feature_name", "low", "width", "bin")
         .agg(*[F.count_if(condition).alias(name) for name, condition in counts.items()])
@@ -272,7 +271,7 @@ def histogram(samples: DataFrame, n_bins: int = 30, features: Sequence[str] = FE
     )
 
 
-def feature_summary(samples: DataFrame, features: Sequence[str] = FEATURES, approximate: bool = False) -> DataFrame:
+def feature_summary(samples: DataFrame, features: Sequence[str] | None = None, approximate: bool = False) -> DataFrame:
     """Count, mean, population deviation, median, 95th percentile and maximum, to three digits."""
     samples = of_features(samples, features)
     moments = samples.groupBy("feature_name").agg(
@@ -282,14 +281,14 @@ def feature_summary(samples: DataFrame, features: Sequence[str] = FEATURES, appr
         F.round(F.max("value"), 3).alias("max"),
     )
     ranks = wide_quantiles(samples, {"p50": 0.5, "p95": 0.95}, "feature_name", "value", approximate)
-    return moments.join(F.broadcast(ranks), "feature_name").select(
+    return moments.join(F.broadcast(checked(ranks)), "feature_name").select(
         "feature_name", "n", "mean", "std", F.round("p50", 3).alias("p50"), F.round("p95", 3).alias("p95"), "max"
     )
 
 
-def box_stats(samples: DataFrame, features: Sequence[str] = FEATURES, approximate: bool = False) -> DataFrame:
+def box_stats(samples: DataFrame, features: Sequence[str] | None = None, approximate: bool = False) -> DataFrame:
     """Quartiles and range per feature."""
     samples = of_features(samples, features)
     extent = samples.groupBy("feature_name").agg(F.min("value").alias("min"), F.max("value").alias("max"))
     quartiles = wide_quantiles(samples, {"q1": 0.25, "median": 0.5, "q3": 0.75}, "feature_name", "value", approximate)
-    return extent.join(F.broadcast(quartiles), "feature_name").select("feature_name", "min", "q1", "median", "q3", "max")
+    return extent.join(F.broadcast(checked(quartiles)), "feature_name").select("feature_name", "min", "q1", "median", "q3", "max")

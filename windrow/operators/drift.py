@@ -21,9 +21,8 @@ from windrow.operators.distribution import (
     with_largest_gap,
     z_columns,
 )
-from windrow.operators.ranks import sketched_cuts, with_range
+from windrow.operators.ranks import checked, sketched_cuts, with_range
 from windrow.operators.samples import of_features
-from windrow.schema import FEATURES
 
 
 @dataclass(frozen=True)
@@ -38,8 +37,8 @@ class DriftThresholds:
 def detect_drift(
     samples: DataFrame,
     thresholds: DriftThresholds = DriftThresholds(),
-    ks_method: str = "auto",
-    features: Sequence[str] = FEATURES,
+    ks_method: str = "asymptotic",
+    features: Sequence[str] | None = None,
 ) -> DataFrame:
     """One row per feature having current values.
 
@@ -75,7 +74,7 @@ def detect_drift(
         "feature_name", "cuts", *[f"{sql} AS {name}" for name, sql in constants.items()]
     )
     stands_in = "if(baseline_missing, curr, base)"
-    ranged = with_range(counted.join(F.broadcast(profile), "feature_name")).withColumns(
+    ranged = with_range(counted.join(F.broadcast(checked(profile)), "feature_name")).withColumns(
         {
             "base": F.expr(stands_in),
             "psi_bin": psi_bin("value", "low_base", "high_base"),

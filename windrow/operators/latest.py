@@ -6,16 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def latest_per_user(rows: DataFrame, *order: str, key: str = "user_id") -> DataFrame:
+def latest_per_user(rows: DataFrame, *order: str, key: str | tuple[str, ...] = "user_id") -> DataFrame:
     """The row with the greatest ``order`` of each user; later columns break ties of earlier ones.
 
     An aggregation and not a ranking: each task first keeps one row per user, so a user with many
-    rows sends only a handful through the shuffle.
+    rows sends only a handful through the shuffle. The key stays a column of its own, through which filters on it
+    reach the scan.
     """
     order = order or ("window_end", "computed_at")
-    whole = F.struct(*[F.col(c) for c in rows.columns])
-    newest = rows.groupBy(F.col(key).alias("_key")).agg(F.max_by(whole, F.struct(*order)).alias("_row"))
-    return newest.select("_row.*")
+    keys = [key] if isinstance(key, str) else list(key)
+    others = F.struct(*[F.col(c) for c in rows.columns if c not in keys])
+    newest = rows.groupBy(*keys).agg(F.max_by(others, F.struct(*order)).alias("_row"))
+    return newest.select(*keys, "_row.*").select(*rows.columns)
 
 
 def sample_order(key: str | Column, seed: str) -> Column:

@@ -18,6 +18,21 @@ _STRIDE = 16
 _SEARCH_STEPS = 6
 
 
+# Most groups whose rows are broadcast; with a thousand cuts each these are some ten megabytes.
+MOST_GROUPS = 1000
+
+
+def checked(per_group: DataFrame, most: int = MOST_GROUPS) -> DataFrame:
+    """A frame of a row per group, for a broadcast; the job fails if there are more than ``most`` of them.
+
+    The rows are counted as part of the plan. More groups than that are to be given some at a time.
+    """
+    first = per_group.columns[0]
+    many = F.count(F.lit(1)).over(Window.partitionBy()) > most
+    message = F.lit(f"more than {most} groups; name fewer of them at a time")
+    return per_group.withColumn(first, F.when(many, F.raise_error(message).cast("string")).otherwise(F.col(first)))
+
+
 def value_cuts(counted: DataFrame, group: str = "feature_name", value: str = "value") -> DataFrame:
     """Per group an ascending array of about a thousand ``cuts``. ``counted`` has one row per distinct value.
 
@@ -26,7 +41,7 @@ def value_cuts(counted: DataFrame, group: str = "feature_name", value: str = "va
     size = counted.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
     keep_one_in = F.greatest(F.lit(1), F.ceil(F.col("_n") / _SAMPLE))
     sampled = (
-        counted.join(F.broadcast(size), group)
+        counted.join(F.broadcast(checked(size)), group)
         .filter(F.pmod(F.xxhash64(value), keep_one_in) == 0)
         .groupBy(group)
         .agg(F.array_sort(F.collect_list(value)).alias("_sample"))
@@ -69,7 +84,7 @@ def quantiles(
     """
     counted = rows.groupBy(group, value).agg(F.count(F.lit(1)).alias("n"))
     cuts = value_cuts(counted, group, value)
-    ranged = with_range(counted.join(F.broadcast(cuts), group), value)
+    ranged = with_range(counted.join(F.broadcast(checked(cuts)), group), value)
 
     ordered = Window.partitionBy(group).orderBy("range_id")
     totals = (

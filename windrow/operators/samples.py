@@ -29,7 +29,6 @@ def two_sided(baseline: DataFrame, current: DataFrame) -> DataFrame:
     )
 
 
-def of_features(samples: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Keeps the named features. Per-feature results then have at most ``len(features)`` rows, which is
-    what allows the operators to broadcast them."""
-    return samples.filter(F.col("feature_name").isin(*features))
+def of_features(samples: DataFrame, features: Sequence[str] | None) -> DataFrame:
+    """Samples of all features, or of the named ones."""
+    return samples if features is None else samples.filter(F.col("feature_name").isin(*features))

@@ -90,10 +90,16 @@ def freshness_report(ages: DataFrame, sla: float = FRESHNESS_SLA_SECONDS, approx
 def _with_quantiles(
     one_row: DataFrame, rows: DataFrame, value: str, names: dict[str, float], approximate: bool
 ) -> DataFrame:
-    """Quantiles of all ``rows`` beside the one row of counts."""
-    values = rows.filter(F.col(value).isNotNull()).select(F.lit("all").alias("_group"), value)
-    ranks = wide_quantiles(values, names, "_group", value, approximate)
-    return one_row.withColumn("_group", F.lit("all")).join(F.broadcast(ranks), "_group", "left").drop("_group")
+    """Quantiles of all ``rows`` beside the one row of counts.
+
+    The group's name is made from the value, as joins on a literal would lose their key; the two rows meet in an
+    aggregation.
+    """
+    one_group = F.substring(F.col(value).cast("string"), 1, 0).alias("_group")
+    values = rows.filter(F.col(value).isNotNull()).select(one_group, value)
+    ranks = wide_quantiles(values, names, "_group", value, approximate).select(*names)
+    both = one_row.unionByName(ranks, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])
 
 
 def stalest(ages: DataFrame, n: int = 20) -> DataFrame:
@@ -186,16 +192,16 @@ TREND_METRICS = ("psi_score", "ks_statistic", "consistency_rate")
 
 
 def metric_history(
-    metrics: DataFrame, now: Column, hours: int = 24, types: Sequence[str] = TREND_METRICS, limit: int = 2000
+    metrics: DataFrame, now: Column, hours: int = 24, types: Sequence[str] = TREND_METRICS, limit: int | None = None
 ) -> DataFrame:
-    """Metrics of the last hours, newest first. ``now`` is a timestamp column."""
+    """Metrics of the last hours, newest first, all or a number of them. ``now`` is a timestamp column."""
     since = now - F.expr(f"INTERVAL '{int(hours)}' HOUR")
-    return (
+    recent = (
         metrics.filter(F.col("metric_type").isin(*types) & (F.col("recorded_at") > since))
         .select("feature_name", "metric_type", "metric_value", "recorded_at")
         .orderBy(F.col("recorded_at").desc(), "feature_name", "metric_type")
-        .limit(limit)
     )
+    return recent if limit is None else recent.limit(limit)
 
 
 def recent_metrics(metrics: DataFrame, feature_name: str, metric_type: str, limit: int = 100) -> DataFrame:

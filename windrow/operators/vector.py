@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from windrow.functions.columns import EPSILON, ratio
-from windrow.functions.time import epoch, seconds, shift, whole_multiple
+from windrow.functions.time import bound, epoch, seconds, shift, whole_multiple
 from windrow.operators.cells import BASE, cells
 from windrow.schema import FEATURES
 
@@ -135,13 +135,13 @@ def feature_vector(events: DataFrame, widths: Widths = REFERENCE_WIDTHS, compute
 def backfill_vector(
     events: DataFrame, start, end, widths: Widths = REFERENCE_WIDTHS, computed_at: Column | None = None
 ) -> DataFrame:
-    """Vectors of the windows starting in ``[start, end]``, both inclusive, from the events up to ``end``.
+    """Vectors of the windows starting in ``[start, end]`` (UTC), both inclusive, from the events up to ``end``.
 
     Events are read from one lookback before ``start``, so the first windows have their history.
     """
-    first = shift(F.lit(start), -widths.lookback)
-    ranged = events.filter((F.col("timestamp") >= first) & (F.col("timestamp") <= F.lit(end)))
-    return feature_vector(ranged, widths, computed_at).filter(F.col("window_start").between(F.lit(start), F.lit(end)))
+    first = shift(bound(start), -widths.lookback)
+    ranged = events.filter((F.col("timestamp") >= first) & (F.col("timestamp") <= bound(end)))
+    return feature_vector(ranged, widths, computed_at).filter(F.col("window_start").between(bound(start), bound(end)))
 
 
 def training_projection(vectors: DataFrame) -> DataFrame:

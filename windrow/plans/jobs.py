@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from windrow.functions.time import epoch
 from windrow.operators.asof import point_in_time
 from windrow.operators.consistency import alerts, needs_diagnosis, validate_consistency
 from windrow.operators.diagnosis import diagnose, most_severe_first
@@ -17,9 +19,10 @@ from windrow.operators.samples import two_sided, wide_to_long
 from windrow.operators.serving import find_stale
 from windrow.operators.vector import REFERENCE_WIDTHS, Widths, backfill_vector
 from windrow.schema import ALERTS_TOPIC, STALE_TTL_SECONDS, TRIGGER
-from windrow.sources.events import parse_events, read_event_stream, validate_events
-from windrow.sources.stores import Baselines, FeatureHistory, Log, OnlineStore, emit
-from windrow.streaming.features import cell_table, start_history, start_online
+from windrow.sources.events import dedup_events, parse_events, read_event_stream, validate_events
+from windrow.sources.stores import Baselines, FeatureHistory, Log, OnlineStore, emit, metric_log
+from windrow.sources.tables import BatchTable, days_between
+from windrow.streaming.features import LateRows, cell_table, compact_cells, start_history, start_online
 
 
 def _held(report: DataFrame) -> DataFrame:
@@ -44,22 +47,26 @@ def stream_features(
     trigger: str | None = TRIGGER,
     **source,
 ) -> tuple:
-    """Starts both queries over one source; ``source`` is passed to ``read_event_stream``."""
+    """Starts both queries over one source; ``source`` is passed to ``read_event_stream``.
+
+    Events that a producer sent twice count once. Late rows of either query go to the metric log.
+    """
 
     def events() -> DataFrame:
         return validate_events(parse_events(read_event_stream(spark, **source)))[0]
 
     history, online = FeatureHistory(spark, f"{root}/history"), OnlineStore(spark, f"{root}/online")
     cells, live_cells = cell_table(spark, f"{root}/cells"), cell_table(spark, f"{root}/live_cells")
+    spark.streams.addListener(LateRows(metric_log(spark, f"{root}/metrics")))
     return (
         start_history(events(), history, cells, f"{checkpoints}/history", widths, trigger),
         start_online(events(), online, live_cells, f"{checkpoints}/online", widths, trigger=trigger),
     )
 
 
-def backfill(history: FeatureHistory, events: DataFrame, start, end, widths: Widths = REFERENCE_WIDTHS) -> int:
-    """Recomputes the windows starting in ``[start, end]`` and puts them in place of what is there."""
-    return history.replace_range(backfill_vector(events, start, end, widths), start, end)
+def backfill(history: FeatureHistory, events: DataFrame, start, end, widths: Widths = REFERENCE_WIDTHS) -> str:
+    """Recomputes the windows starting in ``[start, end]`` (UTC) and puts them in place of what is there."""
+    return history.replace_range(backfill_vector(dedup_events(events), start, end, widths), start, end)
 
 
 def verify_backfill(
@@ -70,8 +77,8 @@ def verify_backfill(
     def per_day(rows: DataFrame, name: str) -> DataFrame:
         return rows.groupBy("event_date").agg(F.count(F.lit(1)).alias(name))
 
-    stored = history.read().filter(F.col("window_start").between(F.lit(start), F.lit(end)))
-    expected = FeatureHistory.dated(backfill_vector(events, start, end, widths))
+    stored = history.read_range(start, end)
+    expected = FeatureHistory.dated(backfill_vector(dedup_events(events), start, end, widths))
     return (
         per_day(stored, "stored")
         .join(per_day(expected, "expected"), "event_date", "full")
@@ -85,20 +92,25 @@ def check_consistency(
     online: OnlineStore,
     metrics: Log,
     now: float,
-    sample: int | None = 1000,
+    sample: int | None = None,
     seed: str = "0",
     **alert_sink,
 ) -> DataFrame:
     """Compares the latest historical with the current vector of live users and returns the report.
 
     The rate goes to the metric log as a share of consistent users, an alert to ``alert_sink`` (arguments of
-    ``emit``) if one is named. ``sample`` None compares all users.
+    ``emit``) if one is named. All users are compared, or a ``sample``; the report's ``sample_size`` says how many.
     """
-    current = online.read(now)
-    users = current.select("user_id") if sample is None else sample_users(current, sample, seed)
-    # A user is compared on the window being served, so a newer or older history is no difference.
-    served = current.join(users, "user_id", "left_semi")
-    stored = history.read().join(served.select("user_id", "window_start"), ["user_id", "window_start"], "left_semi")
+    served = online.read(now)
+    if sample is not None:
+        served = served.join(sample_users(served, sample, seed), "user_id", "left_semi")
+    # A user is compared on the window being served, so a newer or older history is no difference. Only the days
+    # of these windows are read.
+    first, last = served.agg(F.min(epoch("window_start")), F.max(epoch("window_start"))).first()
+    known = history.read()
+    if first is not None:
+        known = known.filter(days_between(*(datetime.fromtimestamp(t, timezone.utc) for t in (first, last))))
+    stored = known.join(served.select("user_id", "window_start"), ["user_id", "window_start"], "left_semi")
     report = _held(validate_consistency(latest_per_user(stored), served))
     share = report.select(
         F.lit("all_features").alias("feature_name"), (1 - F.col("inconsistency_rate")).alias("share")
@@ -147,12 +159,12 @@ def refresh_expiry(
     return stale
 
 
-def refresh_features(online: OnlineStore, users: DataFrame, compute: Callable[[DataFrame], DataFrame]) -> int:
+def refresh_features(online: OnlineStore, users: DataFrame, compute: Callable[[DataFrame], DataFrame]) -> str:
     """Recomputes the vectors of ``users`` with ``compute(users)``."""
     return online.refresh(users, compute)
 
 
-def refresh_baselines(online: OnlineStore, baselines: Baselines, now: float) -> int:
+def refresh_baselines(online: OnlineStore, baselines: Baselines, now: float) -> str:
     """Makes the current values the baseline of every feature that has any."""
     return baselines.save(wide_to_long(online.read(now)), now)
 
@@ -166,6 +178,27 @@ def training_set(
     return point_in_time(labels, history.read(as_of=as_of), **asof)
 
 
-def maintain(history: FeatureHistory, online: OnlineStore, now: float | None = None) -> tuple[int, int]:
-    """Compacts both stores; with ``now`` also drops expired users from the online one."""
-    return history.compact(), online.compact(now)
+def maintain(
+    history: FeatureHistory,
+    online: OnlineStore,
+    cells: Sequence[BatchTable] = (),
+    now: float | None = None,
+    keep_days: int | None = None,
+) -> list[str]:
+    """Compacts closed days of the history and of the cell tables, and the online store; returns the history's days.
+
+    A day is closed when the next one has begun. With ``now`` expired users leave the online store; with ``keep_days``
+    older days leave the history and the cells.
+    """
+    at = time.time() if now is None else now
+    today = datetime.fromtimestamp(at, timezone.utc).date()
+    compacted = history.compact(str(today))
+    for table in cells:
+        compact_cells(table, str(today))
+    online.compact(now)
+    if keep_days is not None:
+        since = str(today - timedelta(days=keep_days))
+        history.retain(since)
+        for table in cells:
+            table.drop_before(since)
+    return compacted

@@ -269,6 +269,15 @@ merged AS (SELECT * FROM (FROM held UNION ALL BY NAME FROM batch)
            QUALIFY row_number() OVER (PARTITION BY user_id, window_start ORDER BY computed_at DESC) = 1)"""
 
 
+def _sessions(gap: str) -> str:
+    return f"""WITH {_EVENTS},
+marked AS (SELECT *, coalesce("timestamp" > lag("timestamp") OVER u + INTERVAL '{gap}', true) AS begins
+           FROM ev WINDOW u AS (PARTITION BY user_id ORDER BY "timestamp")),
+numbered AS (SELECT *, count(*) FILTER (begins) OVER (PARTITION BY user_id ORDER BY "timestamp") AS n FROM marked)
+SELECT user_id, min("timestamp") AS session_start, max("timestamp") + INTERVAL '{gap}' AS session_end, count(*) AS n_events,
+       {_BUYS} AS n_purchases FROM numbered GROUP BY user_id, n"""
+
+
 def _source_sql() -> dict[str, str]:
     return {
         "parse_events": f"WITH {_EVENTS} SELECT {_EVENT_COLUMNS} FROM ev",
@@ -284,9 +293,15 @@ WHERE "timestamp" BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-20 12:00
             _REFERENCE, f"user_id, window_start, {_ROUNDED}", "WHERE CAST(window_start AS DATE) = DATE '2024-01-12'"
         ),
         "upsert_vectors": f"WITH {_held_and_batch()} SELECT {_VECTOR_COLUMNS} FROM merged",
+        "dedup_events": f"WITH {_EVENTS} SELECT {_EVENT_COLUMNS} FROM ev",
+        "sessions": _sessions("30 minutes"),
+        "sessions_daily": _sessions("1 day"),
     }
 
 
+_FILLED_FROM, _FILLED_TO = "TIMESTAMP '2024-01-12 00:00:00'", "TIMESTAMP '2024-01-20 12:00:00'"
+
+
 def _store_sql() -> dict[str, str]:
     day = "strftime(window_start, '%Y-%m-%d') AS event_date"
     online = f"{_VECTOR_COLUMNS}, expires_at"
@@ -303,6 +318,49 @@ SELECT {online} FROM online""",
         ),
         "streamed_online": f"""WITH {_EVENTS}, {_vector('vec', _REFERENCE)}, {_latest('online', 'vec')}
 SELECT {streamed}, CAST({_NOW_EPOCH} + 300 AS DOUBLE) AS expires_at FROM online""",
+        # Inside the range the backfill's vectors count, elsewhere those of the stream.
+        "history_after_backfill_and_stream": f"""WITH {_EVENTS}, {_vector('vec', _REFERENCE)},
+till AS (SELECT * FROM ev WHERE "timestamp" <= {_FILLED_TO}), {_vector('fill', _REFERENCE, 'till')}
+SELECT {streamed} FROM vec WHERE window_end <= (SELECT max(ts) FROM events) - INTERVAL '10 minutes'
+  AND window_start NOT BETWEEN {_FILLED_FROM} AND {_FILLED_TO}
+UNION ALL BY NAME
+SELECT user_id, window_start, window_end, CAST(1 AS DOUBLE) AS computed_at, {_ROUNDED} FROM fill
+WHERE window_start BETWEEN {_FILLED_FROM} AND {_FILLED_TO}""",
+        "serve_from_store": f"""WITH {_ONLINE}
+SELECT u.user_id, o.user_id IS NOT NULL AS found, {", ".join(f"round(coalesce(o.{c}, 0.0), 6) AS {c}" for c in FEATURES)},
+       o.computed_at, round({_NOW_EPOCH} - o.computed_at, 1) AS freshness_seconds, 'online_store' AS source,
+       '1.0' AS schema_version
+FROM (SELECT printf('usr_%05d', c_custkey) AS user_id FROM customer WHERE printf('usr_%05d', c_custkey) < 'usr_00050') u
+     LEFT JOIN (SELECT * FROM online WHERE expires_at > {_NOW_EPOCH}) o USING (user_id)""",
+        "refresh_features": f"""WITH {_EVENTS}, {_vector('vec', _REFERENCE)},
+{_latest('early', 'vec', f'window_start < {_SPLIT}', 2 * 86400)}, {_latest('later', 'vec', ttl=300)}
+SELECT {online} FROM early WHERE user_id >= 'usr_00040'
+UNION ALL BY NAME
+SELECT {online} FROM later WHERE user_id < 'usr_00040' AND user_id IN (SELECT user_id FROM early)""",
+        "verify_backfill": f"""WITH {_EVENTS},
+a AS (SELECT * FROM ev WHERE "timestamp" <= TIMESTAMP '2024-01-15 12:00:00'), {_vector('one', _REFERENCE, 'a')},
+b AS (SELECT * FROM ev WHERE "timestamp" <= TIMESTAMP '2024-01-17'), {_vector('two', _REFERENCE, 'b')},
+stored AS (SELECT strftime(window_start, '%Y-%m-%d') AS event_date, count(*) AS n FROM one
+           WHERE window_start BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-15 12:00:00' GROUP BY 1),
+expected AS (SELECT strftime(window_start, '%Y-%m-%d') AS event_date, count(*) AS n FROM two
+             WHERE window_start BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-17' GROUP BY 1)
+SELECT event_date, coalesce(s.n, 0) AS stored, coalesce(e.n, 0) AS expected, coalesce(s.n, 0) = coalesce(e.n, 0) AS agrees
+FROM stored s FULL JOIN expected e USING (event_date)""",
+        "check_consistency": f"""WITH {_EVENTS}, {_vector('a', _DENSE)}, {_vector('b', _SKEWED)},
+{_latest('served', 'b', f"window_end <= {_NOW} AND computed_at + 300 > {_NOW_EPOCH} - 172500")},
+offline AS (SELECT a.* FROM a JOIN served s USING (user_id, window_start)), {_compared('served')}, {_REPORT}
+SELECT * EXCLUDE (severity) FROM report""",
+        "logged_metrics": f"""WITH {_EVENTS}, {_vector('vec', _DENSE)},
+{_latest('early', 'vec', f'window_start < {_SPLIT}')}, {_latest('whole', 'vec')},
+samples AS (SELECT feature_name, 'baseline' AS side, round(value, 9) AS value FROM (UNPIVOT early ON {_F} INTO NAME feature_name VALUE value)
+            UNION ALL SELECT feature_name, 'current', round(value, 9) FROM (UNPIVOT whole ON {_F} INTO NAME feature_name VALUE value)),
+{_DRIFT}
+SELECT feature_name, 'psi_score' AS metric_type, psi_score AS metric_value, CAST({_NOW_EPOCH} AS BIGINT) AS recorded_at FROM drift
+UNION ALL
+SELECT feature_name, 'ks_statistic', ks_statistic, CAST({_NOW_EPOCH} AS BIGINT) FROM drift""",
+        "recent_diagnoses": f"""{_with_drift(_REFERENCE)}
+SELECT feature_name, probable_cause, cause_category, confidence, urgency, CAST({_NOW_EPOCH} AS BIGINT) AS computed_at
+FROM ({_diagnosed('drift')})""",
     }
 
 
@@ -352,6 +410,13 @@ FROM g LEFT JOIN samples s ON s.feature_name = g.feature_name AND s.value >= lo
 GROUP BY g.feature_name, bin""".replace("SELECT feature_name, CAST(bin", "SELECT g.feature_name, CAST(bin")
 
 
+# The samples of the first eight days, split after the fourth.
+_FIRST_DAYS = """SELECT * FROM (SELECT feature_name, CASE WHEN day(window_start) <= 4 THEN 'baseline' ELSE 'current' END AS side,
+                   round(value, 9) AS value
+            FROM (UNPIVOT vec ON """ + _F + """ INTO NAME feature_name VALUE value) WHERE day(window_start) <= 8)), samples_unused AS (
+            SELECT feature_name, CASE WHEN window_start <"""
+
+
 def _drift_sql() -> dict[str, str]:
     both = "count(value) FILTER (side = 'baseline') AS n_baseline, count(value) FILTER (side = 'current') AS n_current"
     reading = """CASE WHEN psi_score < 0.1 THEN 'no significant shift' WHEN psi_score < 0.2
@@ -370,6 +435,22 @@ def _drift_sql() -> dict[str, str]:
         "psi": f"WITH {_samples(_REFERENCE)}, {_PSI} SELECT * FROM psi",
         "psi_dense": f"WITH {_samples(_DENSE)}, {_PSI} SELECT * FROM psi",
         "psi_severity": f"WITH {_samples(_DENSE)}, {_PSI} SELECT feature_name, {level}, {reading} FROM psi",
+        # Lattice paths that stay below the gap, a diagonal at a time.
+        "ks_2samp_exact": f"""WITH RECURSIVE {_samples(_DENSE).replace("SELECT feature_name, CASE WHEN window_start <", _FIRST_DAYS)}, {_SIDES}, {_KS},
+walk AS (
+  SELECT feature_name, nb, nc, CAST(round(d * nb * nc) AS BIGINT) AS reach, 0 AS length,
+         list_transform(range(0, nb + 1), lambda i: CASE WHEN i = 0 THEN 1::DOUBLE ELSE 0::DOUBLE END) AS inside
+  FROM ks_raw JOIN sides USING (feature_name)
+  UNION ALL
+  SELECT feature_name, nb, nc, reach, length + 1,
+         list_transform(range(0, nb + 1), lambda i:
+           CASE WHEN i <= length + 1 AND length + 1 - i <= nc AND abs(i * nc - (length + 1 - i) * nb) < reach
+                THEN inside[i + 1] * ((length + 1 - i) / (length + 1))
+                     + CASE WHEN i > 0 THEN inside[i] ELSE 0 END * (i / (length + 1)) ELSE 0::DOUBLE END)
+  FROM walk WHERE length < nb + nc)
+SELECT feature_name, ks_statistic,
+       CASE WHEN reach <= 0 THEN 1.0 ELSE round(least(greatest(1 - inside[nb + 1], 0), 1), 6) END AS ks_p_value
+FROM walk JOIN ks USING (feature_name) WHERE length = nb + nc""",
         "ks_2samp": f"WITH {_samples(_DENSE)}, {_SIDES}, {_KS} SELECT * FROM ks",
         "z_score": f"WITH {_samples(_DENSE)}, {_SIDES}, {_Z} SELECT * FROM z",
         "kl_divergence": f"""WITH {_samples(_DENSE)}, {_SIDES}, {_KL}
@@ -404,16 +485,19 @@ def _compared(online: str) -> str:
 
 
 def _report(widths: tuple[str, ...]) -> str:
-    means = ", ".join(f"round(coalesce(avg({c}), 0.0), 6) AS dev_{c}" for c in FEATURES)
-    greatest = ", ".join(f"dev_{c}" for c in FEATURES)
-    worst = " ".join(f"WHEN dev_{c} = max_deviation THEN '{c}'" for c in FEATURES)
     return f"""WITH {_EVENTS}, {_vector('a', _DENSE)}, {_vector('b', widths)}, {_latest('offline', 'a')}, {_latest('served', 'b')},
-{_compared('served')},
-sums AS (SELECT count(*) AS sample_size, count(*) FILTER (greatest({_F}) > 0.01) AS inconsistent_users, {means} FROM compared),
+{_compared('served')}, {_REPORT}"""
+
+
+_MEANS = ", ".join(f"round(coalesce(avg({c}), 0.0), 6) AS dev_{c}" for c in FEATURES)
+_DEVIATIONS = ", ".join(f"dev_{c}" for c in FEATURES)
+_WORST = " ".join(f"WHEN dev_{c} = max_deviation THEN '{c}'" for c in FEATURES)
+_REPORT = f"""
+sums AS (SELECT count(*) AS sample_size, count(*) FILTER (greatest({_F}) > 0.01) AS inconsistent_users, {_MEANS} FROM compared),
 report AS (
   SELECT sample_size, sample_size - inconsistent_users AS consistent_users, inconsistent_users,
-         round(inconsistent_users / greatest(sample_size, 1), 6) AS inconsistency_rate, {greatest},
-         greatest({greatest}) AS max_deviation, CASE {worst} END AS worst_feature,
+         round(inconsistent_users / greatest(sample_size, 1), 6) AS inconsistency_rate, {_DEVIATIONS},
+         greatest({_DEVIATIONS}) AS max_deviation, CASE {_WORST} END AS worst_feature,
          round(inconsistent_users / greatest(sample_size, 1), 6) <= 0.01 AS is_healthy,
          CASE WHEN round(inconsistent_users / sample_size, 6) > 0.10 THEN 'critical'
               WHEN round(inconsistent_users / sample_size, 6) > 0.05 THEN 'high'
@@ -507,7 +591,7 @@ SELECT count(*) AS requests, round(quantile_cont(ms, 0.5) FILTER (ok), 6) AS p50
         "throughput_daily": throughput("1 day"),
         "metric_history": f"""WITH {metrics} SELECT * FROM metrics
 WHERE metric_type IN ('psi_score', 'ks_statistic', 'consistency_rate') AND recorded_at > {_NOW} - INTERVAL '24 hours'
-ORDER BY recorded_at DESC, feature_name, metric_type LIMIT 2000""",
+ORDER BY recorded_at DESC, feature_name, metric_type""",
         "recent_metrics": f"""WITH {metrics} SELECT * FROM metrics WHERE feature_name = 'view' AND metric_type = 'psi_score'
 ORDER BY recorded_at DESC, metric_value LIMIT 100""",
     }
@@ -559,6 +643,9 @@ SELECT feature_name, count(*) FILTER (value > 0) AS n_positive, CAST(step AS INT
        CASE step WHEN 1 THEN 'kafka:ecommerce.events.raw' ELSE 'pyspark:structured_streaming' END AS upstream_source,
        CASE step WHEN 1 THEN step_1 ELSE step_2 END AS transform_step
 FROM samples JOIN seeds USING (feature_name) CROSS JOIN (VALUES (1), (2)) t(step) GROUP BY ALL""",
+        "get_feature": f"""WITH {_samples(_DENSE)}, {_SEEDS}
+SELECT feature_name, count(*) AS n_values, owner, CAST(2 AS INTEGER) AS n_steps
+FROM samples JOIN seeds USING (feature_name) WHERE feature_name = 'anomaly_score' GROUP BY ALL""",
         "missing_seeds": f"""WITH {_samples(_DENSE)}, {_SEEDS}
 SELECT feature_name, owner FROM seeds WHERE feature_name NOT IN (SELECT feature_name FROM samples WHERE value > 3)""",
     }

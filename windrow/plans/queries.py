@@ -6,7 +6,6 @@ reference widths and at dense ones, where windows hold more than an event or two
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 from datetime import date, datetime, timezone
@@ -14,6 +13,7 @@ from datetime import date, datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from windrow.functions.time import bound, epoch
 from windrow.functions.columns import psi_reading, psi_severity
 from windrow.operators import consistency, diagnosis, distribution, drift, features, latest, registry, serving
 from windrow.operators.asof import point_in_time
@@ -30,16 +30,26 @@ from windrow.operators.vector import (
 from windrow.schema import FEATURES
 from windrow.session import configure, shared_folder
 from windrow.sources.activity import as_events, read_activity, user_name
-from windrow.sources.events import encode_events, in_range, parse_events, validate_events
-from windrow.sources.stores import FeatureHistory, OnlineStore, with_expiry
+from windrow.plans import jobs
+from windrow.sources.events import (
+    dedup_events,
+    encode_events,
+    in_range,
+    parse_events,
+    read_event_stream,
+    sessions,
+    validate_events,
+)
+from windrow.sources.stores import Baselines, FeatureHistory, OnlineStore, diagnosis_log, metric_log, with_expiry
 from windrow.sources.tables import merge_rows, partition_filter, with_partition_columns
 from windrow.streaming.features import cell_table, start_history, start_online
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-SPLIT = datetime(2024, 1, 16)
-NOW = datetime(2024, 1, 29, 12)
-NOW_EPOCH = NOW.replace(tzinfo=timezone.utc).timestamp()
+# Moments are in UTC and become literals by ``bound``, whatever the driver's time zone.
+SPLIT = "2024-01-16 00:00:00"
+NOW = "2024-01-29 12:00:00"
+NOW_EPOCH = datetime(2024, 1, 29, 12, tzinfo=timezone.utc).timestamp()
 ONLINE_TTL = 2 * 86400
 # A definition that has come apart from the one history was computed with.
 SKEWED_WIDTHS = Widths(base="1 day", spend="3 days", carts="1 day", views="1 day", history="3 days")
@@ -58,7 +68,7 @@ def vectors(spark: SparkSession, folder: str, widths: Widths = DENSE_WIDTHS) ->
 
 def online_rows(spark: SparkSession, folder: str, widths: Widths = REFERENCE_WIDTHS) -> DataFrame:
     """Current values at ``NOW``, as if the stream had written them then."""
-    seen = vectors(spark, folder, widths).filter(F.col("window_end") <= F.lit(NOW).cast("timestamp_ntz"))
+    seen = vectors(spark, folder, widths).filter(F.col("window_end") <= bound(NOW))
     return with_expiry(latest.latest_per_user(seen), ONLINE_TTL)
 
 
@@ -69,12 +79,12 @@ def drift_samples(spark: SparkSession, folder: str, widths: Widths = DENSE_WIDTH
     depend on it.
     """
     long = rounded(wide_to_long(vectors(spark, folder, widths), keep=["window_start"]), 9)
-    early = F.col("window_start") < F.lit(SPLIT).cast("timestamp_ntz")
+    early = F.col("window_start") < bound(SPLIT)
     return long.select("feature_name", F.when(early, "baseline").otherwise("current").alias("side"), "value")
 
 
 def drift_report(spark: SparkSession, folder: str, widths: Widths = DENSE_WIDTHS) -> DataFrame:
-    return drift.detect_drift(drift_samples(spark, folder, widths), ks_method="asymptotic")
+    return drift.detect_drift(drift_samples(spark, folder, widths))
 
 
 def skew_report(spark: SparkSession, folder: str, online_widths: Widths = SKEWED_WIDTHS) -> DataFrame:
@@ -122,8 +132,8 @@ def request_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder under the shared one; a temporary folder only where the session names none."""
-    return f"{shared_folder(spark, unset_default=tempfile.gettempdir())}/windrow-{uuid.uuid4().hex}"
+    """A new folder under the shared one."""
+    return f"{shared_folder(spark)}/windrow-{uuid.uuid4().hex}"
 
 
 # Queries --------------------------------------------------------------------------------------------------
@@ -190,10 +200,10 @@ def _source_queries() -> dict[str, Query]:
         return in_range(events, datetime(2024, 1, 10), datetime(2024, 1, 20, 12))
 
     def merged(s: SparkSession, d: str) -> DataFrame:
-        held = vectors(s, d).filter(F.col("window_start") < F.lit(SPLIT).cast("timestamp_ntz"))
+        held = vectors(s, d).filter(F.col("window_start") < bound(SPLIT))
         batch = (
             vectors(s, d, SKEWED_WIDTHS)
-            .filter(F.col("window_start") >= F.lit(datetime(2024, 1, 10)).cast("timestamp_ntz"))
+            .filter(F.col("window_start") >= bound("2024-01-10 00:00:00"))
             .withColumn("computed_at", F.col("computed_at") + 60.0)
         )
         return rounded(merge_rows(held, batch, ("user_id", "window_start"), ("computed_at",)))
@@ -207,7 +217,17 @@ def _source_queries() -> dict[str, Query]:
         kept = with_date.filter(partition_filter(date(2024, 1, 12), "usr"))
         return rounded(kept.select("user_id", "window_start", *FEATURES))
 
+    def replayed(s: SparkSession, d: str) -> DataFrame:
+        """The events, and a part of them sent again a minute later."""
+        events = read_activity(s, d)
+        again = events.filter(F.pmod(F.crc32("event_id"), F.lit(3)) == 0)
+        both = events.unionByName(again.withColumn("timestamp", F.col("timestamp") + F.expr("INTERVAL '1' MINUTE")))
+        return dedup_events(both)
+
     return {
+        "dedup_events": replayed,
+        "sessions": lambda s, d: sessions(read_activity(s, d)),
+        "sessions_daily": lambda s, d: sessions(read_activity(s, d), "1 day"),
         "parse_events": parsed,
         "validate_events": valid,
         "rejected_events": rejected,
@@ -222,13 +242,16 @@ def _store_queries() -> dict[str, Query]:
     def versions(s: SparkSession, d: str) -> FeatureHistory:
         store = FeatureHistory(s, f"{scratch(s)}/history")
         everything = vectors(s, d)
-        early = F.col("window_start") < F.lit(SPLIT).cast("timestamp_ntz")
-        store.append(everything.filter(early), committed_at=100.0)
+        store.append(everything.filter(F.col("window_start") < bound(SPLIT)), written_at=100.0)
         later = vectors(s, d, SKEWED_WIDTHS).withColumn("computed_at", F.col("computed_at") + 60.0)
-        store.upsert(later.filter(F.col("window_start") >= F.lit(datetime(2024, 1, 10)).cast("timestamp_ntz")), committed_at=200.0)
-        store.compact(committed_at=300.0)
+        store.append(later.filter(F.col("window_start") >= bound("2024-01-10 00:00:00")), written_at=200.0)
         return store
 
+    def compacted(s: SparkSession, d: str) -> DataFrame:
+        store = versions(s, d)
+        store.compact("2024-01-20")
+        return with_text_date(store.read())
+
     def with_text_date(frame: DataFrame) -> DataFrame:
         return rounded(frame.withColumn("event_date", F.col("event_date").cast("string")))
 
@@ -236,46 +259,135 @@ def _store_queries() -> dict[str, Query]:
         store = OnlineStore(s, f"{scratch(s)}/online", buckets=8)
         everything = vectors(s, d, REFERENCE_WIDTHS)
         # The later half is written first; the earlier one, replayed after it, must not undo it.
-        late = F.col("window_start") >= F.lit(SPLIT).cast("timestamp_ntz")
+        late = F.col("window_start") >= bound(SPLIT)
         store.write(everything.filter(late), ONLINE_TTL)
         store.write(everything.filter(~late), ONLINE_TTL)
         store.compact()
         return rounded(store.read_all())
 
-    def closed_stream(s: SparkSession, d: str) -> DataFrame:
-        root = scratch(s)
+    def closed(s: SparkSession, d: str, root: str) -> FeatureHistory:
         history = FeatureHistory(s, f"{root}/history")
         query = start_history(
-            activity_stream(s, d), history, cell_table(s, f"{root}/cells"), f"{root}/checkpoint", trigger=None,
+            activity_stream(s, d, root), history, cell_table(s, f"{root}/cells"), f"{root}/checkpoint", trigger=None,
             clock=lambda: NOW_EPOCH,
         )
         query.awaitTermination()
+        return history
+
+    def closed_stream(s: SparkSession, d: str) -> DataFrame:
+        return rounded(_without_zone(closed(s, d, scratch(s)).read().drop("event_date")))
+
+    def backfilled(s: SparkSession, d: str) -> DataFrame:
+        """A backfill beside a stream that overlaps it: one vector of each window, that of the backfill inside its range."""
+        history = closed(s, d, scratch(s))
+        events = dedup_events(read_activity(s, d)).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+        fresh = backfill_vector(events, *BACKFILLED, computed_at=F.lit(1.0))
+        history.replace_range(fresh, *BACKFILLED)
         return rounded(_without_zone(history.read().drop("event_date")))
 
     def online_stream(s: SparkSession, d: str) -> DataFrame:
         root = scratch(s)
         online = OnlineStore(s, f"{root}/online", buckets=8)
         query = start_online(
-            activity_stream(s, d), online, cell_table(s, f"{root}/live"), f"{root}/checkpoint", trigger=None,
+            activity_stream(s, d, root), online, cell_table(s, f"{root}/live"), f"{root}/checkpoint", trigger=None,
             clock=lambda: NOW_EPOCH,
         )
         query.awaitTermination()
         return rounded(_without_zone(online.read(NOW_EPOCH + 1)))
 
+    def served(s: SparkSession, d: str) -> DataFrame:
+        """Users asked of a store: only their buckets are read."""
+        store = OnlineStore(s, f"{scratch(s)}/online", buckets=8)
+        store.write(vectors(s, d, REFERENCE_WIDTHS).filter(F.col("window_end") <= bound(NOW)), ONLINE_TTL)
+        users = s.read.parquet(f"{d}/customer.parquet").select(user_name("c_custkey").alias("user_id"))
+        asked = users.filter(F.col("user_id") < "usr_00050")
+        return rounded(serving.serve_features(store.read_users(asked), asked, NOW_EPOCH))
+
+    def checked(s: SparkSession, d: str) -> DataFrame:
+        """The consistency job over stores, whose history holds later windows than those served."""
+        root = scratch(s)
+        history, online = FeatureHistory(s, f"{root}/history"), OnlineStore(s, f"{root}/online", buckets=8)
+        history.append(vectors(s, d))
+        online.write(vectors(s, d, SKEWED_WIDTHS).filter(F.col("window_end") <= bound(NOW)), ONLINE_TTL)
+        return rounded(jobs.check_consistency(history, online, metric_log(s, f"{root}/metrics"), NOW_EPOCH))
+
+    def logged(s: SparkSession, d: str) -> DataFrame:
+        """What the consistency job and the drift job write to the metric log."""
+        root = scratch(s)
+        online, baselines = OnlineStore(s, f"{root}/online", buckets=8), Baselines(s, f"{root}/baselines")
+        metrics, diagnoses = metric_log(s, f"{root}/metrics"), diagnosis_log(s, f"{root}/diagnoses")
+        users = latest.latest_per_user(vectors(s, d))
+        early = latest.latest_per_user(vectors(s, d).filter(F.col("window_start") < bound(SPLIT)))
+        baselines.save(rounded(wide_to_long(early), 9), NOW_EPOCH)
+        online.write(_rounded_features(users), ONLINE_TTL * 30)
+        jobs.check_drift(online, baselines, metrics, diagnoses, NOW_EPOCH)
+        return metrics.read().select("feature_name", "metric_type", "metric_value", F.unix_seconds("recorded_at").alias("recorded_at"))
+
+    def diagnosed(s: SparkSession, d: str) -> DataFrame:
+        root = scratch(s)
+        log = diagnosis_log(s, f"{root}/diagnoses")
+        found = diagnosis.diagnose(drift_report(s, d, REFERENCE_WIDTHS))
+        log.append(found.withColumn("computed_at", F.timestamp_seconds(F.lit(NOW_EPOCH))))
+        shown = serving.recent_diagnoses(log.read())
+        return shown.withColumn("computed_at", F.unix_seconds("computed_at"))
+
+    def verified(s: SparkSession, d: str) -> DataFrame:
+        history = FeatureHistory(s, f"{scratch(s)}/history")
+        events = read_activity(s, d)
+        jobs.backfill(history, events, "2024-01-10 00:00:00", "2024-01-15 12:00:00")
+        found = jobs.verify_backfill(history, events, "2024-01-10 00:00:00", "2024-01-17 00:00:00")
+        return found.withColumn("event_date", F.col("event_date").cast("string"))
+
+    def refreshed(s: SparkSession, d: str) -> DataFrame:
+        """Users whose vectors are from before the split have them recomputed over the whole month."""
+        store = OnlineStore(s, f"{scratch(s)}/online", buckets=8)
+        everything = vectors(s, d, REFERENCE_WIDTHS)
+        store.write(everything.filter(F.col("window_start") < bound(SPLIT)), ONLINE_TTL)
+        chosen = store.active_users().filter(F.col("user_id") < "usr_00040")
+        jobs.refresh_features(store, chosen, lambda users: everything.join(users, "user_id", "left_semi"))
+        return rounded(store.read_all())
+
     return {
-        "history_at_version": lambda s, d: with_text_date(versions(s, d).read(version=0)),
+        "history_at_version": lambda s, d: with_text_date(versions(s, d).read(as_of=100.0)),
         "history_as_of": lambda s, d: with_text_date(versions(s, d).read_for_training(as_of=250.0)),
-        "history_compacted": lambda s, d: with_text_date(versions(s, d).read()),
+        "history_compacted": compacted,
+        "history_after_backfill_and_stream": backfilled,
         "online_after_batches": in_use,
         "streamed_history": closed_stream,
         "streamed_online": online_stream,
+        "serve_from_store": served,
+        "check_consistency": checked,
+        "logged_metrics": logged,
+        "recent_diagnoses": diagnosed,
+        "verify_backfill": verified,
+        "refresh_features": refreshed,
     }
 
 
-def activity_stream(s: SparkSession, d: str) -> DataFrame:
-    schema = s.read.parquet(f"{d}/events.parquet").schema
-    table = s.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    return as_events(table).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+# A range that the backfill beside a stream replaces.
+BACKFILLED = ("2024-01-12 00:00:00", "2024-01-20 12:00:00")
+STREAM_FILES = 4
+
+
+def _rounded_features(frame: DataFrame) -> DataFrame:
+    return frame.withColumns({c: F.round(c, 9) for c in FEATURES})
+
+
+def activity_stream(s: SparkSession, d: str, root: str) -> DataFrame:
+    """The activity table as JSON lines in files by time, replayed a file at a time through the event reader.
+
+    A part of the events is sent twice.
+    """
+    events = read_activity(s, d).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    low, high = events.agg(F.min(epoch("timestamp")), F.max(epoch("timestamp"))).first()
+    part = F.floor((epoch("timestamp") - low) * STREAM_FILES / (high + 1 - low)).cast("int")
+    parts = events.withColumn("part", part)
+    lines = parts.unionByName(parts.filter(F.pmod(F.crc32("event_id"), F.lit(10)) == 0))
+    record = F.to_json(F.struct(*events.columns), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"})
+    for number in range(STREAM_FILES):
+        chosen = lines.filter(F.col("part") == number).select(record.alias("value"))
+        chosen.coalesce(1).write.mode("append").text(f"{root}/events")
+    return parse_events(read_event_stream(s, folder=f"{root}/events", max_files=1))
 
 
 def _without_zone(frame: DataFrame) -> DataFrame:
@@ -325,16 +437,21 @@ def _distribution_queries() -> dict[str, Query]:
         # A baseline is kept for three features only; the others stand in for themselves.
         samples = drift_samples(s, d)
         kept = samples.filter((F.col("side") == "current") | F.col("feature_name").isin(*FEATURES[:3]))
-        return rounded(drift.detect_drift(kept, ks_method="asymptotic"))
+        return rounded(drift.detect_drift(kept))
 
     def exact(s: SparkSession, d: str) -> DataFrame:
-        return distribution.ks_2samp(drift_samples(s, d)).select("feature_name", "ks_statistic", "ks_p_value")
+        # The first days hold samples small enough to count lattice paths.
+        samples = rounded(wide_to_long(vectors(s, d), keep=["window_start"]), 9)
+        day = F.dayofmonth("window_start")
+        early = samples.filter(day <= 8).withColumn("side", F.when(day <= 4, "baseline").otherwise("current"))
+        few = early.select("feature_name", "side", "value")
+        return distribution.ks_2samp(few, method="exact").select("feature_name", "ks_statistic", "ks_p_value")
 
     return {
         "psi": lambda s, d: distribution.psi(drift_samples(s, d, REFERENCE_WIDTHS)),
         "psi_dense": lambda s, d: distribution.psi(drift_samples(s, d)),
         "psi_severity": severity,
-        "ks_2samp": lambda s, d: distribution.ks_2samp(drift_samples(s, d), method="asymptotic"),
+        "ks_2samp": lambda s, d: distribution.ks_2samp(drift_samples(s, d)),
         "ks_2samp_exact": exact,
         "z_score": lambda s, d: distribution.z_score(drift_samples(s, d)),
         "kl_divergence": lambda s, d: rounded(distribution.kl_divergence(drift_samples(s, d))),
@@ -408,7 +525,7 @@ def _serving_queries() -> dict[str, Query]:
         "latency_report": lambda s, d: rounded(serving.latency_report(request_rows(s, d))),
         "throughput": lambda s, d: rounded(serving.throughput(read_activity(s, d))),
         "throughput_daily": lambda s, d: rounded(serving.throughput(read_activity(s, d), "1 day")),
-        "metric_history": lambda s, d: serving.metric_history(metric_rows(s, d), F.lit(NOW).cast("timestamp_ntz")),
+        "metric_history": lambda s, d: serving.metric_history(metric_rows(s, d), bound(NOW)),
         "recent_metrics": lambda s, d: serving.recent_metrics(metric_rows(s, d), "view", "psi_score"),
     }
 
@@ -464,6 +581,11 @@ def _diagnosis_queries() -> dict[str, Query]:
         listed = registry.list_features(registry.seed_definitions(s), registry.seed_lineage(s))
         return counted.join(listed.select("feature_name", F.inline("lineage")), "feature_name")
 
+    def one_feature(s: SparkSession, d: str) -> DataFrame:
+        counted = wide_to_long(vectors(s, d)).groupBy("feature_name").agg(F.count(F.lit(1)).alias("n_values"))
+        found = registry.get_feature(registry.seed_definitions(s), registry.seed_lineage(s), "anomaly_score")
+        return counted.join(found.select("feature_name", "owner", F.size("lineage").alias("n_steps")), "feature_name")
+
     def unregistered(s: SparkSession, d: str) -> DataFrame:
         seen = wide_to_long(vectors(s, d)).filter(F.col("value") > 3).select("feature_name").distinct()
         return registry.missing_seeds(seen, registry.seed_definitions(s)).select("feature_name", "owner")
@@ -478,6 +600,7 @@ def _diagnosis_queries() -> dict[str, Query]:
         "most_severe_first": ranked,
         "describe_features": described,
         "feature_lineage": lineage,
+        "get_feature": one_feature,
         "missing_seeds": unregistered,
     }
 

@@ -49,7 +49,6 @@ FRESHNESS_SLA_SECONDS = 300
 LATENCY_SLA_MS = 50.0
 WATERMARK = "10 minutes"
 TRIGGER = "30 seconds"
-MAX_PER_TRIGGER = 10_000
 
 METRIC_SCHEMA = "feature_name string, metric_type string, metric_value double, recorded_at timestamp"
 DIAGNOSIS_SCHEMA = """

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 # Only settings that change results or survive-ability; sizes stay with the cluster.
@@ -35,12 +37,15 @@ def build_session(name: str = "windrow", **extra: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def shared_folder(spark: SparkSession, unset_default: str | None = None) -> str:
+def shared_folder(spark: SparkSession) -> str:
     """Folder all executors see: the one named in ``spark.checkpoint.dir``.
 
-    ``unset_default`` is for tests and single-machine runs only.
+    A session on a single machine, as in tests, may leave it unset and gets a temporary folder; a cluster may not, as its
+    executors don't share one.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or unset_default
-    if folder is None:
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is not None:
+        return folder.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
         raise ValueError("spark.checkpoint.dir is not set; name a folder every executor can reach")
-    return folder
+    return tempfile.gettempdir()

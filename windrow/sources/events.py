@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from windrow.functions.time import bound
 from windrow.schema import (
     DEVICE_TYPES,
     EVENT_SCHEMA,
     EVENT_TYPES,
     EVENTS_TOPIC,
-    MAX_PER_TRIGGER,
     REQUIRED_EVENT_FIELDS,
     SCHEMA_VERSION,
 )
@@ -23,23 +23,25 @@ def read_event_stream(
     folder: str | None = None,
     topic: str = EVENTS_TOPIC,
     starting: str = "latest",
-    max_per_trigger: int = MAX_PER_TRIGGER,
+    max_offsets: int | None = None,
+    max_files: int | None = None,
 ) -> DataFrame:
     """Unbounded raw events in a ``value`` column, from a topic or from a folder of JSON lines.
 
-    A trigger takes at most ``max_per_trigger`` offsets, or files of a folder; lost offsets are skipped.
+    A trigger takes all there is, unless ``max_offsets`` of a topic or ``max_files`` of a folder bound it. Lost
+    offsets are skipped.
     """
     if servers is not None:
-        return (
+        reader = (
             spark.readStream.format("kafka")
             .option("kafka.bootstrap.servers", servers)
             .option("subscribe", topic)
             .option("startingOffsets", starting)
             .option("failOnDataLoss", "false")
-            .option("maxOffsetsPerTrigger", max_per_trigger)
-            .load()
         )
-    return spark.readStream.format("text").option("maxFilesPerTrigger", max_per_trigger).load(folder)
+        return (reader if max_offsets is None else reader.option("maxOffsetsPerTrigger", max_offsets)).load()
+    reader = spark.readStream.format("text")
+    return (reader if max_files is None else reader.option("maxFilesPerTrigger", max_files)).load(folder)
 
 
 def read_event_history(
@@ -68,7 +70,8 @@ def read_event_history(
 
 
 def in_range(events: DataFrame, start, end) -> DataFrame:
-    return events.filter(F.col("timestamp").between(F.lit(start), F.lit(end)))
+    """Events of ``[start, end]``, both inclusive, in UTC."""
+    return events.filter(F.col("timestamp").between(bound(start), bound(end)))
 
 
 def parse_events(raw: DataFrame) -> DataFrame:
@@ -105,3 +108,34 @@ def validate_events(events: DataFrame) -> tuple[DataFrame, DataFrame]:
         .withColumn("schema_version", F.coalesce("schema_version", F.lit(SCHEMA_VERSION)))
     )
     return valid, checked.filter(failed)
+
+
+def dedup_events(events: DataFrame) -> DataFrame:
+    """One event of each ``event_id``: producers send an event again when they miss its acknowledgement.
+
+    In a table the first by time stays, then the smallest record. In a stream, which needs a watermark on
+    ``timestamp``, the first to arrive stays and ids are remembered for as long as the watermark waits. Events without
+    an id can't be told apart and all stay.
+    """
+    if events.isStreaming:
+        # Without an id, a key of its own for each record keeps different events apart.
+        own = F.coalesce("event_id", F.md5(F.to_json(F.struct(*events.columns))))
+        return events.withColumn("_id", own).dropDuplicatesWithinWatermark(["_id"]).drop("_id")
+    named = events.filter(F.col("event_id").isNotNull())
+    others = [c for c in events.columns if c != "event_id"]
+    order = F.struct("timestamp", F.to_json(F.struct(*others)))
+    first = named.groupBy("event_id").agg(F.min_by(F.struct(*others), order).alias("_event"))
+    kept = first.select("event_id", "_event.*").select(*events.columns)
+    return kept.unionByName(events.filter(F.col("event_id").isNull()))
+
+
+def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
+    """Stretches of a user's events without a pause of ``gap`` or more, with their events and purchases.
+
+    Works on tables and, with a watermark, on streams; sessions merge map-side before they meet.
+    """
+    return (
+        events.groupBy("user_id", F.session_window("timestamp", gap).alias("w"))
+        .agg(F.count(F.lit(1)).alias("n_events"), F.count_if(F.col("event_type") == "purchase").alias("n_purchases"))
+        .select("user_id", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n_events", "n_purchases")
+    )

@@ -1,218 +1,162 @@
-"""Versioned Parquet tables: a folder of data per commit and a small manifest of what each commit holds.
+"""Append-only Parquet tables: rows in batches, each batch in folders of its own, and the current state by query.
 
-A commit first writes its files and then its manifest entry, so readers never see half of one. An entry says
-for each partition it touched whether it adds to the partition or replaces it; a snapshot is, per partition,
-the last replacement and everything added since. There is one writer at a time: the manifest entry of a
-version can be written only once, so a second writer fails instead of losing a commit.
+A table is a folder ``<partition>=<value>/batch=<name>``. Every write names its batch, so no two writers share a folder,
+and a batch that is written again replaces itself and nothing else. Nothing that is stored is ever rewritten by a
+write: a row is replaced by a later one of its key, and removed by a later row that says so. Which rows count is a
+question to the data: the last one of each key by the time it was written, at any time of interest.
+
+A table format with transactions can stand in its place where its connector is on the class path: ``format``
+names it.
 """
 
 from __future__ import annotations
 
-import json
+import re
+import time
+import uuid
 from collections.abc import Sequence
-from datetime import datetime, timezone
+from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-# ``schema`` is on the first entry of a version; an entry without ``has_rows`` empties its partition.
-_MANIFEST_SCHEMA = """
-    version long, committed_at double, operation string, tag string, schema string,
-    partition string, replaces boolean, has_rows boolean
-"""
+from windrow.functions.time import bound
 
+WRITTEN, BATCH, REMOVED = "written_at", "batch", "removed"
+BOOKKEEPING = (WRITTEN, BATCH, REMOVED)
 
-class VersionedTable:
-    """A table at ``path`` partitioned by one column of few values, such as a date or a hash bucket."""
 
-    commits_per_rollup = 100
+class BatchTable:
+    """Rows under ``path``, by one column of few values, such as a date or a hash bucket, and by batch."""
 
-    def __init__(self, spark: SparkSession, path: str, partition_by: str = "event_date"):
+    def __init__(
+        self, spark: SparkSession, path: str, key: Sequence[str] = (), partition_by: str = "event_date", format: str = "parquet"
+    ):
         self.spark = spark
         self.path = path.rstrip("/")
+        self.key = tuple(key)
         self.partition_by = partition_by
+        self.format = format
+
+    # Folders ------------------------------------------------------------------------------------
+
+    def _folder(self, *parts: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.path, *parts]))
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
-    # Manifest -----------------------------------------------------------------------------------
-
-    def manifest(self) -> DataFrame:
-        """All entries: the newest roll-up and the commits after it."""
-        reader = self.spark.read.schema(_MANIFEST_SCHEMA)
-        finished = (n for n in reversed(self._names("rollup")) if "_SUCCESS" in self._names(f"rollup/{n}"))
-        rolled = next(finished, None)
-        later = [f"{self.path}/manifest/{n}/*" for n in self._names("manifest") if rolled is None or n > rolled]
-        if rolled is None:
-            return reader.json(later) if later else self.spark.createDataFrame([], _MANIFEST_SCHEMA)
-        entries = reader.parquet(f"{self.path}/rollup/{rolled}")
-        return entries.unionByName(reader.json(later)) if later else entries
-
-    def _names(self, folder: str) -> list[str]:
-        """Names in a folder of the table, in order; none if it does not exist."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{folder}")
-        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        return sorted(f.getPath().getName() for f in files.listStatus(path)) if files.exists(path) else []
-
-    def _roll_up(self, version: int) -> None:
-        """After each full group of commits, gathers their entries and all earlier ones in one file, so that a
-        table of a million commits is still read from two or three folders."""
-        if (version + 1) % self.commits_per_rollup == 0:
-            group = f"{version // self.commits_per_rollup:08d}"
-            self.manifest().coalesce(1).write.mode("overwrite").parquet(f"{self.path}/rollup/{group}")
-
-    def latest_version(self) -> int:
-        """-1 before the first commit."""
-        return self._latest_and_tagged("")[0]
-
-    def _latest_and_tagged(self, tag: str | None) -> tuple[int, int | None]:
-        """The newest version, and the version committed with ``tag`` if there is one."""
-        tagged = F.max(F.when(F.col("tag") == tag, F.col("version")))
-        return tuple(self.manifest().agg(F.coalesce(F.max("version"), F.lit(-1)), tagged).first())
-
-    def history(self, limit: int = 10) -> DataFrame:
-        """Newest commits first."""
-        per_version = self.manifest().groupBy("version", "committed_at", "operation", "tag").agg(
-            F.count("partition").alias("partitions")
-        )
-        return per_version.orderBy(F.col("version").desc()).limit(limit)
-
-    def _commit(
-        self,
-        rows: DataFrame,
-        operation: str,
-        replaces: bool,
-        committed_at: float | None,
-        empty: Sequence = (),
-        tag: str | None = None,
-        version: int | None = None,
-    ) -> int:
-        version = self.latest_version() + 1 if version is None else version
-        folder = f"{self.path}/data/version={version:010d}"
-        # Left over from a failed attempt if it exists: no manifest entry names it.
-        writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "static")
-        writer.partitionBy(self.partition_by).parquet(folder)
-        written = self._partitions_of(version)
-        now = datetime.now(timezone.utc).timestamp() if committed_at is None else committed_at
-        touched = sorted(written | {str(p) for p in empty}) or [None]
-        entries = [
-            (version, now, operation, tag, None if i else rows.schema.json(), p, replaces, p in written)
-            for i, p in enumerate(touched)
-        ]
-        entry = self.spark.createDataFrame(entries, _MANIFEST_SCHEMA).coalesce(1)
-        group = version // self.commits_per_rollup
-        entry.write.mode("errorifexists").json(f"{self.path}/manifest/{group:08d}/{version:010d}")
-        self._roll_up(version)
-        return version
-
-    def _partitions_of(self, version: int) -> set[str]:
+    def partitions(self) -> list[str]:
+        """Values of the partition column that have a folder, in order."""
+        files, path = self._folder()
+        names = [f.getPath().getName() for f in files.listStatus(path)] if files.exists(path) else []
         prefix = f"{self.partition_by}="
-        return {n[len(prefix) :] for n in self._names(f"data/version={version:010d}") if n.startswith(prefix)}
+        return sorted(n[len(prefix) :] for n in names if n.startswith(prefix))
+
+    def exists(self) -> bool:
+        """Whether any row was ever written."""
+        return bool(self.partitions())
+
+    def batches(self, partition: str) -> list[str]:
+        files, path = self._folder(f"{self.partition_by}={partition}")
+        names = [f.getPath().getName() for f in files.listStatus(path)] if files.exists(path) else []
+        return sorted(n.removeprefix(f"{BATCH}=") for n in names if n.startswith(f"{BATCH}="))
+
+    def drop_batches(self, partition: str, batches: Sequence[str]) -> None:
+        """Deletes batches of one partition, after their rows were written elsewhere or are past keeping."""
+        for batch in batches:
+            files, path = self._folder(f"{self.partition_by}={partition}", f"{BATCH}={batch}")
+            files.delete(path, True)
+        files, path = self._folder(f"{self.partition_by}={partition}")
+        if files.exists(path) and not files.listStatus(path):
+            files.delete(path, False)
 
     # Writing ------------------------------------------------------------------------------------
 
-    def append(self, rows: DataFrame, tag: str | None = None, committed_at: float | None = None) -> int:
-        """Adds rows and returns the version. A ``tag`` is committed once: repeating it changes nothing."""
-        latest, tagged = self._latest_and_tagged(tag)
-        if tagged is not None:
-            return tagged
-        return self._commit(self._sized(rows), "append", False, committed_at, tag=tag, version=latest + 1)
+    def append(self, rows: DataFrame, batch: str | None = None, written_at: float | None = None, removed: DataFrame | None = None) -> str:
+        """Adds rows as one batch and returns its name. ``removed`` has the keys, with the partition column, of rows
+        that no longer count."""
+        name = batch_name(batch)
+        now = F.lit(time.time() if written_at is None else float(written_at))
+        out = rows.withColumn(WRITTEN, now).withColumn(REMOVED, F.lit(False))
+        if removed is not None:
+            gone = removed.withColumn(WRITTEN, now).withColumn(REMOVED, F.lit(True))
+            out = out.unionByName(gone, allowMissingColumns=True)
+        return self._write(out, name)
+
+    def _write(self, rows: DataFrame, name: str) -> str:
+        # Rows are gathered by partition; adaptive execution splits what is too large for a file.
+        sized = rows.withColumn(BATCH, F.lit(name)).hint("rebalance", F.col(self.partition_by))
+        writer = sized.write.format(self.format).mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy(self.partition_by, BATCH).save(self.path)
+        return name
 
-    def overwrite(self, rows: DataFrame, committed_at: float | None = None) -> int:
-        """Replaces the whole table."""
-        return self._commit(self._sized(rows), "overwrite", True, committed_at, self.partitions())
+    # Reading ------------------------------------------------------------------------------------
 
-    def replace_partitions(self, rows: DataFrame, partitions: Sequence, committed_at: float | None = None) -> int:
-        """Replaces the named partitions by ``rows``, which lie in them; a partition without rows becomes empty."""
-        return self._commit(self._sized(rows), "replace", True, committed_at, partitions)
+    def rows(self, as_of: float | None = None) -> DataFrame:
+        """All rows with their bookkeeping, those of each key's past included."""
+        found = self.spark.read.format(self.format).option("basePath", self.path).load(self.path)
+        return found if as_of is None else found.filter(F.col(WRITTEN) <= float(as_of))
 
-    def upsert(
-        self, rows: DataFrame, key: Sequence[str], order: Sequence[str], committed_at: float | None = None
-    ) -> int:
-        """Updates rows matching on ``key`` and inserts the others, rewriting only the partitions touched.
+    def batch(self, name: str) -> DataFrame:
+        return self.rows().filter(F.col(BATCH) == batch_name(name)).drop(*BOOKKEEPING)
 
-        Among several rows of one key the greatest ``order`` wins, in the batch and against the table, so an
-        older batch replayed late cannot undo a newer one. ``key`` determines the partition.
-        """
-        touched = [r[0] for r in rows.select(self.partition_by).distinct().collect()]
-        merged = merge_rows(self.read(partitions=touched), rows, key, order) if self.exists() else merge_rows(None, rows, key, order)
-        return self._commit(self._sized(merged), "upsert", True, committed_at)
-
-    def compact(self, cluster_by: Sequence[str], partitions: Sequence | None = None, committed_at: float | None = None) -> int:
-        """Rewrites partitions into fewer files, range-clustered so that Parquet statistics can skip them."""
-        rows = self.read(partitions=partitions)
-        clustered = rows.repartitionByRange(self.partition_by, *cluster_by).sortWithinPartitions(
-            self.partition_by, *cluster_by
-        )
-        return self._commit(clustered, "compact", True, committed_at)
-
-    def _sized(self, rows: DataFrame) -> DataFrame:
-        """Rows gathered by partition; adaptive execution splits a partition that is too large for a file."""
-        return rows.hint("rebalance", F.col(self.partition_by))
+    def read(self, as_of: float | None = None) -> DataFrame:
+        """The last row of each key by the time of writing, now or as it was at ``as_of`` (epoch seconds)."""
+        return self._current(self.rows(as_of)).drop(*BOOKKEEPING)
 
-    # Reading ------------------------------------------------------------------------------------
+    def _current(self, rows: DataFrame) -> DataFrame:
+        if not self.key:
+            return rows.filter(~F.col(REMOVED))
+        # The partition column is part of the key, so that a filter on it reaches the folders.
+        key = tuple(dict.fromkeys((self.partition_by, *self.key)))
+        return merge_rows(None, rows, key, (WRITTEN, BATCH)).filter(~F.col(REMOVED))
 
-    def exists(self) -> bool:
-        return self.latest_version() >= 0
+    # Housekeeping -------------------------------------------------------------------------------
 
-    def partitions(self) -> list[str]:
-        found = self.manifest().filter(F.col("partition").isNotNull()).select("partition").distinct()
-        return sorted(r[0] for r in found.collect())
-
-    def snapshot(self, version: int | None = None, as_of: float | None = None) -> DataFrame:
-        """``(partition, version)`` pairs that make up the table at a version, or at a time, or now."""
-        entries = self.manifest()
-        if version is not None:
-            entries = entries.filter(F.col("version") <= version)
-        elif as_of is not None:
-            entries = entries.filter(F.col("committed_at") <= as_of)
-        commits = F.collect_list(F.struct("version", "has_rows"))
-        by_partition = (
-            entries.filter(F.col("partition").isNotNull())
-            .groupBy("partition")
-            .agg(F.max(F.when(F.col("replaces"), F.col("version"))).alias("since"), commits.alias("commits"))
-        )
-        each = by_partition.select("partition", F.coalesce("since", F.lit(0)).alias("since"), F.inline("commits"))
-        return each.filter((F.col("version") >= F.col("since")) & F.col("has_rows")).select("partition", "version")
-
-    def read(
-        self, version: int | None = None, as_of: float | None = None, partitions: Sequence | None = None
-    ) -> DataFrame:
-        """Rows of a snapshot; ``version`` wins over ``as_of`` (epoch seconds). ``partitions`` keeps only those
-        partitions.
-
-        What is collected is one row per partition and commit, from the manifest.
+    def compact(
+        self, partitions: Sequence[str], cluster_by: Sequence[str] = (), keep_since: float | None = None, batch: str | None = None
+    ) -> None:
+        """Rewrites closed partitions into one batch each, clustered, and drops the batches it was made from.
+
+        Rows that a later one replaced are left out, or with ``keep_since`` only if that was before it, so that
+        states since then can still be read. In between both forms are there, which reads the same.
         """
-        entries = self.snapshot(version, as_of)
-        if partitions is not None:
-            entries = entries.filter(F.col("partition").isin(*[str(p) for p in partitions]))
-        folders = [f"version={r['version']:010d}/{self.partition_by}={r['partition']}" for r in entries.collect()]
-        return self._read_folders(folders, self._schema())
-
-    def read_commit(self, version: int, schema: StructType) -> DataFrame:
-        """The rows one version wrote."""
-        return self._read_folders([f"version={version:010d}"] if self._partitions_of(version) else [], schema)
-
-    def _read_folders(self, folders: list[str], schema: StructType) -> DataFrame:
-        if not folders:
-            return self.spark.createDataFrame([], schema)
-        root = f"{self.path}/data"
-        rows = self.spark.read.schema(schema).option("basePath", root).parquet(*[f"{root}/{f}" for f in folders])
-        return rows.select(*schema.fieldNames())
-
-    def _schema(self) -> StructType:
-        """That of the newest commit."""
-        newest = self.manifest().filter(F.col("schema").isNotNull()).agg(F.max_by("schema", "version")).first()[0]
-        if newest is None:
-            raise ValueError(f"no commit in {self.path}")
-        return StructType.fromJson(json.loads(newest))
+        name = batch_name(batch)
+        for partition in map(str, partitions):
+            old = [b for b in self.batches(partition) if b != name]
+            if len(old) < 2:
+                continue
+            mine = self.rows().filter((F.col(self.partition_by) == partition) & F.col(BATCH).isin(old))
+            kept = self._current(mine) if keep_since is None else self._still_read(mine, keep_since)
+            clustered = kept.repartitionByRange(*cluster_by).sortWithinPartitions(*cluster_by) if cluster_by else kept
+            writer = clustered.drop(self.partition_by, BATCH).write.format(self.format).mode("overwrite")
+            writer.save(f"{self.path}/{self.partition_by}={partition}/{BATCH}={name}")
+            self.drop_batches(partition, old)
+
+    def _still_read(self, rows: DataFrame, since: float) -> DataFrame:
+        """Rows of which some state since then is made."""
+        before = merge_rows(None, rows.filter(F.col(WRITTEN) <= since), self.key, (WRITTEN, BATCH))
+        return before.select(*rows.columns).unionByName(rows.filter(F.col(WRITTEN) > since))
+
+    def drop_before(self, partition: str) -> list[str]:
+        """Retention: deletes all partitions below a value, and returns them."""
+        old = [p for p in self.partitions() if p < partition]
+        for p in old:
+            files, path = self._folder(f"{self.partition_by}={p}")
+            files.delete(path, True)
+        return old
+
+
+def batch_name(name: str | None) -> str:
+    """A folder name of its own; one that begins with a letter, so that it is read as text."""
+    return f"b-{uuid.uuid4().hex}" if name is None else "b-" + re.sub(r"[^A-Za-z0-9]+", "-", name.removeprefix("b-")).strip("-")
 
 
 def merge_rows(existing: DataFrame | None, rows: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Rows of both by ``key``, the greatest ``order`` of each. Map-side aggregation keeps one per task."""
     both = rows if existing is None else existing.unionByName(rows.select(*existing.columns))
-    best = both.groupBy(*[F.col(k).alias(f"_{k}") for k in key]).agg(
-        F.max_by(F.struct(*both.columns), F.struct(*order)).alias("_row")
-    )
-    return best.select("_row.*")
+    others = [c for c in both.columns if c not in key]
+    best = both.groupBy(*key).agg(F.max_by(F.struct(*others), F.struct(*order)).alias("_row"))
+    return best.select(*key, "_row.*").select(*both.columns)
 
 
 # Layout of the feature history ------------------------------------------------------------------------
@@ -227,7 +171,12 @@ def with_partition_columns(vectors: DataFrame, prefix: bool = False) -> DataFram
     return dated.withColumn("user_prefix", F.substring("user_id", 1, 3)) if prefix else dated
 
 
-def partition_filter(date, prefix: str | None = None) -> Column:
+def partition_filter(day: date | str, prefix: str | None = None) -> Column:
     """Predicate that prunes to one day, and to a user prefix where one is given."""
-    wanted = F.col("event_date") == F.lit(date).cast("date")
+    wanted = F.col("event_date") == F.lit(str(day)).cast("date")
     return wanted & (F.col("user_prefix") == prefix) if prefix else wanted
+
+
+def days_between(start: datetime | str, end: datetime | str) -> Column:
+    """Predicate that prunes to the days from ``start`` to ``end``."""
+    return F.col("event_date").between(bound(start).cast("date"), bound(end).cast("date"))

@@ -2,7 +2,7 @@
 
 The stream itself only aggregates session cells, which is a plain keyed aggregation without stream joins.
 Each micro-batch appends its cells to a table, reads back what the touched users need of the lookback and
-computes vectors with the code a backfill uses. Batches carry a tag, so a repeated one changes nothing.
+computes vectors with the code a backfill uses. Batches have names, so a repeated one replaces itself.
 
 * The history query runs in append mode. A cell comes out once, when no more of its events can arrive, and
   all earlier cells are out by then: its vector is final.
@@ -14,51 +14,57 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
-from datetime import timedelta
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.listener import StreamingQueryListener
 
-from windrow.functions.time import shift
+from windrow.functions.time import epoch
 from windrow.operators.cells import CELL_KEY, fold_cells, session_cells
 from windrow.operators.vector import REFERENCE_WIDTHS, Widths, vector_from_cells
 from windrow.schema import FEATURE_TTL_SECONDS, TRIGGER, WATERMARK
-from windrow.sources.stores import FeatureHistory, OnlineStore
-from windrow.sources.tables import VersionedTable, merge_rows
+from windrow.sources.events import dedup_events
+from windrow.sources.stores import FeatureHistory, Log, OnlineStore
+from windrow.sources.tables import BatchTable, days_between
 
-_SESSION_CELL = [*CELL_KEY, "session_id"]
+_SESSION_CELL = (*CELL_KEY, "session_id")
 
 
 def streamed_cells(events: DataFrame, base: str, watermark: str = WATERMARK) -> DataFrame:
-    """Session cells of a stream; events later than the watermark are dropped and counted by Spark."""
-    return session_cells(events.withWatermark("timestamp", watermark), base)
+    """Session cells of a stream; events later than the watermark are dropped and counted by Spark, and of events with
+    one id the first counts."""
+    return session_cells(dedup_events(events.withWatermark("timestamp", watermark)), base)
 
 
-def cell_table(spark: SparkSession, path: str) -> VersionedTable:
-    return VersionedTable(spark, path)
+def cell_table(spark: SparkSession, path: str) -> BatchTable:
+    """Session cells by day. In update mode a cell is written whenever it grows, and the last one counts."""
+    return BatchTable(spark, path, _SESSION_CELL)
 
 
-def _append_batch(table: VersionedTable, batch: DataFrame, batch_id: int, tag: str) -> DataFrame:
-    dated = batch.withColumn("event_date", F.to_date("window_start")).withColumn("batch_id", F.lit(batch_id))
-    # Reading back what was written keeps Spark from running the batch again for every use.
-    return table.read_commit(table.append(dated, tag), dated.schema)
+def _append_batch(table: BatchTable, batch: DataFrame, name: str) -> DataFrame | None:
+    """The batch's cells as they were stored, which keeps Spark from running it again for every use; None if empty."""
+    table.append(batch.withColumn("event_date", F.to_date("window_start")), name)
+    return table.batch(name) if table.exists() else None
 
 
-def _with_context(table: VersionedTable, new: DataFrame, widths: Widths) -> DataFrame | None:
+def _with_context(table: BatchTable, new: DataFrame | None, widths: Widths) -> DataFrame | None:
     """Cells of the touched users from one lookback before the batch on; None for an empty batch."""
-    first, last = new.agg(F.min("window_start"), F.max("window_start")).first()
+    if new is None:
+        return None
+    # Seconds since 1970 mean the same in the driver whatever its time zone.
+    first, last = new.agg(F.min(epoch("window_start")), F.max(epoch("window_start"))).first()
     if first is None:
         return None
-    since = first - timedelta(seconds=widths.lookback)
-    days = [since.date() + timedelta(days=i) for i in range((last.date() - since.date()).days + 1)]
-    context = table.read(partitions=days).filter(F.col("window_start") >= shift(F.lit(first), -widths.lookback))
+    since, until = (datetime.fromtimestamp(t, timezone.utc) for t in (first - widths.lookback, last))
+    context = table.read().filter(days_between(since, until) & (epoch("window_start") >= first - widths.lookback))
     return context.join(new.select("user_id").distinct(), "user_id", "left_semi")
 
 
-def _tag(batch: DataFrame, batch_id: int, fallback: str) -> str:
+def _name(batch: DataFrame, batch_id: int, fallback: str) -> str:
     query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or fallback
-    return f"{query}/{batch_id}"
+    return f"{query}-{batch_id}"
 
 
 def _start(cells: DataFrame, mode: str, write: Callable, name: str, checkpoint: str, trigger: str | None) -> StreamingQuery:
@@ -70,7 +76,7 @@ def _start(cells: DataFrame, mode: str, write: Callable, name: str, checkpoint:
 def start_history(
     events: DataFrame,
     history: FeatureHistory,
-    cells: VersionedTable,
+    cells: BatchTable,
     checkpoint: str,
     widths: Widths = REFERENCE_WIDTHS,
     trigger: str | None = TRIGGER,
@@ -79,14 +85,14 @@ def start_history(
     """Final vectors into ``history``. Without ``trigger`` the query stops when the source is read through."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        tag = _tag(batch, batch_id, checkpoint)
-        new = _append_batch(cells, batch, batch_id, tag)
+        name = _name(batch, batch_id, checkpoint)
+        new = _append_batch(cells, batch, name)
         context = _with_context(cells, new, widths)
         if context is None:
             return
         vectors = vector_from_cells(fold_cells(context), widths, F.lit(clock()))
         closed_now = new.select(*CELL_KEY).distinct()
-        history.append_or_set_aside(vectors.join(closed_now, CELL_KEY, "left_semi"), batch_id, tag)
+        history.append_or_set_aside(vectors.join(closed_now, CELL_KEY, "left_semi"), name)
 
     return _start(streamed_cells(events, widths.base), "append", write, "feature_history", checkpoint, trigger)
 
@@ -94,7 +100,7 @@ def start_history(
 def start_online(
     events: DataFrame,
     online: OnlineStore,
-    live_cells: VersionedTable,
+    live_cells: BatchTable,
     checkpoint: str,
     widths: Widths = REFERENCE_WIDTHS,
     ttl: float = FEATURE_TTL_SECONDS,
@@ -104,29 +110,46 @@ def start_online(
     """Latest vectors of the touched users into ``online``."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        tag = _tag(batch, batch_id, checkpoint)
-        new = _append_batch(live_cells, batch, batch_id, tag)
+        name = _name(batch, batch_id, checkpoint)
+        new = _append_batch(live_cells, batch, name)
         context = _with_context(live_cells, new, widths)
         if context is None:
             return
-        vectors = vector_from_cells(fold_cells(current_cells(context)), widths, F.lit(clock()))
-        online.write(vectors, ttl, tag)
+        vectors = vector_from_cells(fold_cells(context), widths, F.lit(clock()))
+        online.write(vectors, ttl, name)
 
     return _start(streamed_cells(events, widths.base), "update", write, "feature_online", checkpoint, trigger)
 
 
-def current_cells(emitted: DataFrame) -> DataFrame:
-    """The last emission of each session cell; update mode repeats a cell whenever it grows."""
-    return merge_rows(None, emitted, _SESSION_CELL, ("batch_id",))
+def compact_cells(cells: BatchTable, closed_before: str) -> list[str]:
+    """Makes one batch of each day before ``closed_before``, with the last emission of each cell; returns the days."""
+    days = [d for d in cells.partitions() if d < closed_before and len(cells.batches(d)) > 1]
+    cells.compact(days, ("user_id", "window_start"))
+    return days
+
+
+class LateRows(StreamingQueryListener):
+    """Writes the rows that each batch drops as later than the watermark to the metric log, and adds them up.
+
+    Spark tells a listener of every batch, while a query itself remembers only its last reports.
+    """
+
+    def __init__(self, metrics: Log, clock: Callable[[], float] = time.time):
+        self.metrics, self.clock, self.total = metrics, clock, 0
 
+    def onQueryStarted(self, event) -> None:
+        pass
 
-def compact_live_cells(live_cells: VersionedTable, days: list) -> int:
-    """Replaces the emissions of whole days by the last one of each cell."""
-    return live_cells.replace_partitions(current_cells(live_cells.read(partitions=days)), days)
+    def onQueryIdle(self, event) -> None:
+        pass
 
+    def onQueryTerminated(self, event) -> None:
+        pass
 
-def late_rows(query: StreamingQuery) -> int:
-    """Rows dropped as later than the watermark, over the progress reports Spark still holds."""
-    return sum(
-        operator["numRowsDroppedByWatermark"] for report in query.recentProgress for operator in report["stateOperators"]
-    )
+    def onQueryProgress(self, event) -> None:
+        late = sum(operator.numRowsDroppedByWatermark for operator in event.progress.stateOperators)
+        if late:
+            row = [(event.progress.name or str(event.progress.id), "late_rows", float(late))]
+            named = self.metrics.spark.createDataFrame(row, "feature_name string, metric_type string, metric_value double")
+            self.metrics.append(named.withColumn("recorded_at", F.timestamp_seconds(F.lit(float(self.clock())))))
+            self.total += late
