@@ -89,7 +89,8 @@ def deduplicated(docs: DataFrame, depth: int = MIN_LINES) -> DataFrame:
         F.xxhash64(text).alias("text_hash"),
         F.split(text, "\n").alias("lines"),
     )
-    both = rows.join(copies, ["id", "text_hash"], "left")
+    # The same join at every size: copies grow with the documents.
+    both = rows.join(copies.hint("merge"), ["id", "text_hash"], "left")
     covered = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + depth - 1))))
     both = both.withColumn("gone", F.coalesce(covered, F.array().cast("array<int>")))
     kept = F.filter("lines", lambda _, i: ~F.array_contains("gone", i))
