@@ -50,13 +50,13 @@ TEXTS: list[tuple[int | None, str | None, str | None, str | None]] = [
 CLASHING = (
     "size row words spans items kept band n_words limits id tie tie2 copies anchor node fingerprint bands component "
     "text_hash lines starts rank target level n_tokens start html payload"
-).split()
+).split() + ["two words", "a-b,c", "dotted.name", "tick`ed"]
 
 
 def documents(spark, rows=None):
     """The odd documents with extra columns; empty if ``rows`` is an empty list."""
     schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(
-        f"`{c}` string" for c in CLASHING
+        f"`{c.replace('`', '``')}` string" for c in CLASHING
     )
     rows = TEXTS if rows is None else rows
     full = [(*r, len(r[1] or ""), *("clash" for _ in CLASHING)) for r in rows]

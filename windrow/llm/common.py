@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import io
+import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 # White space that separates words: [\x20\x09-\x0D].
 WORD = r"[^\x20\x09-\x0D]+"
@@ -20,6 +27,7 @@ ALNUM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SLICE_BYTES = 8 << 20
 # Rows of an Arrow batch; with texts of a megabyte a batch is still small beside an executor.
 BATCH_ROWS = 1000
+SHIPPED: set[str] = set()
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -47,11 +55,41 @@ def stored(frame: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Fewer rows in an Arrow batch, so that a batch of long texts stays small."""
+def prepared(spark: SparkSession) -> None:
+    """Readies a session for operators that run Python in tasks.
+
+    Arrow batches get fewer rows, so that a batch of long texts stays small. The package goes to the executors as a
+    Python archive, once for each application, so that tasks find it wherever the driver was started.
+    """
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
         spark.conf.set(name, str(BATCH_ROWS))
+    application = spark.sparkContext.applicationId
+    if application in SHIPPED:
+        return
+    root = Path(__file__).resolve().parents[1]
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as archive:
+        for file in sorted(root.rglob("*.py")):
+            archive.write(file, file.relative_to(root.parent))
+    archive_uri = f"{scratch(spark, 'package')}.zip"
+    system, path = fs.FileSystem.from_uri(archive_uri)
+    system.create_dir(os.path.dirname(path), recursive=True)
+    with system.open_output_stream(path) as out:
+        out.write(packed.getvalue())
+    spark.sparkContext.addPyFile(archive_uri)
+    SHIPPED.add(application)
+
+
+def whole_row(frame: DataFrame) -> Column:
+    """All columns of a frame as one, so that they travel beside an operator's own whatever they are called."""
+    names = ["`" + c.replace("`", "``") + "`" for c in frame.columns]
+    return F.struct(*map(F.col, names)).alias("row")
+
+
+def schema_with(carried: list[StructField], more: str) -> StructType:
+    """Fields of a frame and further ones."""
+    return StructType([*carried, *StructType.fromDDL(more).fields])
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTES) -> Iterator[pa.Table]:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from windrow.llm.common import ALNUM_WORD, bounded_batches, column, slices, stored
+from windrow.llm.common import ALNUM_WORD, column, prepared, schema_with, slices, stored, whole_row
 
 WINDOW = 10
 BLOCK = 3
@@ -116,7 +116,7 @@ def search_pass(docs: DataFrame, patterns: list[tuple[list[str], list[str]]], fi
     spark = docs.sparkSession
     tables = spark.sparkContext.broadcast(Search(patterns))
     keep = [f for f in docs.schema.fields if f.name not in ("n_words", "spans", "items")]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), FOUND])
+    schema = schema_with(keep, FOUND)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         search = tables.value
@@ -150,7 +150,7 @@ def search_pass(docs: DataFrame, patterns: list[tuple[list[str], list[str]]], fi
 def hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, most: int = MAX_WINDOWS) -> DataFrame:
     """``docs`` (with a column ``text``) and its number of words, spans of hit words and items found."""
     spark = docs.sparkSession
-    bounded_batches(spark)
+    prepared(spark)
     patterns = stored(windows(benchmark, size), "windows")
     blocks = max(1, -(-patterns.count() // most))
     for block in range(blocks):
@@ -164,8 +164,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, most: int =
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` without a hit, with their own columns, whatever these are called."""
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    rows = docs.select(row, F.col("text").cast("string").alias("text"))
+    rows = docs.select(whole_row(docs), F.col("text").cast("string").alias("text"))
     return hits(rows, benchmark).filter(F.size("spans") == 0).select("row.*")
 
 

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from windrow.llm.common import WORD, stored
+from windrow.llm.common import WORD, prepared, stored, whole_row
 
 WEIGHTS = (5, 2, 1)
 TOTAL_SHARE = (3, 2)  # the mix has 150% of all words
@@ -165,8 +165,7 @@ def resampled(docs: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     Rows that agree in every column can't be told apart, nor need to be: they are one row with all their draws, so no
     number of equal rows makes a hot key.
     """
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    whole = docs.select(row).select("row", F.xxhash64("row").alias("tie"), F.xxhash64(F.lit(1), F.col("row")).alias("tie2"))
+    whole = docs.select(whole_row(docs)).select("row", F.xxhash64("row").alias("tie"), F.xxhash64(F.lit(1), F.col("row")).alias("tie2"))
     rows = whole.select(
         F.col("row.doc_id").cast("long").alias("doc_id"),
         F.col("row.text").cast("string").alias("text"),
@@ -186,6 +185,7 @@ def resampled(docs: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
 
 def drawn(rows: DataFrame, block_rows: int) -> DataFrame:
     """The mix of ``rows(doc_id, source, size, tie, tie2)``; the ties order rows of one id."""
+    prepared(rows.sparkSession)
     rows = stored(rows, "sizes")
     plan = stored(targets(rows), "targets")
     joined = rows.withColumn("named", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from windrow.llm.common import bounded_batches, column, scratch, slices, split_words, stored
+from windrow.llm.common import column, prepared, scratch, slices, split_words, stored
 
 END_ID = 2
 HAS_ID, WIDE = 1, 2
@@ -215,7 +215,7 @@ def write_shard(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str,
 def write_records(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: int = END_ID) -> DataFrame:
     """Writes every row of ``docs(doc_id, text)`` in ascending order of id; returns the stored manifest."""
     spark = docs.sparkSession
-    bounded_batches(spark)
+    prepared(spark)
     folder = folder or scratch(spark, "records")
     system, path = opened(folder)
     system.create_dir(path, recursive=True)

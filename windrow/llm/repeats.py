@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from windrow.llm.common import bounded_batches, column, slices, stored
+from windrow.llm.common import column, prepared, slices, stored
 from windrow.llm.suffix_array import suffix_array
 
 LENGTH = 100
@@ -332,7 +332,7 @@ def deduplicated(docs: DataFrame, most: int = MOST_CONTEXTS) -> DataFrame:
 
     What is kept is bytes, as a run may begin or end inside a character.
     """
-    bounded_batches(docs.sparkSession)
+    prepared(docs.sparkSession)
     per_doc = repeated_spans(docs, most).groupBy("id", "tie").agg(F.collect_set(F.struct("begin", "stop")).alias("spans"))
     per_doc = stored(per_doc, "spans")
     rows = keyed(docs).join(per_doc, ["id", "tie"], "left").select("doc_id", "text", "spans")

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from windrow.llm.common import bounded_batches, column, slices, stored
+from windrow.llm.common import column, prepared, slices, stored
 from windrow.llm.components import components
 
 SEED = 42
@@ -121,7 +121,7 @@ def bands_of(runs: list[list[int]]) -> list[list[int] | None]:
 
 def fingerprints(docs: DataFrame, words: int = 3, lanes: int = 1, bands: bool = False) -> DataFrame:
     """``docs(doc_id, text)`` to ``(doc_id, fingerprint)``, big-endian bytes, and the bands if asked for."""
-    bounded_batches(docs.sparkSession)
+    prepared(docs.sparkSession)
     schema = "doc_id long, fingerprint binary" + (", bands array<long>" if bands else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -363,7 +363,8 @@ def without_copies(docs: DataFrame) -> DataFrame:
     """One document of each group of near copies: the one with the smallest id, and of its rows one. Rows without id stay."""
     drop = stored(copies(docs), "copies")
     # The same join at every size: what is dropped grows with the documents.
-    kept = docs.join(drop.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    drop = drop.select(F.col("doc_id").alias("dropped")).hint("merge")
+    kept = docs.join(drop, docs["doc_id"] == drop["dropped"], "left_anti")
     rows = docs.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     if rows.filter("n > 1").isEmpty():
         return kept

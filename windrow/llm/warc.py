@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from windrow.llm.common import bounded_batches, scratch, stored
+from windrow.llm.common import prepared, scratch, stored
 from windrow.llm.records import opened
 
 CHUNK_BYTES = 1 << 20
@@ -117,7 +117,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, revisit_bytes: i
     from digests alone and joined back, where adaptive execution splits a payload that many pages share.
     """
     spark = pages.sparkSession
-    bounded_batches(spark)
+    prepared(spark)
     folder = folder or scratch(spark, "archives")
     system, path = opened(folder)
     system.create_dir(path, recursive=True)
