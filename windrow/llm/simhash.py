@@ -37,8 +37,9 @@ from windrow.llm.components import components
 SEED = 42
 SHARD_ROWS = 4096
 # Near copies of a pipeline: shingles of five words, similarity 0.8. Sets of one size with that similarity have
-# cosine 0.89 and differ in 39 of 256 bits on average, with a deviation of 6.
-WIDE_BITS, WIDE_WORDS, WIDE_RADIUS = 256, 5, 44
+# cosine 0.89 and differ in 155 of 1024 bits on average, with a deviation of 11; the radius is one deviation more, so
+# that similarities down to about 0.77 are linked rather than any of 0.8 lost.
+WIDE_BITS, WIDE_WORDS, WIDE_RADIUS = 1024, 5, 166
 BANDS, BAND_ROWS = 14, 3
 LEVELS = 3
 
