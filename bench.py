@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import json
 import os
-import tempfile
 import time
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +20,7 @@ from windrow.operators.asof import point_in_time
 from windrow.operators.samples import wide_to_long
 from windrow.operators.vector import REFERENCE_WIDTHS
 from windrow.plans.queries import NOW_EPOCH, SPLIT, activity_stream, all_queries, drift_samples, vectors
-from windrow.session import SETTINGS
+from windrow.session import SETTINGS, scratch_folder
 from windrow.sources.activity import read_activity
 from windrow.sources.stores import FeatureHistory, with_expiry
 from windrow.streaming.features import cell_table, start_history
@@ -67,7 +66,7 @@ def main() -> None:
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    root = tempfile.mkdtemp(prefix="run-")
+    root = scratch_folder(spark)
     seconds: dict[str, float] = {}
 
     registered = all_queries()

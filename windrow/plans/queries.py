@@ -6,15 +6,14 @@ reference widths and at dense ones, where windows hold more than an event or two
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from datetime import date, datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from windrow.functions.time import bound, epoch
 from windrow.functions.columns import psi_reading, psi_severity
+from windrow.functions.time import bound, epoch
 from windrow.operators import consistency, diagnosis, distribution, drift, features, latest, registry, serving
 from windrow.operators.asof import point_in_time
 from windrow.operators.cells import cells, fold_cells, session_cells
@@ -27,10 +26,10 @@ from windrow.operators.vector import (
     feature_vector,
     training_projection,
 )
+from windrow.plans import jobs
 from windrow.schema import FEATURES
-from windrow.session import configure, shared_folder
+from windrow.session import configure, scratch_folder
 from windrow.sources.activity import as_events, read_activity, user_name
-from windrow.plans import jobs
 from windrow.sources.events import (
     dedup_events,
     encode_events,
@@ -131,11 +130,6 @@ def request_rows(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/events.parquet").select(status.alias("status"), F.col("value").alias("latency_ms"))
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder under the shared one."""
-    return f"{shared_folder(spark)}/windrow-{uuid.uuid4().hex}"
-
-
 # Queries --------------------------------------------------------------------------------------------------
 
 
@@ -240,7 +234,7 @@ def _source_queries() -> dict[str, Query]:
 
 def _store_queries() -> dict[str, Query]:
     def versions(s: SparkSession, d: str) -> FeatureHistory:
-        store = FeatureHistory(s, f"{scratch(s)}/history")
+        store = FeatureHistory(s, f"{scratch_folder(s)}/history")
         everything = vectors(s, d)
         store.append(everything.filter(F.col("window_start") < bound(SPLIT)), written_at=100.0)
         later = vectors(s, d, SKEWED_WIDTHS).withColumn("computed_at", F.col("computed_at") + 60.0)
@@ -256,7 +250,7 @@ def _store_queries() -> dict[str, Query]:
         return rounded(frame.withColumn("event_date", F.col("event_date").cast("string")))
 
     def in_use(s: SparkSession, d: str) -> DataFrame:
-        store = OnlineStore(s, f"{scratch(s)}/online", buckets=8)
+        store = OnlineStore(s, f"{scratch_folder(s)}/online", buckets=8)
         everything = vectors(s, d, REFERENCE_WIDTHS)
         # The later half is written first; the earlier one, replayed after it, must not undo it.
         late = F.col("window_start") >= bound(SPLIT)
@@ -275,18 +269,18 @@ def _store_queries() -> dict[str, Query]:
         return history
 
     def closed_stream(s: SparkSession, d: str) -> DataFrame:
-        return rounded(_without_zone(closed(s, d, scratch(s)).read().drop("event_date")))
+        return rounded(_without_zone(closed(s, d, scratch_folder(s)).read().drop("event_date")))
 
     def backfilled(s: SparkSession, d: str) -> DataFrame:
         """A backfill beside a stream that overlaps it: one vector of each window, that of the backfill inside its range."""
-        history = closed(s, d, scratch(s))
+        history = closed(s, d, scratch_folder(s))
         events = dedup_events(read_activity(s, d)).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
         fresh = backfill_vector(events, *BACKFILLED, computed_at=F.lit(1.0))
         history.replace_range(fresh, *BACKFILLED)
         return rounded(_without_zone(history.read().drop("event_date")))
 
     def online_stream(s: SparkSession, d: str) -> DataFrame:
-        root = scratch(s)
+        root = scratch_folder(s)
         online = OnlineStore(s, f"{root}/online", buckets=8)
         query = start_online(
             activity_stream(s, d, root), online, cell_table(s, f"{root}/live"), f"{root}/checkpoint", trigger=None,
@@ -297,7 +291,7 @@ def _store_queries() -> dict[str, Query]:
 
     def served(s: SparkSession, d: str) -> DataFrame:
         """Users asked of a store: only their buckets are read."""
-        store = OnlineStore(s, f"{scratch(s)}/online", buckets=8)
+        store = OnlineStore(s, f"{scratch_folder(s)}/online", buckets=8)
         store.write(vectors(s, d, REFERENCE_WIDTHS).filter(F.col("window_end") <= bound(NOW)), ONLINE_TTL)
         users = s.read.parquet(f"{d}/customer.parquet").select(user_name("c_custkey").alias("user_id"))
         asked = users.filter(F.col("user_id") < "usr_00050")
@@ -305,7 +299,7 @@ def _store_queries() -> dict[str, Query]:
 
     def checked(s: SparkSession, d: str) -> DataFrame:
         """The consistency job over stores, whose history holds later windows than those served."""
-        root = scratch(s)
+        root = scratch_folder(s)
         history, online = FeatureHistory(s, f"{root}/history"), OnlineStore(s, f"{root}/online", buckets=8)
         history.append(vectors(s, d))
         online.write(vectors(s, d, SKEWED_WIDTHS).filter(F.col("window_end") <= bound(NOW)), ONLINE_TTL)
@@ -313,7 +307,7 @@ def _store_queries() -> dict[str, Query]:
 
     def logged(s: SparkSession, d: str) -> DataFrame:
         """What the consistency job and the drift job write to the metric log."""
-        root = scratch(s)
+        root = scratch_folder(s)
         online, baselines = OnlineStore(s, f"{root}/online", buckets=8), Baselines(s, f"{root}/baselines")
         metrics, diagnoses = metric_log(s, f"{root}/metrics"), diagnosis_log(s, f"{root}/diagnoses")
         users = latest.latest_per_user(vectors(s, d))
@@ -324,7 +318,7 @@ def _store_queries() -> dict[str, Query]:
         return metrics.read().select("feature_name", "metric_type", "metric_value", F.unix_seconds("recorded_at").alias("recorded_at"))
 
     def diagnosed(s: SparkSession, d: str) -> DataFrame:
-        root = scratch(s)
+        root = scratch_folder(s)
         log = diagnosis_log(s, f"{root}/diagnoses")
         found = diagnosis.diagnose(drift_report(s, d, REFERENCE_WIDTHS))
         log.append(found.withColumn("computed_at", F.timestamp_seconds(F.lit(NOW_EPOCH))))
@@ -332,7 +326,7 @@ def _store_queries() -> dict[str, Query]:
         return shown.withColumn("computed_at", F.unix_seconds("computed_at"))
 
     def verified(s: SparkSession, d: str) -> DataFrame:
-        history = FeatureHistory(s, f"{scratch(s)}/history")
+        history = FeatureHistory(s, f"{scratch_folder(s)}/history")
         events = read_activity(s, d)
         jobs.backfill(history, events, "2024-01-10 00:00:00", "2024-01-15 12:00:00")
         found = jobs.verify_backfill(history, events, "2024-01-10 00:00:00", "2024-01-17 00:00:00")
@@ -340,7 +334,7 @@ def _store_queries() -> dict[str, Query]:
 
     def refreshed(s: SparkSession, d: str) -> DataFrame:
         """Users whose vectors are from before the split have them recomputed over the whole month."""
-        store = OnlineStore(s, f"{scratch(s)}/online", buckets=8)
+        store = OnlineStore(s, f"{scratch_folder(s)}/online", buckets=8)
         everything = vectors(s, d, REFERENCE_WIDTHS)
         store.write(everything.filter(F.col("window_start") < bound(SPLIT)), ONLINE_TTL)
         chosen = store.active_users().filter(F.col("user_id") < "usr_00040")

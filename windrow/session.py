@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -49,3 +50,13 @@ def shared_folder(spark: SparkSession) -> str:
     if spark.sparkContext.master.split("[")[0] != "local":
         raise ValueError("spark.checkpoint.dir is not set; name a folder every executor can reach")
     return tempfile.gettempdir()
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """A folder of its own under the shared one, removed when the session's JVM ends."""
+    folder = f"{shared_folder(spark)}/windrow-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return folder
