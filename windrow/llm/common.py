@@ -24,7 +24,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 ALNUM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 # Texts handled at a time inside a task. A longer text is handled alone, and whole.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 # Rows of an Arrow batch; with texts of a megabyte a batch is still small beside an executor.
 BATCH_ROWS = 1000
 SHIPPED: set[str] = set()

@@ -35,6 +35,8 @@ from windrow.llm.common import column, prepared, slices, stored
 from windrow.llm.components import components
 
 SEED = 42
+# Texts hashed at a time in a task; each hash takes a hundred bytes while bits are counted.
+SLICE_BYTES = 2 << 20
 SHARD_ROWS = 4096
 # Near copies of a pipeline: shingles of five words, similarity 0.8. Sets of one size with that similarity have
 # cosine 0.89 and differ in 155 of 1024 bits on average, with a deviation of 11; the radius is one deviation more, so
@@ -126,7 +128,7 @@ def fingerprints(docs: DataFrame, words: int = 3, lanes: int = 1, bands: bool =
     schema = "doc_id long, fingerprint binary" + (", bands array<long>" if bands else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", SLICE_BYTES):
             runs = [shingle_hashes(t, words) for t in column(part, "text").to_pylist()]
             prints = fingerprints_of(runs, lanes).astype(">u8")
             arrays = [column(part, "doc_id"), pa.array([r.tobytes() for r in prints], pa.binary())]
