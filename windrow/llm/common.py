@@ -28,6 +28,7 @@ SLICE_BYTES = 4 << 20
 # Rows of an Arrow batch; with texts of a megabyte a batch is still small beside an executor.
 BATCH_ROWS = 1000
 SHIPPED: set[str] = set()
+ROOTS: set[str] = set()
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -37,12 +38,19 @@ def shared_root(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.sparkContext.master.split("[")[0] == "local":
         raise ValueError("spark.checkpoint.dir is not set; name a folder that every executor can reach")
-    return f"file://{tempfile.gettempdir()}/windrow-shared"
+    return f"file://{tempfile.gettempdir()}"
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A folder of its own in the shared folder."""
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    """A folder of its own in the shared folder; all of an application's go when its JVM ends."""
+    root = f"{shared_root(spark)}/windrow-{spark.sparkContext.applicationId}"
+    if root not in ROOTS:
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        ROOTS.add(root)
+    return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def stored(frame: DataFrame, name: str) -> DataFrame:
