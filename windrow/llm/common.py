@@ -144,10 +144,4 @@ def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 def per_row(rows: np.ndarray, n: int, weights: np.ndarray | None = None) -> np.ndarray:
     """How many entries, or their weights' whole-number sum, each row has."""
-    if weights is None:
-        return np.bincount(rows, minlength=n).astype(np.int64)
-    out = np.zeros(n, np.int64)
-    np.add.at(out, rows, weights) if len(rows) < 1000 else out.__iadd__(
-        np.rint(np.bincount(rows, weights, minlength=n)).astype(np.int64)
-    )
-    return out
+    return np.rint(np.bincount(rows, weights, minlength=n)).astype(np.int64)
