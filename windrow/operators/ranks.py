@@ -58,7 +58,7 @@ def sketched_cuts(value: str) -> Column:
     """
     # One text literal, as a thousand number literals would be visited by every optimizer rule.
     shares = ",".join(str(i / 1024) for i in range(1, 1024))
-    return F.expr(f"percentile_approx({value}, CAST(split('{shares}', ',') AS ARRAY<DOUBLE>), 10000)")
+    return F.expr(f"percentile_approx({value}, CAST(split('{shares}', ',') AS ARRAY<DOUBLE>), 4096)")
 
 
 def with_range(counted: DataFrame, value: str = "value") -> DataFrame:
