@@ -263,3 +263,34 @@ def test_one_document_of_a_group_stays(spark, docs, no_docs):
     ids = Counter(r.doc_id for r in kept.collect())
     assert ids[6] == 1 and not {7, 8, 9, 5} & set(ids) and ids[None] == 2 and ids[4] == 1
     assert simhash.without_copies(no_docs).isEmpty()
+
+
+def test_copies_in_a_band_of_thousands(spark):
+    """Different documents that share a passage, and chains of copies of which only the first are near the pivot."""
+    draw = random.Random(11)
+    shared = 77
+    prints = {}
+    for i in range(1500):
+        prints[10 * i] = base = draw.getrandbits(1024)
+        if i % 10 == 0:
+            for k in range(1, 5):
+                for b in draw.sample(range(1024), 150):
+                    base ^= 1 << b
+                prints[10 * i + k] = base
+    # A large group of its own, as a pivot's, with chains that lead away from it.
+    middle = draw.getrandbits(1024)
+    for i in range(600):
+        x = middle
+        for k in range(3):
+            for b in draw.sample(range(1024), 60 if k == 0 else 150):
+                x ^= 1 << b
+            if k == 0 or i % 20 == 0:
+                prints[100_000 + 10 * i + k] = x
+    want = brute.groups(prints, simhash.WIDE_RADIUS)
+    assert len(set(want.values())) < len(want)
+    rows = [(v.to_bytes(128, "big"), k, [shared, *(1000 + 14 * k + b for b in range(1, 14))]) for k, v in prints.items()]
+    entries = spark.createDataFrame(rows, "fingerprint binary, node long, bands array<long>")
+    for most in (64, 700):
+        found = components.components(simhash.band_links(entries, simhash.WIDE_RADIUS, most)).collect()
+        group = {r.node: r.component for r in found}
+        assert {d: group.get(d, d) for d in prints} == want

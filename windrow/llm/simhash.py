@@ -14,7 +14,9 @@ Trees are built where their shard is and not broadcast, as they grow with the da
   by the number of bits that are left.
 * ``band_links`` is for wide fingerprints and a large radius, where no blocks agree: shards are named by bands of
   minimum hashes of the shingles, which similar texts share. Where too many entries share a band, those within the
-  radius of one of them, its pivot, are linked to it, and the others are dealt on by further bands.
+  radius of one of them, its pivot, are linked to it. The others are dealt into blocks, and so are those at the pivot;
+  every block is compared with every other and itself, but for those at the pivot, which are linked already. All
+  pairs of a band are thus seen at any size, and the work grows with a band's entries times those not at its pivot.
 
 Defined results: null and blank texts have no shingle, fingerprint zero, and link like any other. A text of fewer words
 than a shingle is one shingle. Rows of one doc_id are one document. Rows without doc_id take part in no search and get
@@ -38,6 +40,8 @@ SEED = 42
 # Texts hashed at a time in a task; each hash takes a hundred bytes while bits are counted.
 SLICE_BYTES = 2 << 20
 SHARD_ROWS = 4096
+# Entries of a block of a larger shard; a task holds two of them. Rows of a block compared at a time.
+BLOCK_ROWS, STRIP_ROWS = 4 * SHARD_ROWS, 16
 # Near copies of a pipeline: shingles of five words, similarity 0.8. Sets of one size with that similarity have
 # cosine 0.89 and differ in 155 of 1024 bits on average, with a deviation of 11; the radius is one deviation more, so
 # that similarities down to about 0.77 are linked rather than any of 0.8 lost.
@@ -279,38 +283,100 @@ def block_links(entries: DataFrame, most: int = SHARD_ROWS) -> DataFrame:
 
 
 def band_links(entries: DataFrame, radius: int, most: int = SHARD_ROWS) -> DataFrame:
-    """Links of ``entries(fingerprint, node, bands)`` within the radius that share bands of minimum hashes."""
-    apart = distance_to("pivot_print")
-    rows = entries.select("fingerprint", "node", "bands", F.posexplode("bands").alias("band", "shard"))
-    links = []
-    for level in range(LEVELS):
-        # One entry of a shard, by a draw of its own in each shard, is the pivot.
-        draw = F.struct(F.xxhash64("node", "shard").alias("draw"), F.col("node"), F.col("fingerprint"))
-        counts = (
-            rows.groupBy("shard")
-            .agg(F.count(F.lit(1)).alias("n"), F.min(draw).alias("pivot"))
-            .filter(F.col("n") > 1)
-            .select("shard", "n", F.col("pivot.node").alias("pivot"), F.col("pivot.fingerprint").alias("pivot_print"))
-        )
-        held = stored(rows.join(counts, "shard"), "shards")
-        links.append(linked(held.filter(F.col("n") <= most), ["shard"], radius))
-        large = held.filter(F.col("n") > most)
-        if large.isEmpty():
-            break
-        measured = stored(apart(large), "pivots")
-        links.append(measured.filter(F.col("apart") <= radius).select(F.col("node").alias("a"), F.col("pivot").alias("b")))
-        rest = measured.filter(F.col("apart") > radius)
-        if level < LEVELS - 1:
-            others = [(F.col("band") + step) % BANDS for step in (1, 2, 3, 5, 8)]
-            names = F.array(*[F.xxhash64("shard", F.element_at("bands", (o + 1).cast("int"))) for o in others])
-            rows = rest.select("fingerprint", "node", "bands", "band", F.explode(names).alias("shard"))
-        else:
-            chunks = F.ceil(F.col("n") / most)
-            chunked = rest.withColumn("chunk", F.pmod(F.xxhash64("node"), chunks))
-            links.append(linked(chunked, ["shard", "chunk"], radius))
-    out = links[0]
-    for more in links[1:]:
-        out = out.unionByName(more)
+    """Links of ``entries(fingerprint, node, bands)`` within the radius that share bands of minimum hashes.
+
+    They hold the same components together whatever ``most`` is, the entries of a shard from which on it is cut.
+    """
+    rows = entries.select("fingerprint", "node", F.explode("bands").alias("shard"))
+    # One entry of a shard, by a draw of its own in each shard, is the pivot.
+    draw = F.struct(F.xxhash64("node", "shard").alias("draw"), F.col("node"), F.col("fingerprint"))
+    counts = (
+        rows.groupBy("shard")
+        .agg(F.count(F.lit(1)).alias("n"), F.min(draw).alias("pivot"))
+        .filter(F.col("n") > 1)
+        .select("shard", "n", F.col("pivot.node").alias("pivot"), F.col("pivot.fingerprint").alias("pivot_print"))
+    )
+    held = stored(rows.join(counts, "shard"), "shards")
+    links = linked(held.filter(F.col("n") <= most), ["shard"], radius)
+    large = held.filter(F.col("n") > most)
+    if large.isEmpty():
+        return links
+    measured = stored(distance_to("pivot_print")(large).withColumn("far", F.col("apart") > radius), "pivots")
+    at_pivot = measured.filter(~F.col("far")).select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+    return links.unionByName(at_pivot).unionByName(block_pair_links(measured, radius, most * BLOCK_ROWS // SHARD_ROWS))
+
+
+def block_pair_links(measured: DataFrame, radius: int, size: int) -> DataFrame:
+    """Links of large shards' ``(shard, fingerprint, node, far)`` by pairs of blocks of about ``size`` entries.
+
+    Blocks of entries at the pivot have negative numbers and meet only those of entries that are far from it.
+    """
+    sizes = measured.groupBy("shard").agg(F.count_if("far").alias("n_far"), F.count_if(~F.col("far")).alias("n_at"))
+    n_far, n_at = (F.ceil(F.col(n) / size).cast("int") for n in ("n_far", "n_at"))
+    sizes = sizes.filter("n_far > 0").select("shard", n_far.alias("far_blocks"), n_at.alias("at_blocks"))
+    draw = F.xxhash64("node", F.lit(SEED))
+    own = F.when(F.col("far"), F.pmod(draw, F.col("far_blocks"))).otherwise(-1 - F.pmod(draw, F.col("at_blocks")))
+    others = F.sequence(F.when(F.col("far"), -F.col("at_blocks")).otherwise(0), F.col("far_blocks") - 1)
+    dealt = (
+        measured.join(sizes, "shard")
+        .select("shard", "fingerprint", "node", own.cast("int").alias("block"), F.explode(others).alias("other"))
+        .select("shard", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "fingerprint", "node")
+    )
+    key = ["shard", "low", "high"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, members = None, []
+
+        def found() -> Iterator[pa.RecordBatch]:
+            if members:
+                prints, nodes, upper = (np.concatenate(x) for x in zip(*members, strict=True))
+                out = far_links(prints, nodes, upper, name[1] == name[2], radius)
+                if out:
+                    yield pairs(out)
+
+        for batch in batches:
+            keys = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in key], axis=1)
+            prints = np.frombuffer(b"".join(batch.column("fingerprint").to_pylist()), np.uint64).reshape(len(keys), -1)
+            nodes = batch.column("node").to_numpy()
+            upper = batch.column("block").to_numpy() == keys[:, 2]
+            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+            for begin, end in zip([0, *cuts], [*cuts, len(keys)], strict=True):
+                if end > begin:
+                    this = tuple(keys[begin].tolist())
+                    if this != name:
+                        yield from found()
+                        name, members = this, []
+                    members.append((prints[begin:end], nodes[begin:end], upper[begin:end]))
+        yield from found()
+
+    together = dealt.repartition(*key).sortWithinPartitions(*key, "node")
+    return together.mapInArrow(run, "a long, b long")
+
+
+def far_links(prints: np.ndarray, nodes: np.ndarray, upper: np.ndarray, alone: bool, radius: int) -> list[tuple[int, int]]:
+    """Links that hold the components of one block, or of the pairs between a lower and an upper one, together.
+
+    Half of the words tell most pairs apart; the others are read for what is left and not yet in one component.
+    """
+    left = np.arange(len(nodes)) if alone else np.flatnonzero(~upper)
+    right = left if alone else np.flatnonzero(upper)
+    label, half, out = np.arange(len(nodes)), prints.shape[1] // 2, []
+    words = np.ascontiguousarray(prints[right].T)
+    for at in range(0, len(left), STRIP_ROWS):
+        strip = left[at : at + STRIP_ROWS]
+        apart = np.zeros((len(strip), len(right)), np.uint16)
+        for lane in range(half):
+            apart += np.bitwise_count(prints[strip, lane][:, None] ^ words[lane])
+        near = apart <= radius
+        for k in np.flatnonzero(near.any(axis=1)).tolist():
+            one = strip[k]
+            open_ones = np.flatnonzero(near[k])
+            open_ones = open_ones[label[right[open_ones]] != label[one]]
+            more = np.bitwise_count(prints[one, half:] ^ prints[right[open_ones], half:]).sum(axis=1, dtype=np.int64)
+            for other in right[open_ones[apart[k, open_ones] + more <= radius]].tolist():
+                if label[other] != label[one]:
+                    label[label == label[other]] = label[one]
+                    out.append((int(nodes[one]), int(nodes[other])))
     return out
 
 
