@@ -294,3 +294,13 @@ def test_copies_in_a_band_of_thousands(spark):
         found = components.components(simhash.band_links(entries, simhash.WIDE_RADIUS, most)).collect()
         group = {r.node: r.component for r in found}
         assert {d: group.get(d, d) for d in prints} == want
+
+
+def test_texts_of_one_id_are_documents_of_their_own(spark):
+    other, third = odd.prose(31, 200), odd.prose(32, 200)
+    rows = [(1, odd.BASE, "en", "a"), (2, odd.BASE, "en", "a"), (2, other, "en", "a"), (2, third, "en", "b"), (2, third, "en", "a")]
+    rows += [(3, third, "en", "a"), (4, other, "en", "a"), (5, odd.PASSAGE, "en", "a")]
+    found = [simhash.without_copies(odd.documents(spark, r)).collect() for r in (rows, rows[::-1])]
+    want = Counter({(1, odd.BASE): 1, (2, other): 1, (2, third): 1, (5, odd.PASSAGE): 1})
+    assert all(Counter((r.doc_id, r.text) for r in x) == want for x in found)
+    assert set(found[0]) == set(found[1])

@@ -19,8 +19,9 @@ Trees are built where their shard is and not broadcast, as they grow with the da
   pairs of a band are thus seen at any size, and the work grows with a band's entries times those not at its pivot.
 
 Defined results: null and blank texts have no shingle, fingerprint zero, and link like any other. A text of fewer words
-than a shingle is one shingle. Rows of one doc_id are one document. Rows without doc_id take part in no search and get
-the component of their fingerprint. Empty tables give empty results.
+than a shingle is one shingle. Rows of one doc_id are one document to ``near_duplicates``; to ``without_copies``, which
+deletes rows, they are one only if their texts agree too. Rows without doc_id take part in no search and get the
+component of their fingerprint. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from windrow.llm.common import column, prepared, slices, stored
+from windrow.llm.common import column, prepared, slices, stored, whole_row
 from windrow.llm.components import components
 
 SEED = 42
@@ -126,10 +127,15 @@ def bands_of(runs: list[list[int]]) -> list[list[int] | None]:
     return out
 
 
+def text_hash() -> Column:
+    """What tells rows of one doc_id apart; null is a text of its own."""
+    return F.xxhash64(F.col("text").cast("string"))
+
+
 def fingerprints(docs: DataFrame, words: int = 3, lanes: int = 1, bands: bool = False) -> DataFrame:
-    """``docs(doc_id, text)`` to ``(doc_id, fingerprint)``, big-endian bytes, and the bands if asked for."""
+    """``docs(doc_id, text)`` to ``(doc_id, fingerprint)``, big-endian bytes, and bands and text hash if asked for."""
     prepared(docs.sparkSession)
-    schema = "doc_id long, fingerprint binary" + (", bands array<long>" if bands else "")
+    schema = "doc_id long, fingerprint binary" + (", bands array<long>, text_hash long" if bands else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", SLICE_BYTES):
@@ -138,11 +144,13 @@ def fingerprints(docs: DataFrame, words: int = 3, lanes: int = 1, bands: bool =
             arrays = [column(part, "doc_id"), pa.array([r.tobytes() for r in prints], pa.binary())]
             names = ["doc_id", "fingerprint"]
             if bands:
-                arrays.append(pa.array(bands_of(runs), pa.list_(pa.int64())))
-                names.append("bands")
+                arrays += [pa.array(bands_of(runs), pa.list_(pa.int64())), column(part, "text_hash")]
+                names += ["bands", "text_hash"]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    rows = docs.select(
+        F.col("doc_id").cast("long"), F.col("text").cast("string"), *([text_hash().alias("text_hash")] if bands else [])
+    )
     return rows.mapInArrow(run, schema)
 
 
@@ -414,28 +422,42 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def copies(docs: DataFrame) -> DataFrame:
-    """``doc_id`` of documents that have a smaller one in their group of near copies."""
+    """``(doc_id, text_hash)`` of documents that have a smaller one in their group of near copies."""
     prints = stored(fingerprints(docs, WIDE_WORDS, WIDE_BITS // 64, bands=True), "fingerprints")
-    entries = stored(entries_of(prints, ["fingerprint", "bands"]), "entries")
+    prints = prints.filter(F.col("doc_id").isNotNull()).withColumn("node", F.xxhash64("fingerprint", "bands"))
+    # An entry has a name of its own, as texts of one doc_id may be several entries.
+    here = F.struct("doc_id", "text_hash")
+    entries = prints.groupBy("fingerprint", "bands", "node").agg(F.min(here).alias("first"))
+    entries = stored(entries, "entries")
     groups = stored(components(band_links(entries, WIDE_RADIUS)), "components")
+    heads = entries.select("node", "first").join(groups, "node", "left").withColumn("group", F.coalesce("component", "node"))
+    least = heads.groupBy("group").agg(F.min("first").alias("stays"))
     return (
-        prints.filter(F.col("doc_id").isNotNull())
-        .join(entries, (prints.fingerprint == entries.fingerprint) & prints.bands.eqNullSafe(entries.bands))
-        .join(groups, "node", "left")
-        .filter(F.col("doc_id") != F.coalesce("component", "node"))
-        .select("doc_id")
+        prints.select("node", here.alias("document"))
+        .join(heads.join(least, "group").select("node", "stays"), "node")
+        .filter(F.col("document") != F.col("stays"))
+        .select("document.*")
         .distinct()
     )
 
 
 def without_copies(docs: DataFrame) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id, and of its rows one. Rows without id stay."""
+    """One document of each group of near copies: the one with the smallest id, of one id that with the smallest hash.
+
+    Of rows that agree in both, one stays. Rows without id stay.
+    """
     drop = stored(copies(docs), "copies")
     # The same join at every size: what is dropped grows with the documents.
-    drop = drop.select(F.col("doc_id").alias("dropped")).hint("merge")
-    kept = docs.join(drop, docs["doc_id"] == drop["dropped"], "left_anti")
+    drop = drop.select(F.col("doc_id").alias("dropped"), F.col("text_hash").alias("dropped_hash")).hint("merge")
+    same = (docs["doc_id"] == drop["dropped"]) & (text_hash() == drop["dropped_hash"])
+    kept = docs.join(drop, same, "left_anti")
     rows = docs.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     if rows.filter("n > 1").isEmpty():
         return kept
-    named = kept.filter(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
+    # The row with the smallest hash of all it holds; maps have none.
+    plain = [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    every = F.xxhash64(*["`" + c.replace("`", "``") + "`" for c in plain])
+    named = kept.filter(F.col("doc_id").isNotNull())
+    named = named.select(F.col("doc_id").alias("id"), text_hash().alias("hash"), every.alias("draw"), whole_row(named))
+    named = named.groupBy("id", "hash").agg(F.min_by("row", "draw").alias("row")).select("row.*")
     return named.unionByName(kept.filter(F.col("doc_id").isNull()))
