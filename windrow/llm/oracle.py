@@ -70,5 +70,56 @@ FROM named
 """
 
 
+# Bytes of the decimal id and eight shifts after each, from the value that the checksum starts with.
+CRC32_STEPS = """
+  [4294967295] || flatten(list_transform(range(1, length(CAST(conv_id AS VARCHAR)) + 1),
+    lambda i: [512 + ascii(substr(CAST(conv_id AS VARCHAR), CAST(i AS INTEGER), 1)), 0, 0, 0, 0, 0, 0, 0, 0]))
+"""
+CRC32 = f"""xor(list_reduce(list_transform({CRC32_STEPS}, lambda x: CAST(x AS BIGINT)),
+  lambda c, s: CASE WHEN s >= 512 THEN xor(c, s - 512) ELSE xor(c >> 1, 3988292384 * (c & 1)) END), 4294967295)"""
+CONVERSATIONS = f"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(text, '') AS text,
+    md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest
+  FROM conversations WHERE conv_id IS NOT NULL
+),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, digest) - 1 AS place FROM turns
+),
+conv AS (SELECT conv_id, conv_id - conv_id % 100 AS base, {CRC32} % 6 AS h FROM (SELECT DISTINCT conv_id FROM turns)),
+made AS (
+  SELECT c.conv_id, place, digest, text FROM conv c JOIN placed t ON t.conv_id = c.base AND place < h
+  UNION ALL
+  SELECT c.conv_id, place, digest, text FROM conv c JOIN placed t ON t.conv_id = c.conv_id AND place >= h
+),
+prefix AS (
+  SELECT conv_id, row_number() OVER line AS depth, length(text) AS chars, md5(string_agg(digest, '') OVER line) AS name
+  FROM made WINDOW line AS (PARTITION BY conv_id ORDER BY place)
+),
+member AS (
+  SELECT *, lag(name, 1, 'root') OVER (PARTITION BY conv_id ORDER BY depth) AS up FROM prefix
+  UNION ALL SELECT conv_id, 0, 0, 'root', NULL FROM conv
+),
+node AS (
+  SELECT name, any_value(depth) AS depth, any_value(up) AS up, any_value(chars) AS chars, min(conv_id) AS conv_id, count(*) AS n_convs
+  FROM member GROUP BY name
+),
+child AS (SELECT up AS name, count(*) AS n FROM node WHERE up IS NOT NULL GROUP BY up),
+below AS (SELECT DISTINCT m.name, u.name AS low FROM member m JOIN member u ON m.conv_id = u.conv_id AND u.depth >= m.depth),
+total AS (
+  SELECT b.name, count(*) FILTER (c.n IS NULL) AS n_leaves, CAST(sum((n.n_convs - 1) * n.chars) AS BIGINT) AS saved_tokens
+  FROM below b JOIN node n ON n.name = b.low LEFT JOIN child c ON c.name = b.low GROUP BY b.name
+),
+ends AS (
+  SELECT name, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids
+  FROM (SELECT conv_id, max_by(name, depth) AS name FROM member GROUP BY conv_id) GROUP BY name
+)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n, 0) AS n_children, n_leaves, saved_tokens,
+  sha256(coalesce(ids, '')) AS ends_sha256
+FROM node n LEFT JOIN node p ON p.name = n.up LEFT JOIN child c ON c.name = n.name
+  JOIN total t ON t.name = n.name LEFT JOIN ends e ON e.name = n.name
+"""
+
+
 def llm_sql() -> dict[str, str]:
-    return {"op1_decontaminate": DECONTAMINATE, "op8_lines": LINES, "op9_warc": WARC}
+    return {"op1_decontaminate": DECONTAMINATE, "op8_lines": LINES, "op9_warc": WARC, "op12_conversations": CONVERSATIONS}

@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from windrow.llm import decontaminate, fertility, language, licenses, lines, mix, records, repeats, simhash, warc
+from windrow.llm import (
+    conversations,
+    decontaminate,
+    fertility,
+    language,
+    licenses,
+    lines,
+    mix,
+    periodic,
+    records,
+    repeats,
+    simhash,
+    toxicity,
+    warc,
+)
 
 
 def tokenizer_file(name: str) -> str:
@@ -76,5 +90,45 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of every document, some of them with a periodic tail, and digests of the runs and of what they leave."""
+    found = periodic.collapsed(periodic.with_tails(table(spark, sf_dir, "documents")))
+    found = found.withColumn("best", periodic.longest(F.col("runs")))
+    milli = 1000 * F.col("best.length")
+    lines_of_runs = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    return found.select(
+        F.col("row.doc_id").cast("long").alias("doc_id"),
+        F.size("runs").cast("long").alias("n_runs"),
+        *(F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")),
+        ((milli - milli % F.col("best.period")) / F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(lines_of_runs, lambda x: F.concat(x, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns, ids = conversations.rebuilt(conversations.turn_table(table(spark, sf_dir, "conversations")))
+    return conversations.trie(turns, ids)
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_fertility, op3_mix, op4_suffix_array, op5_language, op6_licenses, op7_records, op8_lines, op9_warc, op10_simhash)}
+    found = (
+        op1_decontaminate,
+        op2_fertility,
+        op3_mix,
+        op4_suffix_array,
+        op5_language,
+        op6_licenses,
+        op7_records,
+        op8_lines,
+        op9_warc,
+        op10_simhash,
+        op11_periodic,
+        op12_conversations,
+        op13_toxicity,
+    )
+    return {f.__name__: f for f in found}
