@@ -106,16 +106,18 @@ def templates(text, sets, step, up, down):
     return found, best
 
 
-def line_runs(docs, depth):
-    """docs: (key, text) in order; lines, deleted lines, runs and kept text."""
+def line_runs(docs, depth, words=50):
+    """docs: (key, text) in order; lines, deleted lines, runs and kept text. Shorter runs count by their words."""
     first, out = set(), []
     for key, text in docs:
         lines, gone = (text or "").split("\n"), set()
-        for i in range(len(lines) - depth + 1):
-            run = tuple(lines[i : i + depth])
-            if run in first:
-                gone |= set(range(i, i + depth))
-            first.add(run)
+        for i in range(len(lines)):
+            for size in {1, 2, 4, depth} & set(range(1, min(depth, len(lines) - i) + 1)):
+                run = tuple(lines[i : i + size])
+                if size == depth or len(BLANK.findall(" ".join(run))) >= words:
+                    if run in first:
+                        gone |= set(range(i, i + size))
+                    first.add(run)
         kept = "\n".join(x for i, x in enumerate(lines) if i not in gone)
         out.append((key, kept, len(lines), len(gone), sum(i - 1 not in gone for i in gone)))
     return out

@@ -143,7 +143,7 @@ def test_lines_of_supplied_documents(spark, no_docs):
     docs = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").collect())
     want = Counter(
         (d, n, gone, runs, hashlib.sha256(kept.encode()).hexdigest())
-        for d, kept, n, gone, runs in brute.line_runs(docs, lines.MIN_LINES)
+        for d, kept, n, gone, runs in brute.line_runs(docs, 3)
     )
     got = op8_lines(spark, folder).select("doc_id", "n_lines", "n_removed", "n_runs", "kept_sha256")
     assert Counter(map(tuple, got.collect())) == want
@@ -151,9 +151,33 @@ def test_lines_of_supplied_documents(spark, no_docs):
     assert lines.deduplicated(no_docs).isEmpty()
 
 
+def test_long_runs_of_one_and_two_lines_count(spark):
+    one, other, few = odd.prose(31, 60), odd.prose(32, 30), odd.prose(33, 18)
+    rows = [(1, f"{one}\n{few}", None, None), (2, one, None, None), (3, f"x\n{other}\n{few}x{few}\ny", None, None)]
+    rows += [(4, f"{other}\n{few}x{few}", None, None), (5, few, None, None), (6, few, None, None), (7, other, None, None)]
+    rows += [(8, "  ".join(odd.prose(34, 60).split(" ")) + " \t", None, None), (9, rows[3][1], None, None)]
+    found = {r.doc_id: r.n_removed for r in lines.deduplicated(odd.documents(spark, rows)).collect()}
+    assert found == {1: 0, 2: 1, 3: 0, 4: 2, 5: 0, 6: 0, 7: 0, 8: 0, 9: 2}
+
+
+def test_no_long_passage_of_lines_repeats(spark):
+    """Of exact copies only the first keeps anything, and no line of fifty words stays twice."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    found = lines.deduplicated(docs).join(docs.select("doc_id", "text"), "doc_id")
+    kept = found.select(F.explode(F.split("kept_text", "\n")).alias("line"))
+    assert kept.filter("size(split(trim(line), ' +')) >= 50").groupBy("line").count().filter("count > 1").isEmpty()
+    long = found.filter("size(split(text, ' +')) >= 60")
+    later = long.join(long.groupBy("text").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1"), "text")
+    later = later.filter("doc_id > first")
+    assert later.count() > 300
+    assert later.filter("n_removed < n_lines").isEmpty()
+
+
 def test_line_ranks_are_those_of_a_suffix_array(spark):
     rows = [(1, "a\nb\nc\na\nb\nc\na\nb", None, None), (2, "b\nc\na\nz\nb\nc\na", None, None)]
-    found = lines.suffixes(odd.documents(spark, rows), 3).collect()
+    found = dict(lines.levels(odd.documents(spark, rows), 3))[3].collect()
     text = {d: t.split("\n") for d, t, *_ in rows}
     runs = {}
     for r in found:

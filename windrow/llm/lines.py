@@ -7,32 +7,43 @@ numbered inside each range, and each range starts where the one before ends. A s
 equal up to that depth and leaves; so do those that would need it as their second half. Most text is gone after
 the first round.
 
-At depth ``MIN_LINES`` suffixes of one rank are an interval of the suffix array whose longest common prefix is at
-least that long. All but its first suffix, by document and line, are later copies, and their first ``MIN_LINES`` lines
-are deleted. Consecutive ones make up the maximal repeated runs, from the first line to the last.
+Suffixes of one rank are an interval of the suffix array whose longest common prefix is at least the depth. All but its
+first suffix, by document and line, are later copies. A repeated run counts, and its later copies are deleted, if it has
+``MIN_LINES`` lines or ``MIN_WORDS`` words. So intervals of every depth up to ``MIN_LINES`` are looked at: those below it by
+their words, which are the same all over an interval. Whatever repeats further is made of runs of ``MIN_LINES`` lines
+that repeat, each of which begins at a later copy of its own, so their union is the maximal repeated run from its first line to
+its last, however long, and deeper intervals would delete nothing more.
 
 Defined results: null and empty texts have one empty line. Blank lines are lines. Repeats inside a document count like
-those across. Rows that agree in doc_id and text are one document. A null doc_id comes first. Documents with fewer
-lines than a run keep them all. Extra columns are left out.
+those across. Rows that agree in doc_id and text are one document. A null doc_id comes first. Documents of one or two
+lines lose what counts by its words. Lines of any length are whole. Extra columns are left out, whatever they are called.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from windrow.llm.common import stored
 
 MIN_LINES = 3
+MIN_WORDS = 50
 NO_ID = -(1 << 63)
+BLANKS = r"[\x20\x09-\x0D]+"
 
 
 def line_rows(docs: DataFrame) -> DataFrame:
-    """``(id, text_hash, line, name)``: each line of each document, named by two hashes."""
+    """``(id, text_hash, line, words, a, b)``: each line of each document, its words, and its name, two hashes."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), text.alias("text"))
     lines = rows.select("id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("line", "value"))
-    return lines.select("id", "text_hash", "line", F.xxhash64("value").alias("a"), F.xxhash64(F.lit(1), "value").alias("b"))
+    words = F.size(F.array_remove(F.split("value", BLANKS), ""))
+    return lines.select(
+        "id", "text_hash", "line", words.alias("words"), F.xxhash64("value").alias("a"), F.xxhash64(F.lit(1), "value").alias("b")
+    )
 
 
 def ranked(pairs: DataFrame) -> DataFrame:
@@ -50,8 +61,11 @@ def ranked(pairs: DataFrame) -> DataFrame:
     return ranges.withColumn("running", running).join(starts, "part").select("a", "b", (F.col("start") + F.col("running")).alias("rank"))
 
 
-def suffixes(docs: DataFrame, depth: int = MIN_LINES) -> DataFrame:
-    """``(id, text_hash, line, rank)`` of all suffixes that share their first ``depth`` lines with another one."""
+def levels(docs: DataFrame, depth: int = MIN_LINES) -> Iterator[tuple[int, DataFrame]]:
+    """Each depth with ``(id, text_hash, line, words, rank)`` of all suffixes that share their first lines up to there.
+
+    Words are those of the first lines, of which there are as many as the depth.
+    """
     active = line_rows(docs)
     done = 0
     while done < depth:
@@ -59,29 +73,35 @@ def suffixes(docs: DataFrame, depth: int = MIN_LINES) -> DataFrame:
         if done:
             step = min(done, depth - done)
             ahead = Window.partitionBy("id", "text_hash").orderBy("line").rangeBetween(step, step)
-            active = active.withColumn("b", F.first("rank").over(ahead)).filter(F.col("b").isNotNull())
-            active = active.withColumnRenamed("rank", "a")
+            active = active.withColumns({"b": F.first("rank").over(ahead), "more": F.first("words").over(ahead)})
+            active = active.filter(F.col("b").isNotNull()).withColumnRenamed("rank", "a")
+            active = active.withColumn("words", F.col("words") + F.col("more")).drop("more")
             done += step
         else:
             done = 1
         active = stored(active, "pairs")
-        active = active.join(ranked(active), ["a", "b"]).select("id", "text_hash", "line", "rank")
+        active = active.join(ranked(active), ["a", "b"]).select("id", "text_hash", "line", "words", "rank")
         active = stored(active, "suffixes")
-    return active
+        yield done, active
 
 
-def later_copies(docs: DataFrame, depth: int = MIN_LINES) -> DataFrame:
-    """``(id, text_hash, starts)``: the lines of each document at which a later copy begins."""
-    array = suffixes(docs, depth)
+def later_copies(docs: DataFrame, depth: int = MIN_LINES, words: int = MIN_WORDS) -> DataFrame:
+    """``(id, text_hash, starts)``: the lines of each document at which later copies begin, and how many lines these have."""
     here = F.struct("id", "text_hash", "line")
-    first = array.groupBy("rank").agg(F.min(here).alias("first"))
-    later = array.join(first, "rank").filter(here > F.col("first"))
-    return later.groupBy("id", "text_hash").agg(F.collect_set("line").alias("starts"))
-
-
-def deduplicated(docs: DataFrame, depth: int = MIN_LINES) -> DataFrame:
+    found = []
+    for size, array in levels(docs, depth):
+        # Half-overlapping steps count words twice; below the last depth they don't overlap.
+        array = array if size == depth else array.filter(F.col("words") >= words)
+        first = array.groupBy("rank").agg(F.min(here).alias("first"))
+        later = array.join(first, "rank").filter(here > F.col("first"))
+        found.append(later.select("id", "text_hash", F.struct("line", F.lit(size).alias("size")).alias("start")))
+    every = reduce(DataFrame.unionByName, found)
+    return every.groupBy("id", "text_hash").agg(F.collect_set("start").alias("starts"))
+
+
+def deduplicated(docs: DataFrame, depth: int = MIN_LINES, words: int = MIN_WORDS) -> DataFrame:
     """Per row of ``docs(doc_id, text)``: the kept text, its lines, deleted lines, and deleted runs."""
-    copies = stored(later_copies(docs, depth), "copies")
+    copies = stored(later_copies(docs, depth, words), "copies")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(
         F.col("doc_id").cast("long"),
@@ -91,7 +111,7 @@ def deduplicated(docs: DataFrame, depth: int = MIN_LINES) -> DataFrame:
     )
     # The same join at every size: copies grow with the documents.
     both = rows.join(copies.hint("merge"), ["id", "text_hash"], "left")
-    covered = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + depth - 1))))
+    covered = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s["line"], s["line"] + s["size"] - 1))))
     both = both.withColumn("gone", F.coalesce(covered, F.array().cast("array<int>")))
     kept = F.filter("lines", lambda _, i: ~F.array_contains("gone", i))
     heads = F.filter("gone", lambda i: ~F.array_contains("gone", i - 1))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from windrow.llm.decontaminate import WINDOW
-from windrow.llm.lines import MIN_LINES
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 WORDS = f"regexp_extract_all({LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
@@ -31,18 +30,22 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM doc LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-# A run of lines is compared by the lines themselves.
-LINES = f"""
+# Runs of one, two or three lines, compared by the lines themselves; one or two lines must hold fifty words.
+LINES = """
 WITH doc AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+piece AS (
+  SELECT doc_id, i, size, array_to_string(lines[i : i + size - 1], chr(10)) AS run
+  FROM (SELECT *, unnest([1, 2, 3]) AS size FROM doc), unnest(range(1, len(lines) - size + 2)) AS t(i)
+),
 run AS (
-  SELECT doc_id, i, array_to_string(lines[i : i + {MIN_LINES} - 1], chr(10)) AS run
-  FROM doc, unnest(range(1, len(lines) - {MIN_LINES} + 2)) AS t(i)
+  SELECT * FROM piece WHERE size = 3 OR len(regexp_extract_all(run, '[^\\x20\\x09-\\x0D]+')) >= 50
 ),
 later AS (
-  SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY run ORDER BY doc_id, i) AS nth FROM run)
+  SELECT doc_id, i, size
+  FROM (SELECT doc_id, i, size, row_number() OVER (PARTITION BY size, run ORDER BY doc_id, i) AS nth FROM run)
   WHERE nth > 1
 ),
-gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + {MIN_LINES})) AS i FROM later),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + size)) AS i FROM later),
 heads AS (SELECT doc_id, i, i - 1 = lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS goes_on FROM gone),
 counts AS (
   SELECT doc_id, count(*) AS n_removed, count(*) FILTER (goes_on IS NOT TRUE) AS n_runs, list(i) AS gone
