@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Sequence
 from datetime import datetime, timedelta, timezone
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ from windrow.operators.latest import latest_per_user, sample_users
 from windrow.operators.samples import two_sided, wide_to_long
 from windrow.operators.serving import find_stale
 from windrow.operators.vector import REFERENCE_WIDTHS, Widths, backfill_vector
-from windrow.schema import ALERTS_TOPIC, STALE_TTL_SECONDS, TRIGGER
+from windrow.schema import ALERTS_TOPIC, FEATURES, STALE_TTL_SECONDS, TRIGGER
 from windrow.sources.events import dedup_events, parse_events, read_event_stream, validate_events
 from windrow.sources.stores import Baselines, FeatureHistory, Log, OnlineStore, emit, metric_log
 from windrow.sources.tables import BatchTable, days_between
@@ -70,21 +71,45 @@ def backfill(history: FeatureHistory, events: DataFrame, start, end, widths: Wid
 
 
 def verify_backfill(
-    history: FeatureHistory, events: DataFrame, start, end, widths: Widths = REFERENCE_WIDTHS
+    history: FeatureHistory, events: DataFrame, start, end, widths: Widths = REFERENCE_WIDTHS, digits: int = 6
 ) -> DataFrame:
-    """Stored and recomputed rows per day, and whether they agree."""
+    """Stored and recomputed rows per day, how many of either have no equal on the other side, and whether all agree.
 
-    def per_day(rows: DataFrame, name: str) -> DataFrame:
-        return rows.groupBy("event_date").agg(F.count(F.lit(1)).alias(name))
-
-    stored = history.read_range(start, end)
-    expected = FeatureHistory.dated(backfill_vector(dedup_events(events), start, end, widths))
-    return (
-        per_day(stored, "stored")
-        .join(per_day(expected, "expected"), "event_date", "full")
-        .na.fill(0, ["stored", "expected"])
-        .withColumn("agrees", F.col("stored") == F.col("expected"))
+    Rows are compared as a whole, by multiset difference both ways, with values rounded to ``digits``, as sums of doubles
+    depend on their order. When rows were computed is not compared.
+    """
+    stored, expected = (
+        _comparable(rows, digits)
+        for rows in (
+            history.read_range(start, end),
+            FeatureHistory.dated(backfill_vector(dedup_events(events), start, end, widths)),
+        )
     )
+    sides = {
+        "stored": stored,
+        "expected": expected,
+        "missing": expected.exceptAll(stored),
+        "unexpected": stored.exceptAll(expected),
+    }
+    counts = [rows.groupBy("event_date").agg(F.count(F.lit(1)).alias(name)) for name, rows in sides.items()]
+    found = reduce(lambda a, b: a.join(b, "event_date", "full"), counts).na.fill(0, list(sides))
+    return found.withColumn("agrees", (F.col("missing") == 0) & (F.col("unexpected") == 0))
+
+
+def _comparable(vectors: DataFrame, digits: int) -> DataFrame:
+    values = [F.round(c, digits).alias(c) for c in FEATURES]
+    return vectors.select("event_date", "user_id", "window_start", "window_end", *values)
+
+
+def differing_vectors(
+    history: FeatureHistory, events: DataFrame, start, end, widths: Widths = REFERENCE_WIDTHS, digits: int = 6
+) -> DataFrame:
+    """The rows behind ``missing`` and ``unexpected``, each with the ``side`` it is on."""
+    stored = _comparable(history.read_range(start, end), digits)
+    fresh = FeatureHistory.dated(backfill_vector(dedup_events(events), start, end, widths))
+    expected = _comparable(fresh, digits)
+    missing = expected.exceptAll(stored).withColumn("side", F.lit("missing"))
+    return missing.unionByName(stored.exceptAll(expected).withColumn("side", F.lit("unexpected")))
 
 
 def check_consistency(

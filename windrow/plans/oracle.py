@@ -330,22 +330,32 @@ WHERE window_start BETWEEN {_FILLED_FROM} AND {_FILLED_TO}""",
 SELECT u.user_id, o.user_id IS NOT NULL AS found, {", ".join(f"round(coalesce(o.{c}, 0.0), 6) AS {c}" for c in FEATURES)},
        o.computed_at, round({_NOW_EPOCH} - o.computed_at, 1) AS freshness_seconds, 'online_store' AS source,
        '1.0' AS schema_version
-FROM (SELECT printf('usr_%05d', c_custkey) AS user_id FROM customer WHERE printf('usr_%05d', c_custkey) < 'usr_00050') u
+FROM (SELECT printf('usr_%05d', c_custkey) AS user_id FROM customer) u
      LEFT JOIN (SELECT * FROM online WHERE expires_at > {_NOW_EPOCH}) o USING (user_id)""",
         "refresh_features": f"""WITH {_EVENTS}, {_vector('vec', _REFERENCE)},
-{_latest('early', 'vec', f'window_start < {_SPLIT}', 2 * 86400)}, {_latest('later', 'vec', ttl=300)}
-SELECT {online} FROM early WHERE user_id >= 'usr_00040'
+{_latest('early', 'vec', f'window_start < {_SPLIT}', 2 * 86400)}, {_latest('later', 'vec', ttl=300)},
+stale AS (SELECT user_id FROM early WHERE floor(expires_at - epoch({_SPLIT})) BETWEEN 1 AND 86399)
+SELECT {online} FROM early WHERE user_id NOT IN (FROM stale)
 UNION ALL BY NAME
-SELECT {online} FROM later WHERE user_id < 'usr_00040' AND user_id IN (SELECT user_id FROM early)""",
+SELECT {online} FROM later WHERE user_id IN (FROM stale)""",
         "verify_backfill": f"""WITH {_EVENTS},
 a AS (SELECT * FROM ev WHERE "timestamp" <= TIMESTAMP '2024-01-15 12:00:00'), {_vector('one', _REFERENCE, 'a')},
 b AS (SELECT * FROM ev WHERE "timestamp" <= TIMESTAMP '2024-01-17'), {_vector('two', _REFERENCE, 'b')},
-stored AS (SELECT strftime(window_start, '%Y-%m-%d') AS event_date, count(*) AS n FROM one
-           WHERE window_start BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-15 12:00:00' GROUP BY 1),
-expected AS (SELECT strftime(window_start, '%Y-%m-%d') AS event_date, count(*) AS n FROM two
-             WHERE window_start BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-17' GROUP BY 1)
-SELECT event_date, coalesce(s.n, 0) AS stored, coalesce(e.n, 0) AS expected, coalesce(s.n, 0) = coalesce(e.n, 0) AS agrees
-FROM stored s FULL JOIN expected e USING (event_date)""",
+stored AS (SELECT user_id, window_start, {_ROUNDED} FROM one
+           WHERE window_start BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-15 12:00:00'),
+expected AS (SELECT user_id, window_start, {_ROUNDED} FROM two
+             WHERE window_start BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-17'),
+side AS (SELECT 'stored' AS name, window_start FROM stored UNION ALL SELECT 'expected', window_start FROM expected
+  UNION ALL SELECT 'missing', window_start FROM (FROM expected EXCEPT ALL FROM stored)
+  UNION ALL SELECT 'unexpected', window_start FROM (FROM stored EXCEPT ALL FROM expected)),
+per_day AS (SELECT strftime(window_start, '%Y-%m-%d') AS event_date, count(*) FILTER (name = 'stored') AS stored,
+  count(*) FILTER (name = 'expected') AS expected, count(*) FILTER (name = 'missing') AS missing,
+  count(*) FILTER (name = 'unexpected') AS unexpected FROM side GROUP BY 1)
+SELECT *, missing = 0 AND unexpected = 0 AS agrees FROM per_day""",
+        # The state's watermark ends ten minutes behind the last window.
+        "streamed_current": f"""WITH {_EVENTS}, {_vector('vec', _REFERENCE)}, {_latest('online', 'vec', ttl=2 * 86400)}
+SELECT user_id, window_end, computed_at, expires_at, {_ROUNDED} FROM online
+WHERE expires_at > (SELECT epoch(max(window_end) - INTERVAL '10 minutes') FROM vec)""",
         "check_consistency": f"""WITH {_EVENTS}, {_vector('a', _DENSE)}, {_vector('b', _SKEWED)},
 {_latest('served', 'b', f"window_end <= {_NOW} AND computed_at + 300 > {_NOW_EPOCH} - 172500")},
 offline AS (SELECT a.* FROM a JOIN served s USING (user_id, window_start)), {_compared('served')}, {_REPORT}
@@ -410,13 +420,6 @@ FROM g LEFT JOIN samples s ON s.feature_name = g.feature_name AND s.value >= lo
 GROUP BY g.feature_name, bin""".replace("SELECT feature_name, CAST(bin", "SELECT g.feature_name, CAST(bin")
 
 
-# The samples of the first eight days, split after the fourth.
-_FIRST_DAYS = """SELECT * FROM (SELECT feature_name, CASE WHEN day(window_start) <= 4 THEN 'baseline' ELSE 'current' END AS side,
-                   round(value, 9) AS value
-            FROM (UNPIVOT vec ON """ + _F + """ INTO NAME feature_name VALUE value) WHERE day(window_start) <= 8)), samples_unused AS (
-            SELECT feature_name, CASE WHEN window_start <"""
-
-
 def _drift_sql() -> dict[str, str]:
     both = "count(value) FILTER (side = 'baseline') AS n_baseline, count(value) FILTER (side = 'current') AS n_current"
     reading = """CASE WHEN psi_score < 0.1 THEN 'no significant shift' WHEN psi_score < 0.2
@@ -435,22 +438,34 @@ def _drift_sql() -> dict[str, str]:
         "psi": f"WITH {_samples(_REFERENCE)}, {_PSI} SELECT * FROM psi",
         "psi_dense": f"WITH {_samples(_DENSE)}, {_PSI} SELECT * FROM psi",
         "psi_severity": f"WITH {_samples(_DENSE)}, {_PSI} SELECT feature_name, {level}, {reading} FROM psi",
-        # Lattice paths that stay below the gap, a diagonal at a time.
-        "ks_2samp_exact": f"""WITH RECURSIVE {_samples(_DENSE).replace("SELECT feature_name, CASE WHEN window_start <", _FIRST_DAYS)}, {_SIDES}, {_KS},
+        # Lattice paths that stay below the gap, a diagonal at a time, at the points that lie inside.
+        "ks_2samp_exact": f"""WITH RECURSIVE {_samples(_DENSE)}, {_SIDES}, {_KS},
 walk AS (
-  SELECT feature_name, nb, nc, CAST(round(d * nb * nc) AS BIGINT) AS reach, 0 AS length,
-         list_transform(range(0, nb + 1), lambda i: CASE WHEN i = 0 THEN 1::DOUBLE ELSE 0::DOUBLE END) AS inside
+  SELECT feature_name, nb, nc, CAST(round(d * nb * nc) AS BIGINT) AS reach, 0 AS length, 0 AS low, [1::DOUBLE] AS inside
   FROM ks_raw JOIN sides USING (feature_name)
   UNION ALL
-  SELECT feature_name, nb, nc, reach, length + 1,
-         list_transform(range(0, nb + 1), lambda i:
-           CASE WHEN i <= length + 1 AND length + 1 - i <= nc AND abs(i * nc - (length + 1 - i) * nb) < reach
-                THEN inside[i + 1] * ((length + 1 - i) / (length + 1))
-                     + CASE WHEN i > 0 THEN inside[i] ELSE 0 END * (i / (length + 1)) ELSE 0::DOUBLE END)
-  FROM walk WHERE length < nb + nc)
+  SELECT feature_name, nb, nc, reach, length, first, list_transform(range(first, past), lambda i:
+    CASE WHEN i < low OR i - low >= len(inside) THEN 0 ELSE inside[i - low + 1] END * ((length - i) / length)
+    + CASE WHEN i - 1 < low OR i - 1 - low >= len(inside) THEN 0 ELSE inside[i - low] END * (i / length))
+  FROM (SELECT * EXCLUDE (length), length + 1 AS length,
+          greatest(0, length + 1 - nc, CAST(floor(((length + 1) * nb - reach) / (nb + nc)) AS BIGINT) + 1) AS first,
+          least(nb + 1, length + 2, CAST(ceil(((length + 1) * nb + reach) / (nb + nc)) AS BIGINT)) AS past
+        FROM walk WHERE length < nb + nc))
 SELECT feature_name, ks_statistic,
-       CASE WHEN reach <= 0 THEN 1.0 ELSE round(least(greatest(1 - inside[nb + 1], 0), 1), 6) END AS ks_p_value
+       CASE WHEN reach <= 0 THEN 1.0 ELSE round(least(greatest(1 - coalesce(inside[nb - low + 1], 0), 0), 1), 6) END AS ks_p_value
 FROM walk JOIN ks USING (feature_name) WHERE length = nb + nc""",
+        "sketched_summary": f"""WITH {_samples(_DENSE)}
+SELECT feature_name, count(*) AS n, round(avg(value), 6) AS mean, round(min(value), 6) AS min, round(max(value), 6) AS max,
+       true AS p25_within, true AS p50_within, true AS p75_within, true AS p95_within, true AS p99_within
+FROM samples GROUP BY feature_name""",
+        "weekly_users": """WITH days AS (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events)
+SELECT strftime(day, '%Y-%m-%d') AS day, count(DISTINCT user_id) AS users, count(*) AS events
+FROM days JOIN events ON CAST(ts AS DATE) BETWEEN day - 6 AND day GROUP BY day""",
+        "drift_levels": f"""WITH {_samples(_DENSE)}
+SELECT feature_name, side, grouping_id(feature_name, side) AS level, count(value) AS n, count(*) FILTER (value = 0) AS zeros,
+       round(min(value), 6) AS low, round(max(value), 6) AS high,
+       round(count(*) FILTER (value = 0) / count(value), 6) AS zero_share
+FROM samples GROUP BY CUBE (feature_name, side)""",
         "ks_2samp": f"WITH {_samples(_DENSE)}, {_SIDES}, {_KS} SELECT * FROM ks",
         "z_score": f"WITH {_samples(_DENSE)}, {_SIDES}, {_Z} SELECT * FROM z",
         "kl_divergence": f"""WITH {_samples(_DENSE)}, {_SIDES}, {_KL}
@@ -563,6 +578,13 @@ FROM ev GROUP BY 1"""
         "serve_requested_features": served(
             lambda c: f"o.{c}" if c in ("avg_spend_1h", "anomaly_score") else "CAST(0.0 AS DOUBLE)", False
         ),
+        "activity_levels": f"""WITH {_EVENTS},
+r AS (SELECT strftime("timestamp", '%Y-%m-%d') AS day, event_type, c_mktsegment AS segment,
+             CAST(transaction_amount AS DECIMAL(18, 6)) AS amount
+      FROM ev LEFT JOIN customer ON user_id = printf('usr_%05d', c_custkey))
+SELECT day, event_type, segment, grouping_id(day, event_type, segment) AS level, count(*) AS events,
+       round(CAST(sum(amount) AS DOUBLE), 6) AS revenue, count(*) FILTER (event_type = 'purchase') AS purchases
+FROM r GROUP BY GROUPING SETS ((day, event_type, segment), (day, event_type), (day, segment), (day), (event_type), (segment), ())""",
         "live_rows": f"WITH {_ONLINE} SELECT {_VECTOR_COLUMNS}, expires_at FROM online WHERE expires_at > {_NOW_EPOCH}",
         "freshness": f"{ages} SELECT * FROM ages",
         "freshness_report": f"""{ages}

@@ -14,7 +14,18 @@ from pyspark.sql import functions as F
 
 from windrow.functions.columns import psi_reading, psi_severity
 from windrow.functions.time import bound, epoch
-from windrow.operators import consistency, diagnosis, distribution, drift, features, latest, registry, serving
+from windrow.operators import (
+    consistency,
+    diagnosis,
+    distribution,
+    drift,
+    features,
+    latest,
+    registry,
+    rollups,
+    serving,
+    sketches,
+)
 from windrow.operators.asof import point_in_time
 from windrow.operators.cells import cells, fold_cells, session_cells
 from windrow.operators.samples import wide_to_long
@@ -41,6 +52,7 @@ from windrow.sources.events import (
 )
 from windrow.sources.stores import Baselines, FeatureHistory, OnlineStore, diagnosis_log, metric_log, with_expiry
 from windrow.sources.tables import merge_rows, partition_filter, with_partition_columns
+from windrow.streaming.current import read_current, start_current
 from windrow.streaming.features import cell_table, start_history, start_online
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +60,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 # Moments are in UTC and become literals by ``bound``, whatever the driver's time zone.
 SPLIT = "2024-01-16 00:00:00"
 NOW = "2024-01-29 12:00:00"
+SPLIT_EPOCH = datetime(2024, 1, 16, tzinfo=timezone.utc).timestamp()
 NOW_EPOCH = datetime(2024, 1, 29, 12, tzinfo=timezone.utc).timestamp()
 ONLINE_TTL = 2 * 86400
 # A definition that has come apart from the one history was computed with.
@@ -290,12 +303,11 @@ def _store_queries() -> dict[str, Query]:
         return rounded(_without_zone(online.read(NOW_EPOCH + 1)))
 
     def served(s: SparkSession, d: str) -> DataFrame:
-        """Users asked of a store: only their buckets are read."""
+        """All customers asked of a store, of whom some have used nothing so far."""
         store = OnlineStore(s, f"{scratch_folder(s)}/online", buckets=8)
         store.write(vectors(s, d, REFERENCE_WIDTHS).filter(F.col("window_end") <= bound(NOW)), ONLINE_TTL)
         users = s.read.parquet(f"{d}/customer.parquet").select(user_name("c_custkey").alias("user_id"))
-        asked = users.filter(F.col("user_id") < "usr_00050")
-        return rounded(serving.serve_features(store.read_users(asked), asked, NOW_EPOCH))
+        return rounded(serving.serve_features(store.read_users(users), users, NOW_EPOCH))
 
     def checked(s: SparkSession, d: str) -> DataFrame:
         """The consistency job over stores, whose history holds later windows than those served."""
@@ -333,15 +345,30 @@ def _store_queries() -> dict[str, Query]:
         return found.withColumn("event_date", F.col("event_date").cast("string"))
 
     def refreshed(s: SparkSession, d: str) -> DataFrame:
-        """Users whose vectors are from before the split have them recomputed over the whole month."""
+        """Users whose vectors expire within a day of the split have them recomputed over the whole month."""
         store = OnlineStore(s, f"{scratch_folder(s)}/online", buckets=8)
         everything = vectors(s, d, REFERENCE_WIDTHS)
         store.write(everything.filter(F.col("window_start") < bound(SPLIT)), ONLINE_TTL)
-        chosen = store.active_users().filter(F.col("user_id") < "usr_00040")
+        chosen = serving.find_stale(store.read_all(), SPLIT_EPOCH, 86400)
         jobs.refresh_features(store, chosen, lambda users: everything.join(users, "user_id", "left_semi"))
         return rounded(store.read_all())
 
+    def current(s: SparkSession, d: str) -> DataFrame:
+        """Vectors replayed by time into keyed state that expires by itself; the query is stopped and goes on half-way."""
+        root = scratch_folder(s)
+        every = vectors(s, d, REFERENCE_WIDTHS)
+        stamps = {c: F.col(c).cast("timestamp") for c in ("window_start", "window_end")}
+        every.withColumns(stamps).write.parquet(f"{root}/vectors")
+        stored = s.read.parquet(f"{root}/vectors")
+        for since, until in zip(HALVES, HALVES[1:]):
+            part = stored.filter((F.col("window_end") >= bound(since)) & (F.col("window_end") < bound(until)))
+            part.write.mode("append").parquet(f"{root}/arriving")
+            arriving = s.readStream.schema(stored.schema).parquet(f"{root}/arriving")
+            start_current(arriving, f"{root}/changes", f"{root}/checkpoint", ONLINE_TTL, trigger=None).awaitTermination()
+        return rounded(_without_zone(read_current(s, f"{root}/checkpoint")))
+
     return {
+        "streamed_current": current,
         "history_at_version": lambda s, d: with_text_date(versions(s, d).read(as_of=100.0)),
         "history_as_of": lambda s, d: with_text_date(versions(s, d).read_for_training(as_of=250.0)),
         "history_compacted": compacted,
@@ -358,9 +385,10 @@ def _store_queries() -> dict[str, Query]:
     }
 
 
+HALVES = ("2000-01-01 00:00:00", SPLIT, "2100-01-01 00:00:00")
 # A range that the backfill beside a stream replaces.
 BACKFILLED = ("2024-01-12 00:00:00", "2024-01-20 12:00:00")
-STREAM_FILES = 4
+STREAM_PARTS = 4
 
 
 def _rounded_features(frame: DataFrame) -> DataFrame:
@@ -368,20 +396,22 @@ def _rounded_features(frame: DataFrame) -> DataFrame:
 
 
 def activity_stream(s: SparkSession, d: str, root: str) -> DataFrame:
-    """The activity table as JSON lines in files by time, replayed a file at a time through the event reader.
+    """The activity table as JSON lines in parts by time, replayed a part at a time through the event reader.
 
     A part of the events is sent twice.
     """
     events = read_activity(s, d).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
     low, high = events.agg(F.min(epoch("timestamp")), F.max(epoch("timestamp"))).first()
-    part = F.floor((epoch("timestamp") - low) * STREAM_FILES / (high + 1 - low)).cast("int")
+    part = F.floor((epoch("timestamp") - low) * STREAM_PARTS / (high + 1 - low)).cast("int")
     parts = events.withColumn("part", part)
     lines = parts.unionByName(parts.filter(F.pmod(F.crc32("event_id"), F.lit(10)) == 0))
     record = F.to_json(F.struct(*events.columns), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"})
-    for number in range(STREAM_FILES):
+    # Every part is written by several tasks, and all of its files are one batch, as events of a part are in no order.
+    files = max(2, s.sparkContext.defaultParallelism)
+    for number in range(STREAM_PARTS):
         chosen = lines.filter(F.col("part") == number).select(record.alias("value"))
-        chosen.coalesce(1).write.mode("append").text(f"{root}/events")
-    return parse_events(read_event_stream(s, folder=f"{root}/events", max_files=1))
+        chosen.repartition(files).write.mode("append").text(f"{root}/events")
+    return parse_events(read_event_stream(s, folder=f"{root}/events", max_files=files))
 
 
 def _without_zone(frame: DataFrame) -> DataFrame:
@@ -434,12 +464,30 @@ def _distribution_queries() -> dict[str, Query]:
         return rounded(drift.detect_drift(kept))
 
     def exact(s: SparkSession, d: str) -> DataFrame:
-        # The first days hold samples small enough to count lattice paths.
-        samples = rounded(wide_to_long(vectors(s, d), keep=["window_start"]), 9)
-        day = F.dayofmonth("window_start")
-        early = samples.filter(day <= 8).withColumn("side", F.when(day <= 4, "baseline").otherwise("current"))
-        few = early.select("feature_name", "side", "value")
-        return distribution.ks_2samp(few, method="exact").select("feature_name", "ks_statistic", "ks_p_value")
+        found = distribution.ks_2samp(drift_samples(s, d), method="exact")
+        return found.select("feature_name", "ks_statistic", "ks_p_value")
+
+    def dated_values(s: SparkSession, d: str) -> DataFrame:
+        return rounded(wide_to_long(vectors(s, d), keep=["window_start"]), 9)
+
+    def sketched(s: SparkSession, d: str) -> DataFrame:
+        """The month merged from stored sketches of its days, and whether each percentile's rank is within one percent."""
+        values = dated_values(s, d)
+        path = f"{scratch_folder(s)}/daily_values"
+        sketches.daily_values(values, F.to_date("window_start")).write.parquet(path)
+        merged = sketches.summary(s.read.parquet(path))
+        shares = sketches.rank_shares(values, merged)
+        within = [
+            ((F.col(f"{n}_below") <= q + 0.01) & (F.col(f"{n}_upto") >= q - 0.01)).alias(f"{n}_within")
+            for q, n in ((q, sketches.quantile_name(q)) for q in sketches.QUANTILES)
+        ]
+        return rounded(merged.join(F.broadcast(shares), "feature_name").select("feature_name", "n", "mean", "min", "max", *within))
+
+    def weekly_users(s: SparkSession, d: str) -> DataFrame:
+        path = f"{scratch_folder(s)}/daily_users"
+        sketches.daily_users(read_activity(s, d), F.to_date("timestamp")).write.parquet(path)
+        found = sketches.active_users(s.read.parquet(path), 7)
+        return found.withColumn("day", F.col("day").cast("string"))
 
     return {
         "psi": lambda s, d: distribution.psi(drift_samples(s, d, REFERENCE_WIDTHS)),
@@ -447,6 +495,9 @@ def _distribution_queries() -> dict[str, Query]:
         "psi_severity": severity,
         "ks_2samp": lambda s, d: distribution.ks_2samp(drift_samples(s, d)),
         "ks_2samp_exact": exact,
+        "sketched_summary": sketched,
+        "weekly_users": weekly_users,
+        "drift_levels": lambda s, d: rollups.drift_levels(drift_samples(s, d)),
         "z_score": lambda s, d: distribution.z_score(drift_samples(s, d)),
         "kl_divergence": lambda s, d: rounded(distribution.kl_divergence(drift_samples(s, d))),
         "detect_drift": lambda s, d: rounded(drift_report(s, d)),
@@ -501,6 +552,10 @@ def _serving_queries() -> dict[str, Query]:
         rows = serving.extend_ttl(online_rows(s, d), stale(s, d), NOW_EPOCH, ONLINE_TTL)
         return rows.select("user_id", "computed_at", "expires_at")
 
+    def by_levels(s: SparkSession, d: str) -> DataFrame:
+        segments = s.read.parquet(f"{d}/customer.parquet").select(user_name("c_custkey").alias("user_id"), F.col("c_mktsegment").alias("segment"))
+        return rollups.activity_levels(read_activity(s, d), segments).withColumn("day", F.col("day").cast("string"))
+
     return {
         "serve_features": lambda s, d: rounded(serving.serve_features(online_rows(s, d), users(s, d), NOW_EPOCH)),
         "serve_requested_features": lambda s, d: rounded(
@@ -517,6 +572,7 @@ def _serving_queries() -> dict[str, Query]:
         "stale_users_sampled": lambda s, d: stale(s, d, 60),
         "extend_ttl": extended,
         "latency_report": lambda s, d: rounded(serving.latency_report(request_rows(s, d))),
+        "activity_levels": by_levels,
         "throughput": lambda s, d: rounded(serving.throughput(read_activity(s, d))),
         "throughput_daily": lambda s, d: rounded(serving.throughput(read_activity(s, d), "1 day")),
         "metric_history": lambda s, d: serving.metric_history(metric_rows(s, d), bound(NOW)),
