@@ -98,9 +98,14 @@ def templates(text, sets, step, up, down):
     words = [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").lower()) if w]
     found, best = set(), 0.0
     for _, label, wanted, _ in sets:
+        # Others that hold so many of its words that they could be taken for it.
+        close = [set(o) for _, name, o, _ in sets if name != label and len(set(o) & set(wanted)) * down >= up * len(wanted)]
         for at in range(0, max(len(words) - step, 1), step):
-            share = len(set(words[at : at + 2 * step]) & set(wanted))
-            if share * down >= up * len(wanted):
+            block = set(words[at : at + 2 * step])
+            share = len(block & set(wanted))
+            most = lambda group, block=block: len(block & group) * down >= up * len(group)
+            clear = all(most(set(wanted) - o) if set(wanted) - o else not most(o - set(wanted)) for o in close)
+            if share * down >= up * len(wanted) and clear:
                 found.add(label)
                 best = max(best, share / len(wanted))
     return found, best

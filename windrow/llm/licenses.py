@@ -14,10 +14,15 @@ that reaches the threshold is missed:
 
 The only broadcast is the index of the templates' rarest words, a hundred rows that no data can add to.
 
+Notices of different licenses may have nearly all words in common. A template that another label's template nearly
+contains must find its own words, those the other lacks, in the block, by the same share; one that lies wholly inside
+another's is not what a block says that holds the other's own words. Where notices of both stand in one block, only
+the fuller one is found.
+
 Short phrases that name a license are counted beside that, at each place where their words stand in a row.
 
 Defined results: null and empty texts have no words, no places and no labels, and score 0. Rows that agree in doc_id
-and text get the same labels. Ties in frequency are ordered by the word. Extra columns are left out.
+and text get the same labels. Ties in frequency are ordered by the word. Texts of any length are cut whole. Extra columns are left out, whatever they are called.
 """
 
 from __future__ import annotations
@@ -84,6 +89,25 @@ def template_sets(templates: list[tuple[str, str]] = TEMPLATES) -> list[tuple[in
     return [(i, label, words, math.ceil(up * len(words) / down)) for i, (label, words) in enumerate(sets)]
 
 
+def distinguishing(sets: list[tuple[int, str, list[str], int]]) -> dict[int, tuple[list[list[str]], list[list[str]]]]:
+    """For each template the groups of words of which a block must hold enough, and those of which it must not.
+
+    They come from the templates of other labels that could be taken for it.
+    """
+    out = {}
+    for number, label, words, needed in sets:
+        own, others = [], []
+        for _, other, more, _ in sets:
+            if other != label and len(set(words) & set(more)) >= needed:
+                rest, beyond = sorted(set(words) - set(more)), sorted(set(more) - set(words))
+                if rest:
+                    own.append(rest)
+                else:
+                    others.append(beyond)
+        out[number] = (own, others)
+    return out
+
+
 def texts(values: list[str]) -> Column:
     return F.array(*map(F.lit, values))
 
@@ -126,10 +150,13 @@ def template_index(docs: DataFrame, sets: list[tuple[int, str, list[str], int]])
     counts = {r.word: r.n for r in held.groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()}
     order = sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
     rank = {w: i for i, w in enumerate(order)}
+    apart = distinguishing(sets)
     index = []
     for number, label, words, needed in sets:
         ranks = sorted(rank[w] for w in words)
-        index += [(r, number, label, i + 1, len(ranks), needed, ranks) for i, r in enumerate(ranks[: len(ranks) - needed + 1])]
+        own, others = ([[rank[w] for w in group] for group in groups] for groups in apart[number])
+        rarest = enumerate(ranks[: len(ranks) - needed + 1])
+        index += [(r, number, label, i + 1, len(ranks), needed, ranks, own, others) for i, r in rarest]
     return order, index
 
 
@@ -138,7 +165,7 @@ def template_matches(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLAT
     spark = docs.sparkSession
     sets = template_sets(templates)
     order, entries = template_index(docs, sets)
-    kinds = "word int, template int, label string, i int, size int, needed int, ranks array<int>"
+    kinds = "word int, template int, label string, i int, size int, needed int, ranks array<int>, own array<array<int>>, others array<array<int>>"
     index = F.broadcast(spark.createDataFrame(entries, kinds))
     least = min(needed for *_, needed in sets)
     prefix = sorted({order[e[0]] for e in entries})
@@ -158,9 +185,12 @@ def template_matches(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLAT
     bound = 1 + F.least(F.col("size") - F.col("i"), F.size("held") - F.col("j0") - 1)
     candidates = shared.filter((F.size("held") >= F.col("needed")) & (bound >= F.col("needed")))
     overlap = F.size(F.array_intersect("held", "ranks"))
+    up, down = CONTAINMENT
+    holds = lambda group: F.size(F.array_intersect(F.col("held"), group)) * down >= F.size(group) * up
     return (
         candidates.withColumn("overlap", overlap)
         .filter(F.col("overlap") >= F.col("needed"))
+        .filter(F.forall("own", holds) & ~F.exists("others", holds))
         .select("doc_id", "text_hash", "block", "label", (F.col("overlap") / F.col("size")).alias("containment"))
         .distinct()
     )
