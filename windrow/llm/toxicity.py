@@ -14,8 +14,7 @@ orthonormal by the landmarks' own kernel, are the features of a linear machine w
 steps. The machine is a sum over landmarks, thus over the subsequences of three letters, and is folded into one weight for
 each of these; a word costs fifteen look-ups a letter, and nothing grows with the landmarks.
 
-A text scores by its most toxic word, by how many words are on the toxic side and by how many it has, through a logistic
-curve fitted on at most ``CURVE_ROWS`` training rows of each label. So a word that clean texts hold by chance weighs less.
+A text scores by its most toxic word and by how many words are on the toxic side, through a logistic curve fitted on at most ``CURVE_ROWS`` training rows of each label. So a word that clean texts hold by chance weighs less.
 Texts are scored whole, slice by slice, each distinct word of a slice once; nothing is shuffled.
 
 Defined results: texts without a word of three letters, null and empty ones among them, score what a word without any
@@ -50,10 +49,11 @@ LANDMARKS = 300
 CURVE_ROWS = 2000
 ROUNDS = 3
 COST = 4.0
+MOST_WEIGHT = 50.0
 # Strings with one more letter that are made of each witness, and of all at most.
 VARIANTS, MOST_VARIANTS = 8, 6000
 GAPS = [(i, j) for j in range(2, SPAN) for i in range(1, j)]
-MEASURED = ("margin", "n_toxic", "n_words")
+MEASURED = ("margin", "n_toxic")
 LEAST_SCORE = 0.3
 
 
@@ -205,12 +205,15 @@ def varied(words: list[str], seed: int = 7) -> list[str]:
     return out
 
 
-def fitted(toxic: list[str], clean: list[str], landmarks: int = LANDMARKS) -> Machine:
-    """The machine that tells these words apart."""
-    toxic = toxic + varied(toxic)
+def fitted(toxic: dict[str, int], clean: dict[str, int], landmarks: int = LANDMARKS) -> Machine:
+    """The machine that tells these words apart, each by how many sentences hold it; both classes weigh the same."""
+    more = varied(list(toxic))
+    heavy = np.append(np.minimum(list(toxic.values()), MOST_WEIGHT), np.full(len(more), 1.0))
+    light = np.minimum(list(clean.values()), MOST_WEIGHT)
+    weight = np.append(heavy * (light.sum() / heavy.sum()), light)
+    toxic, clean = [*toxic, *more], list(clean)
     words = toxic + clean
     sign = np.append(np.ones(len(toxic)), -np.ones(len(clean)))
-    weight = np.append(np.full(len(toxic), len(clean) / len(toxic)), np.ones(len(clean))).clip(max=20.0)
     half = landmarks // 2
     marks = sorted({*toxic[:: max(1, len(toxic) // half)][:half], *clean[:: max(1, len(clean) // half)][:half]})
     alphabet = Alphabet(marks)
@@ -253,11 +256,11 @@ def chance(toxic: Column, clean: Column, share: float) -> Column:
     return F.when(p > share, -n * (p * F.log(p / F.lit(share)) + rest)).otherwise(0.0)
 
 
-def witnesses(words: DataFrame, most: int = WITNESSES) -> list[str]:
+def witnesses(words: DataFrame, most: int = WITNESSES) -> dict[str, int]:
     """Words of toxic sentences that are no chance, by themselves or by their first letters, the most frequent first."""
     total = words.agg(F.sum("toxic"), F.sum("clean"), F.count(F.lit(1))).first()
     if not total[0] or not total[1]:
-        return []
+        return {}
     share = total[0] / (total[0] + total[1])
     least = float(np.log(CHANCE / (total[2] * (1 + len(STEMS)))))
     names = F.array(F.col("word"), *(F.when(F.length("word") > n, F.substring("word", 1, n)) for n in STEMS))
@@ -267,21 +270,22 @@ def witnesses(words: DataFrame, most: int = WITNESSES) -> list[str]:
     sure = sums.filter((chance(F.col("toxic"), F.col("clean"), share) < least) & (F.col("clean") * 10 <= F.col("toxic")))
     sure = sure.orderBy(F.desc("toxic"), "name").limit(most).select("name")
     mine = named.join(sure, "name").filter(F.col("toxic") > F.col("clean")).select("word", "toxic").distinct()
-    return [r.word for r in mine.orderBy(F.desc("toxic"), "word").limit(most).collect()]
+    return {r.word: r.toxic for r in mine.orderBy(F.desc("toxic"), "word").limit(most).collect()}
 
 
-def hardest(words: DataFrame, machine: Machine, known: list[str], most: int) -> list[str]:
+def hardest(words: DataFrame, machine: Machine, known: dict[str, int], most: int) -> dict[str, int]:
     """Clean words that the machine puts furthest on the toxic side."""
     shared = words.sparkSession.sparkContext.broadcast((machine, frozenset(known)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine, known = shared.value
         for batch in batches:
-            own = [w for w in batch.column("word").to_pylist() if w not in known]
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.array(machine.margins(own))], names=["word", "margin"])
+            own = batch.filter(pa.array([w not in known for w in batch.column("word").to_pylist()], pa.bool_()))
+            margin = machine.margins(own.column("word").to_pylist())
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(margin)], names=["word", "clean", "margin"])
 
-    found = words.filter("clean > 0").select("word").mapInArrow(run, "word string, margin double")
-    return [r.word for r in found.orderBy(F.desc("margin"), "word").limit(most).collect()]
+    found = words.filter("clean > 0").select("word", "clean").mapInArrow(run, "word string, clean long, margin double")
+    return {r.word: r.clean for r in found.orderBy(F.desc("margin"), "word").limit(most).collect()}
 
 
 def curve(measured: np.ndarray, toxic: np.ndarray) -> np.ndarray:
@@ -306,11 +310,11 @@ def held_out(doc_id: Column) -> Column:
 
 
 def measured(docs: DataFrame, machine: Machine) -> DataFrame:
-    """``docs(text, ...)``, text replaced by the margin of its most toxic word and logarithms of how many are toxic, and are."""
+    """``docs(text, ...)``, text replaced by the margin of its most toxic word and the logarithm of how many are toxic."""
     shared = docs.sparkSession.sparkContext.broadcast(machine)
     carried = [f for f in docs.schema.fields if f.name != "text"]
     names = [f.name for f in carried]
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in carried) + ", margin double, n_toxic double, n_words double"
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in carried) + ", margin double, n_toxic double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = shared.value
@@ -321,38 +325,36 @@ def measured(docs: DataFrame, machine: Machine) -> DataFrame:
             margin = machine.margins(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)]
             most = np.full(len(texts), machine.offset)
             np.maximum.at(most, rows, margin)
-            counts = [np.log1p(np.bincount(r, minlength=len(texts))) for r in (rows[margin > 0], rows)]
-            found = map(pa.array, (most, *counts))
+            found = map(pa.array, (most, np.log1p(np.bincount(rows[margin > 0], minlength=len(texts)))))
             yield pa.RecordBatch.from_arrays([*(column(part, n) for n in names), *found], names=[*names, *MEASURED])
 
     return docs.mapInArrow(run, schema)
 
 
-def fit(training: DataFrame) -> Machine | float:
-    """``training(doc_id, text, toxic boolean)`` to a machine, or to the share of toxic rows if no word tells them apart."""
-    sizes = training.agg(F.count_if("toxic"), F.count_if(~F.col("toxic"))).first()
+def fit(rows: DataFrame, marks: DataFrame) -> Machine | float:
+    """``rows(doc_id, text)`` and ``marks(doc_id, toxic boolean)`` to a machine, or the share of toxic rows if no word tells.
+
+    Texts meet their labels once, by the same join at every size, as labels grow with the rows.
+    """
+    ids = stored(rows.select("doc_id").join(marks.hint("merge"), "doc_id"), "labelled")
+    sizes = ids.agg(F.count_if("toxic"), F.count_if(~F.col("toxic"))).first()
     share = sizes[0] / max(1, sizes[0] + sizes[1])
-    words = stored(counted(training.select("text", "toxic")), "words")
+    words = stored(counted(rows.join(marks.hint("merge"), "doc_id").select("text", "toxic")), "words")
     toxic = witnesses(words)
     if not toxic:
         return share
-    known = frozenset(toxic)
-    drawn = words.filter("clean > 0").orderBy(F.xxhash64("word"), "word").limit(CLEAN).select("word").collect()
-    clean = [r.word for r in drawn if r.word not in known]
+    drawn = words.filter("clean > 0").orderBy(F.xxhash64("word"), "word").limit(CLEAN).collect()
+    clean = {r.word: r.clean for r in drawn if r.word not in toxic}
     if not clean:
         return share
     machine = fitted(toxic, clean)
     for _ in range(ROUNDS - 1):
-        clean = sorted({*clean, *hardest(words, machine, toxic, CLEAN // 4)})
+        clean |= hardest(words, machine, toxic, CLEAN // 4)
         machine = fitted(toxic, clean)
-    rows = training.withColumn("draw", F.xxhash64("doc_id"))
-    sample = None
-    for label in (F.col("toxic"), ~F.col("toxic")):
-        part = rows.filter(label).orderBy("draw", "doc_id").limit(CURVE_ROWS).select("doc_id")
-        sample = part if sample is None else sample.unionByName(part)
-    sample = stored(sample.distinct(), "sample")
-    chosen = rows.join(F.broadcast(sample), "doc_id", "left_semi").select("toxic", "text")
-    seen = measured(chosen, machine).toPandas()
+    drawn = ids.distinct().withColumn("draw", F.xxhash64("doc_id"))
+    sample = [drawn.filter(label).orderBy("draw", "doc_id").limit(CURVE_ROWS) for label in (F.col("toxic"), ~F.col("toxic"))]
+    sample = stored(sample[0].unionByName(sample[1]).select("doc_id", "toxic"), "sample")
+    seen = measured(rows.join(F.broadcast(sample), "doc_id").select("toxic", "text"), machine).toPandas()
     machine.curve = curve(seen[list(MEASURED)].to_numpy(), seen["toxic"].to_numpy().astype(bool))
     return machine
 
@@ -367,8 +369,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     marks = labels.select(F.col("doc_id").cast("long"), (F.col("toxic") == 1).alias("toxic")).dropna()
     marks = marks.filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = rows.filter(F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    training = stored(known.join(marks, "doc_id"), "training")
-    machine = fit(training)
+    machine = fit(known, marks)
     rows = rows.withColumn("held_out", held_out(F.col("doc_id")))
     if isinstance(machine, float):
         found = rows.select("doc_id", "held_out", F.lit(machine).alias("score"))
