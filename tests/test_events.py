@@ -44,6 +44,36 @@ def test_sessions_of_the_table(spark):
     assert sessions(read_activity(spark, "/root/testdata/sf0.01")).count() == 9549
 
 
+def test_what_does_not_fit_is_rescued(spark):
+    from windrow.sources.events import parse_events, parse_events_rescued
+
+    fits = '{"event_id":"1","user_id":"u","event_type":"search","timestamp":"2024-01-01T00:00:00Z","transaction_amount":1.5,'
+    rows = [
+        fits + '"location":{"country":"US","city":null}}',
+        fits + '"location":{"country":"US","zip":[1]},"new":{"a":null},"other":null}',
+        '{"user_id":"v","timestamp":"soon","transaction_amount":"x","location":3}',
+        '{"user_id":',
+        "[1,2]",
+        "",
+        None,
+    ]
+    raw = spark.createDataFrame([(r,) for r in rows], "value string")
+    found = parse_events_rescued(raw).collect()
+    assert [r.rescued for r in found[:5]] == [
+        None,
+        {"location.zip": "[1]", "new": '{"a":null}', "other": "null"},
+        {"timestamp": '"soon"', "transaction_amount": '"x"', "location": "3"},
+        {"$": '{"user_id":'},
+        {"$": "[1,2]"},
+    ]
+    assert found[1].location.country == "US" and found[1].transaction_amount == 1.5
+    assert found[2].user_id == "v" and found[2].location is None
+    assert [r.user_id for r in found[3:]] == [None] * 4
+    # What fits is read as it is without rescue.
+    same = ["event_id", "user_id", "event_type", "timestamp", "transaction_amount", "location"]
+    assert parse_events_rescued(raw.limit(1)).select(*same).collect() == parse_events(raw.limit(1)).select(*same).collect()
+
+
 def test_bounds_are_in_utc(spark):
     east = datetime(2024, 1, 1, 2, tzinfo=timezone(timedelta(hours=2)))
     row = spark.range(1).select(bound(T0).alias("a"), bound("2024-01-01").alias("b"), bound(east).alias("c")).first()

@@ -281,6 +281,19 @@ SELECT user_id, min("timestamp") AS session_start, max("timestamp") + INTERVAL '
 def _source_sql() -> dict[str, str]:
     return {
         "parse_events": f"WITH {_EVENTS} SELECT {_EVENT_COLUMNS} FROM ev",
+        "rescued_events": f"""WITH {_EVENTS},
+r AS (SELECT *, CAST(event_id AS BIGINT) AS n FROM ev),
+ok AS (SELECT *, n % 13 <> 0 OR n % 11 = 0 AS whole FROM r)
+SELECT CASE WHEN whole THEN event_id END AS event_id, CASE WHEN whole THEN user_id END AS user_id,
+  CASE WHEN whole AND n % 5 <> 0 THEN 2.5::DOUBLE END AS transaction_amount,
+  CASE WHEN whole AND n % 4 = 0 THEN 'A' END AS city,
+  CASE WHEN whole THEN epoch_us("timestamp") END AS micros,
+  CASE WHEN NOT whole THEN '$'
+    ELSE nullif(array_to_string(list_sort(list_filter([
+      CASE WHEN n % 3 = 0 THEN 'coupon={{"code":"X","off":5}}' END,
+      CASE WHEN n % 4 = 0 THEN 'location.zip=12' WHEN n % 4 = 1 THEN 'location="US"' END,
+      CASE WHEN n % 5 = 0 THEN 'transaction_amount="about ten"' END], lambda x: x IS NOT NULL)), ';'), '') END AS rescued
+FROM ok""",
         "validate_events": f"""WITH {_RECORDS}
 SELECT event_id, user_id, event_type, country, device_type, '1.0' AS schema_version FROM checked WHERE reject_reasons = ''""",
         "rejected_events": f"WITH {_RECORDS} SELECT event_id, reject_reasons FROM checked WHERE reject_reasons <> ''",

@@ -46,6 +46,7 @@ from windrow.sources.events import (
     encode_events,
     in_range,
     parse_events,
+    parse_events_rescued,
     read_event_stream,
     sessions,
     validate_events,
@@ -231,11 +232,36 @@ def _source_queries() -> dict[str, Query]:
         both = events.unionByName(again.withColumn("timestamp", F.col("timestamp") + F.expr("INTERVAL '1' MINUTE")))
         return dedup_events(both)
 
+    def rescued(s: SparkSession, d: str) -> DataFrame:
+        """Records of producers with other schemas: fields that are new, of another type, or missing, and broken ones."""
+        number = F.col("event_id").cast("long")
+        rows = full_records(s, d)
+        record = F.concat(
+            F.lit('{"event_id":"'), "event_id", F.lit('","user_id":"'), "user_id", F.lit('","event_type":"'), "event_type",
+            F.lit('","timestamp":"'), F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit('Z"'),
+            F.when(number % 5 == 0, F.lit(',"transaction_amount":"about ten"')).otherwise(F.lit(',"transaction_amount":2.5')),
+            F.when(number % 3 == 0, F.lit(',"coupon":{"code":"X","off":5}')).otherwise(F.lit("")),
+            F.when(number % 4 == 0, F.lit(',"location":{"country":"US","city":"A","zip":12}'))
+            .when(number % 4 == 1, F.lit(',"location":"US"')).otherwise(F.lit("")),
+            F.when(number % 11 == 0, F.lit(',"category":null}')).when(number % 13 == 0, F.lit(',"category":')).otherwise(F.lit("}")),
+        )
+        found = parse_events_rescued(rows.select(record.alias("value")))
+        entries = F.array_sort(F.transform(F.map_entries("rescued"), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+        return found.select(
+            "event_id",
+            "user_id",
+            "transaction_amount",
+            F.col("location.city").alias("city"),
+            F.unix_micros("timestamp").alias("micros"),
+            F.array_join(F.when(F.map_contains_key("rescued", "$"), F.array(F.lit("$"))).otherwise(entries), ";").alias("rescued"),
+        )
+
     return {
         "dedup_events": replayed,
         "sessions": lambda s, d: sessions(read_activity(s, d)),
         "sessions_daily": lambda s, d: sessions(read_activity(s, d), "1 day"),
         "parse_events": parsed,
+        "rescued_events": rescued,
         "validate_events": valid,
         "rejected_events": rejected,
         "event_history": history,

@@ -80,6 +80,73 @@ def parse_events(raw: DataFrame) -> DataFrame:
     return raw.select(parsed.alias("event")).select("event.*").filter(F.col("user_id").isNotNull())
 
 
+# Fields of an event record and the types they are read as; the two of ``location`` are inside it.
+TYPED_FIELDS = {
+    "event_id": "string",
+    "user_id": "string",
+    "session_id": "string",
+    "event_type": "string",
+    "timestamp": "timestamp",
+    "transaction_amount": "double",
+    "product_id": "string",
+    "category": "string",
+    "device_type": "string",
+    "schema_version": "string",
+}
+LOCATION_FIELDS = {"country": "string", "city": "string"}
+
+
+def parse_events_rescued(raw: DataFrame) -> DataFrame:
+    """Event columns of the JSON in ``value`` beside ``rescued``, what does not fit them, by path and as JSON text.
+
+    The record is read as a variant, and each field is taken out of it by its type. Fields that the model doesn't have,
+    and those of another type than it asks for, are kept in ``rescued`` under their path and read as null in their
+    column, so that a change of the producers' schema is seen and nothing is lost. What is no JSON object is kept whole
+    under ``$``. ``rescued`` is null where everything fits.
+    """
+    text = F.col("value").cast("string")
+    # A variant that is no object has no fields.
+    whole = raw.select(text.alias("value"), F.try_parse_json(text).alias("record"))
+    rows = whole.withColumn("fields", _fields_of(F.col("record"), "$"))
+    rows = rows.withColumn("places", _fields_of(F.col("record"), "$.location"))
+    typed = {n: F.try_variant_get("record", f"$.{n}", t) for n, t in TYPED_FIELDS.items()}
+    inner = {n: F.try_variant_get("record", f"$.location.{n}", t) for n, t in LOCATION_FIELDS.items()}
+    misfits = [
+        *(_misfits("fields", {n: typed[n] for n in TYPED_FIELDS} | {"location": F.col("places")}, "")),
+        *(_misfits("places", inner, "location.")),
+    ]
+    known = F.map_concat(
+        _unknown("fields", [*TYPED_FIELDS, "location"], ""), _unknown("places", [*LOCATION_FIELDS], "location.")
+    )
+    wrong = F.map_from_entries(F.array_compact(F.array(*misfits)))
+    unread = F.create_map(F.lit("$"), F.col("value"))
+    rescued = F.when(F.col("fields").isNull(), unread).otherwise(F.map_concat(known, wrong))
+    columns = [*(c.alias(n) for n, c in typed.items()), F.when(F.col("places").isNotNull(), F.struct(*(c.alias(n) for n, c in inner.items()))).alias("location")]
+    found = rows.select(*columns, rescued.alias("rescued"))
+    return found.withColumn("rescued", F.when(F.size("rescued") > 0, F.col("rescued")))
+
+
+def _fields_of(record: Column, path: str) -> Column:
+    """An object's fields by name; null if there is none at the path."""
+    return F.try_variant_get(record, path, "map<string,variant>")
+
+
+def _unknown(fields: str, names: list[str], prefix: str) -> Column:
+    held = F.map_filter(F.coalesce(F.col(fields), F.create_map().cast("map<string,variant>")), lambda k, v: ~k.isin(names))
+    texts = F.transform_values(held, lambda k, v: F.coalesce(F.to_json(v), F.lit("null")))
+    return F.transform_keys(texts, lambda k, v: F.concat(F.lit(prefix), k))
+
+
+def _misfits(fields: str, typed: dict[str, Column], prefix: str) -> list[Column]:
+    """An entry of path and text for each field that is there, is not null, and could not be read by its type."""
+    out = []
+    for name, value in typed.items():
+        held = F.try_element_at(F.col(fields), F.lit(name))
+        wrong = held.isNotNull() & ~F.is_variant_null(held) & value.isNull()
+        out.append(F.when(wrong, F.struct(F.lit(f"{prefix}{name}").alias("key"), F.to_json(held).alias("value"))))
+    return out
+
+
 def encode_events(events: DataFrame) -> DataFrame:
     """``(key, value)`` rows as the topic carries them: the user's id and the record as JSON bytes."""
     record = F.to_json(F.struct(*events.columns), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"})
