@@ -287,7 +287,7 @@ ok AS (SELECT *, n % 13 <> 0 OR n % 11 = 0 AS whole FROM r)
 SELECT CASE WHEN whole THEN event_id END AS event_id, CASE WHEN whole THEN user_id END AS user_id,
   CASE WHEN whole AND n % 5 <> 0 THEN 2.5::DOUBLE END AS transaction_amount,
   CASE WHEN whole AND n % 4 = 0 THEN 'A' END AS city,
-  CASE WHEN whole THEN epoch_us("timestamp") END AS micros,
+  CASE WHEN whole THEN CAST(epoch_us("timestamp") AS VARCHAR) END AS micros,
   CASE WHEN NOT whole THEN '$'
     ELSE nullif(array_to_string(list_sort(list_filter([
       CASE WHEN n % 3 = 0 THEN 'coupon={{"code":"X","off":5}}' END,

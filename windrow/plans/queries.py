@@ -252,7 +252,7 @@ def _source_queries() -> dict[str, Query]:
             "user_id",
             "transaction_amount",
             F.col("location.city").alias("city"),
-            F.unix_micros("timestamp").alias("micros"),
+            F.unix_micros("timestamp").cast("string").alias("micros"),
             F.array_join(F.when(F.map_contains_key("rescued", "$"), F.array(F.lit("$"))).otherwise(entries), ";").alias("rescued"),
         )
 
