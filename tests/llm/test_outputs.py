@@ -15,6 +15,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from windrow.llm import decontaminate, fertility, mix, records, simhash, warc
@@ -324,3 +325,34 @@ def test_near_copies_of_one_row_each(spark):
 def test_patterns_of_a_null_item(spark):
     items = spark.createDataFrame([(None, None)], "item_id long, text string")
     assert decontaminate.windows(items).isEmpty()
+
+
+def test_equal_rows_are_dealt_into_many_blocks(spark, monkeypatch):
+    """No block grows with the copies of one row, and the draws of equal rows come near their source's target."""
+    largest = []
+    plain = mix.drawn
+    rows = spark.range(3000).selectExpr("7L AS doc_id", "'five words of plain text' AS text", "'a' AS source", "map('k', 1) AS extra")
+    rows = rows.unionByName(spark.range(500).selectExpr("id + 10 AS doc_id", "repeat('w ', 1 + int(id % 9)) AS text", "'b' AS source", "map('k', int(id)) AS extra"))
+
+    def seen(frame, block_rows):
+        out = plain(frame, block_rows)
+        largest.append(out.groupBy("doc_id", "nth").count().agg({"count": "max"}).first()[0])
+        return out
+
+    monkeypatch.setattr(mix, "drawn", seen)
+    once = mix.resampled(rows, 200)
+    assert once.columns == rows.columns and largest == [1]
+    counts = {r.doc_id: r["count"] for r in once.groupBy("doc_id").count().collect()}
+    drawn = {(r.doc_id): r.taken for r in mix.mixed(rows, 200).groupBy("doc_id").agg(F.sum("copies").alias("taken")).collect()}
+    # The same rows are drawn as often by either; here the rows' own columns break ties, so totals are compared.
+    target = mix.mixed(rows, 200).select("source", "target").distinct().collect()
+    words = {r.source: r.words for r in once.groupBy("source").agg(F.sum(F.size(F.split(F.trim("text"), " "))).alias("words")).collect()}
+    for r in target:
+        assert abs(words[r.source] - r.target) <= max(20, 0.01 * r.target)
+    assert abs(counts[7] - drawn[7]) <= 3
+    balanced = []
+    monkeypatch.setattr(mix, "drawn", plain)
+    monkeypatch.setattr(mix, "stored", lambda frame, name, f=mix.stored: balanced.append(f(frame, name)) or balanced[-1])
+    mix.mixed(rows, 200)
+    first = next(b for b in balanced if "block" in b.columns)
+    assert first.groupBy("rank", "block").count().agg({"count": "max"}).first()[0] < 400

@@ -24,7 +24,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from windrow.llm.common import WORD, prepared, stored, whole_row
@@ -34,7 +34,9 @@ TOTAL_SHARE = (3, 2)  # the mix has 150% of all words
 MOST_REPEATS = 2
 BLOCK_ROWS = 4096
 EPSILON = 1e-9
-ROW = ("doc_id", "source", "size", "tie", "tie2")
+# Rows that one equal row stands for at a time.
+NUMBERED = 10_000
+ROW = ("doc_id", "source", "size", "tie", "tie2", "nth")
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -135,7 +137,7 @@ def landing(size: np.ndarray, chance: np.ndarray, draws: np.ndarray) -> np.ndarr
 
 def balance(group: pd.DataFrame) -> pd.DataFrame:
     """One block: rows in a fixed order, a flight, and a landing where the block is the source's only one."""
-    group = group.sort_values(["doc_id", "size", "tie", "tie2"], na_position="first").reset_index(drop=True)
+    group = group.sort_values(["doc_id", "size", "tie", "tie2", "nth"], na_position="first").reset_index(drop=True)
     key = f"{group['rank'][0]}/{group['block'][0]}/{group['round'][0]}"
     draws = np.random.default_rng(zlib.crc32(key.encode())).random((3, len(group)))
     size = group["size"].to_numpy(np.int64)
@@ -156,16 +158,17 @@ def mixed(docs: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
             F.lit(0).cast("long").alias("tie2"),
         )
     )
-    return drawn(rows.drop("text"), block_rows).drop("tie", "tie2")
+    return drawn(rows.drop("text"), block_rows).drop("tie", "tie2", "nth")
 
 
 def resampled(docs: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, with their own columns, whatever these are called.
 
-    Rows that agree in every column can't be told apart, nor need to be: they are one row with all their draws, so no
-    number of equal rows makes a hot key.
+    Rows that agree in every column can't be told apart, nor need to be: each is drawn for, and their draws are added up on
+    one of them. Columns of any type are told apart, maps by their JSON.
     """
-    whole = docs.select(whole_row(docs)).select("row", F.xxhash64("row").alias("tie"), F.xxhash64(F.lit(1), F.col("row")).alias("tie2"))
+    named = docs.select(whole_row(docs), comparable(docs).alias("told"))
+    whole = named.select("row", F.xxhash64("told").alias("tie"), F.xxhash64(F.lit(1), F.col("told")).alias("tie2"))
     rows = whole.select(
         F.col("row.doc_id").cast("long").alias("doc_id"),
         F.col("row.text").cast("string").alias("text"),
@@ -183,10 +186,27 @@ def resampled(docs: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     )
 
 
+def comparable(docs: DataFrame) -> Column:
+    """All columns as one that can be hashed: those that hold a map as JSON text."""
+    columns = [F.col("`" + f.name.replace("`", "``") + "`") for f in docs.schema.fields]
+    held = ["map<" in f.dataType.simpleString() for f in docs.schema.fields]
+    return F.struct(*(F.to_json(F.struct(c.alias("held"))) if m else c for c, m in zip(columns, held, strict=True)))
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """The rows, equal ones told apart by ``nth`` from 0, so that any number of them is dealt into many blocks."""
+    counted = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("times"))
+    # In two steps, as one row may stand for very many.
+    starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1, F.lit(NUMBERED).cast("long")))
+    parts = counted.select(*rows.columns, "times", starts.alias("from"))
+    last = F.least(F.col("times"), F.col("from") + NUMBERED) - 1
+    return parts.select(*rows.columns, F.explode(F.sequence("from", last)).alias("nth"))
+
+
 def drawn(rows: DataFrame, block_rows: int) -> DataFrame:
     """The mix of ``rows(doc_id, source, size, tie, tie2)``; the ties order rows of one id."""
     prepared(rows.sparkSession)
-    rows = stored(rows, "sizes")
+    rows = stored(numbered(rows), "sizes")
     plan = stored(targets(rows), "targets")
     joined = rows.withColumn("named", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
     plan = plan.withColumn("named", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))).drop("source")
@@ -202,13 +222,15 @@ def drawn(rows: DataFrame, block_rows: int) -> DataFrame:
     )
     counts = plan.select("rank", F.col("n_docs").alias("n"))
     undecided = (F.col("chance") > EPSILON) & (F.col("chance") < 1 - EPSILON)
+    # Copies of one row go round the blocks.
+    copy = F.pmod("nth", F.col("blocks"))
     parts = []
     for turn in range(64):
         blocks = F.greatest(F.ceil(F.col("n") / block_rows), F.lit(1)).cast("long")
         dealt = (
             waiting.join(counts, "rank")
             .withColumn("blocks", blocks)
-            .withColumn("block", F.pmod(F.xxhash64("doc_id", "size", "tie", "tie2", F.lit(turn)), F.col("blocks")))
+            .withColumn("block", F.pmod(F.pmod(F.xxhash64("doc_id", "size", "tie", "tie2", F.lit(turn)), F.col("blocks")) + copy, F.col("blocks")))
             .withColumn("round", F.lit(turn))
             .select(*schema.columns)
         )
