@@ -369,6 +369,11 @@ SELECT *, missing = 0 AND unexpected = 0 AS agrees FROM per_day""",
         "streamed_current": f"""WITH {_EVENTS}, {_vector('vec', _REFERENCE)}, {_latest('online', 'vec', ttl=2 * 86400)}
 SELECT user_id, window_end, computed_at, expires_at, {_ROUNDED} FROM online
 WHERE expires_at > (SELECT epoch(max(window_end) - INTERVAL '10 minutes') FROM vec)""",
+        "admitted_batches": """WITH c AS (SELECT count(*) AS n, count(*) // 6 + 1 AS most FROM events)
+SELECT b AS batch, CAST(least(most, n - b * most) AS BIGINT) AS n_rows FROM c, range(6) AS r(b) WHERE n > b * most""",
+        "keyed_activity": f"""WITH {_EVENTS}
+SELECT user_id, event_id, "timestamp", event_type FROM ev
+QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY "timestamp" DESC, event_id DESC, event_type DESC) = 1""",
         "check_consistency": f"""WITH {_EVENTS}, {_vector('a', _DENSE)}, {_vector('b', _SKEWED)},
 {_latest('served', 'b', f"window_end <= {_NOW} AND computed_at + 300 > {_NOW_EPOCH} - 172500")},
 offline AS (SELECT a.* FROM a JOIN served s USING (user_id, window_start)), {_compared('served')}, {_REPORT}

@@ -41,6 +41,7 @@ from windrow.plans import jobs
 from windrow.schema import FEATURES
 from windrow.session import configure, scratch_folder
 from windrow.sources.activity import as_events, read_activity, user_name
+from windrow.sources.bounded import committed_batches, last_by_key, read_bounded, read_committed, start_committed
 from windrow.sources.events import (
     dedup_events,
     encode_events,
@@ -328,6 +329,16 @@ def _store_queries() -> dict[str, Query]:
         query.awaitTermination()
         return rounded(_without_zone(online.read(NOW_EPOCH + 1)))
 
+    def admitted(s: SparkSession, d: str) -> DataFrame:
+        """How many events each trigger took of a stream that may take a sixth of them at once."""
+        return committed_batches(s, committed_activity(s, d)).select("batch", "n_rows")
+
+    def keyed(s: SparkSession, d: str) -> DataFrame:
+        """The last event of each user, as written by a stream batch by batch."""
+        rows = read_committed(s, committed_activity(s, d), ACTIVITY_COLUMNS)
+        last = last_by_key(rows, ["user_id"], ["timestamp", "event_id"])
+        return last.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
+
     def served(s: SparkSession, d: str) -> DataFrame:
         """All customers asked of a store, of whom some have used nothing so far."""
         store = OnlineStore(s, f"{scratch_folder(s)}/online", buckets=8)
@@ -395,6 +406,8 @@ def _store_queries() -> dict[str, Query]:
 
     return {
         "streamed_current": current,
+        "admitted_batches": admitted,
+        "keyed_activity": keyed,
         "history_at_version": lambda s, d: with_text_date(versions(s, d).read(as_of=100.0)),
         "history_as_of": lambda s, d: with_text_date(versions(s, d).read_for_training(as_of=250.0)),
         "history_compacted": compacted,
@@ -440,6 +453,22 @@ def activity_stream(s: SparkSession, d: str, root: str) -> DataFrame:
     return parse_events(read_event_stream(s, folder=f"{root}/events", max_files=files))
 
 
+ACTIVITY_COLUMNS = "event_id string, user_id string, timestamp timestamp, event_type string"
+
+
+def committed_activity(s: SparkSession, d: str) -> str:
+    """Folder of batches of the activity table, streamed from Parquet files a sixth at a time."""
+    root = scratch_folder(s)
+    events = read_activity(s, d).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    events.select("event_id", "user_id", "timestamp", "event_type").write.parquet(f"{root}/events")
+    sixth = s.read.parquet(f"{root}/events").count() // 6 + 1
+    stream = read_bounded(s, f"{root}/events", sixth, ACTIVITY_COLUMNS)
+    query = start_committed(stream, f"{root}/committed", f"{root}/checkpoint")
+    query.processAllAvailable()
+    query.stop()
+    return f"{root}/committed"
+
+
 def _without_zone(frame: DataFrame) -> DataFrame:
     return frame.select(*[F.col(c).cast("timestamp_ntz").alias(c) if t == "timestamp" else c for c, t in frame.dtypes])
 
