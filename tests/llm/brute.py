@@ -151,3 +151,19 @@ def groups(prints, radius=2):
                 x, y = sorted((top(a), top(b)))
                 head[y] = x
     return {d: top(d) for d in ids}
+
+
+def word_shingles(text, size):
+    words = BLANK.findall((text or "").translate(LOWER))
+    return {tuple(words[i : i + size]) for i in range(max(len(words) - size, 0) + 1)} if words else set()
+
+
+def similarities(shingles):
+    """Similarity of all pairs of documents that share a shingle, smaller id first."""
+    holders, shared = defaultdict(list), Counter()
+    for doc in sorted(shingles):
+        for s in shingles[doc]:
+            holders[s].append(doc)
+    for docs in holders.values():
+        shared.update((a, b) for i, a in enumerate(docs) for b in docs[i + 1 :])
+    return {(a, b): n / (len(shingles[a]) + len(shingles[b]) - n) for (a, b), n in shared.items()}

@@ -281,6 +281,19 @@ def test_copies_of_similar_texts(spark, most, monkeypatch):
     assert dropped == {100 * i + k for i in range(12) for k in range(1, 8)}
 
 
+def test_copies_of_supplied_documents(spark):
+    """Against all pairs of the supplied texts: hardly a copy at 0.8 stays, and nothing goes that is far below."""
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    shingles = {r.doc_id: brute.word_shingles(r.text, 5) for r in table.collect()}
+    like = brute.similarities(shingles)
+    copies = {b for (_, b), x in like.items() if x >= 0.8}
+    dropped = {r.doc_id for r in simhash.copies(table).collect()}
+    assert len(copies) > 50 and len(copies & dropped) >= 0.99 * len(copies)
+    blank = {d for d, s in shingles.items() if not s}
+    best = {d: max((x for (a, b), x in like.items() if d in (a, b)), default=0.0) for d in dropped - copies - blank}
+    assert all(x > 0.6 for x in best.values()) and len(best) <= 0.1 * len(copies)
+
+
 def test_one_document_of_a_group_stays(spark, docs, no_docs):
     kept = simhash.without_copies(docs)
     assert kept.columns == docs.columns

@@ -295,21 +295,20 @@ def band_links(entries: DataFrame, radius: int, most: int = SHARD_ROWS) -> DataF
 
     They hold the same components together whatever ``most`` is, the entries of a shard from which on it is cut.
     """
-    rows = entries.select("fingerprint", "node", F.explode("bands").alias("shard"))
+    rows = entries.select("node", F.explode("bands").alias("shard"))
+    prints = entries.select("node", "fingerprint")
+    # Most bands hold one entry. Numbers alone tell which hold more, and fingerprints go only to these.
     # One entry of a shard, by a draw of its own in each shard, is the pivot.
-    draw = F.struct(F.xxhash64("node", "shard").alias("draw"), F.col("node"), F.col("fingerprint"))
-    counts = (
-        rows.groupBy("shard")
-        .agg(F.count(F.lit(1)).alias("n"), F.min(draw).alias("pivot"))
-        .filter(F.col("n") > 1)
-        .select("shard", "n", F.col("pivot.node").alias("pivot"), F.col("pivot.fingerprint").alias("pivot_print"))
-    )
-    held = stored(rows.join(counts, "shard"), "shards")
+    draw = F.xxhash64("node", "shard")
+    counts = rows.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.min_by("node", draw).alias("pivot")).filter("n > 1")
+    held = stored(rows.join(counts, "shard").join(prints, "node"), "shards")
     links = linked(held.filter(F.col("n") <= most), ["shard"], radius)
     large = held.filter(F.col("n") > most)
     if large.isEmpty():
         return links
-    measured = stored(distance_to("pivot_print")(large).withColumn("far", F.col("apart") > radius), "pivots")
+    pivots = large.filter(F.col("node") == F.col("pivot")).select("shard", F.col("fingerprint").alias("pivot_print"))
+    measured = distance_to("pivot_print")(large.join(pivots, "shard"))
+    measured = stored(measured.withColumn("far", F.col("apart") > radius), "pivots")
     at_pivot = measured.filter(~F.col("far")).select(F.col("node").alias("a"), F.col("pivot").alias("b"))
     return links.unionByName(at_pivot).unionByName(block_pair_links(measured, radius, most * BLOCK_ROWS // SHARD_ROWS))
 
