@@ -30,7 +30,7 @@ def checked(per_group: DataFrame, most: int = MOST_GROUPS) -> DataFrame:
     first = per_group.columns[0]
     many = F.count(F.lit(1)).over(Window.partitionBy()) > most
     message = F.lit(f"more than {most} groups; name fewer of them at a time")
-    return per_group.withColumn(first, F.when(many, F.raise_error(message).cast("string")).otherwise(F.col(first)))
+    return per_group.withColumn(first, F.when(many, F.raise_error(message).cast(per_group.schema[first].dataType)).otherwise(F.col(first)))
 
 
 def value_cuts(counted: DataFrame, group: str = "feature_name", value: str = "value") -> DataFrame:

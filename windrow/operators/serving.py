@@ -92,10 +92,10 @@ def _with_quantiles(
 ) -> DataFrame:
     """Quantiles of all ``rows`` beside the one row of counts.
 
-    The group's name is made from the value, as joins on a literal would lose their key; the two rows meet in an
-    aggregation.
+    The group is false for every row that is left, but made from the value, as joins on a literal would lose their key;
+    the two rows meet in an aggregation.
     """
-    one_group = F.substring(F.col(value).cast("string"), 1, 0).alias("_group")
+    one_group = F.col(value).isNull().alias("_group")
     values = rows.filter(F.col(value).isNotNull()).select(one_group, value)
     ranks = wide_quantiles(values, names, "_group", value, approximate).select(*names)
     both = one_row.unionByName(ranks, allowMissingColumns=True)
