@@ -31,6 +31,13 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def second_vocabulary() -> fertility.RankFile:
+    """The public vocabulary for many languages, as a file of ranks."""
+    import public_tokenizers
+
+    return fertility.RankFile(tokenizer_file("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -40,7 +47,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fertility.measure(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+    """Counts, measures under two vocabularies and verdicts, by floors fitted to the documents labelled as good."""
+    docs, first, second = table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), second_vocabulary()
+    floors = fertility.fitted_floors(docs, table(spark, sf_dir, "labels"), first, second)
+    return fertility.measure(docs, first, second=second, floors=floors)
 
 
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
