@@ -697,4 +697,11 @@ def all_sql() -> dict[str, str]:
         _feature_sql, _source_sql, _store_sql, _user_sql, _drift_sql, _consistency_sql, _serving_sql, _diagnosis_sql,
     ):
         found.update(group())
+    # Another way to the same rows.
+    for name, same in (
+        ("refresh_by_function", "refresh_features"),
+        ("bucketed_deviation", "relative_deviation"),
+        ("bucketed_lookup", "serve_features"),
+    ):
+        found[name] = found[same]
     return found

@@ -29,6 +29,7 @@ from windrow.operators import (
 from windrow.operators.asof import point_in_time
 from windrow.operators.cells import cells, fold_cells, session_cells
 from windrow.operators.samples import wide_to_long
+from windrow.operators.table_function import vector_by_function
 from windrow.operators.vector import (
     DENSE_WIDTHS,
     REFERENCE_WIDTHS,
@@ -41,6 +42,7 @@ from windrow.plans import jobs
 from windrow.schema import FEATURES
 from windrow.session import configure, scratch_folder
 from windrow.sources.activity import as_events, read_activity, user_name
+from windrow.sources.bucketed import BucketedTable
 from windrow.sources.bounded import committed_batches, last_by_key, read_bounded, read_committed, start_committed
 from windrow.sources.events import (
     dedup_events,
@@ -381,15 +383,23 @@ def _store_queries() -> dict[str, Query]:
         found = jobs.verify_backfill(history, events, "2024-01-10 00:00:00", "2024-01-17 00:00:00")
         return found.withColumn("event_date", F.col("event_date").cast("string"))
 
-    def refreshed(s: SparkSession, d: str) -> DataFrame:
+    def refreshed(s: SparkSession, d: str, compute: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
         """Users whose vectors expire within a day of the split have them recomputed over the whole month."""
         store = OnlineStore(s, f"{scratch_folder(s)}/online", buckets=8)
         everything = vectors(s, d, REFERENCE_WIDTHS)
         store.write(everything.filter(F.col("window_start") < bound(SPLIT)), ONLINE_TTL)
         chosen = serving.find_stale(store.read_all(), SPLIT_EPOCH, 86400)
-        jobs.refresh_features(store, chosen, lambda users: everything.join(users, "user_id", "left_semi"))
+        jobs.refresh_features(store, chosen, compute or (lambda users: everything.join(users, "user_id", "left_semi")))
         return rounded(store.read_all())
 
+    def by_function(s: SparkSession, d: str) -> DataFrame:
+        """The same, recomputed by the table function over the cells of these users."""
+
+        def compute(users: DataFrame) -> DataFrame:
+            return vector_by_function(cells(read_activity(s, d).join(users, "user_id", "left_semi")))
+
+        return refreshed(s, d, compute)
+
     def current(s: SparkSession, d: str) -> DataFrame:
         """Vectors replayed by time into keyed state that expires by itself; the query is stopped and goes on half-way."""
         root = scratch_folder(s)
@@ -421,6 +431,7 @@ def _store_queries() -> dict[str, Query]:
         "recent_diagnoses": diagnosed,
         "verify_backfill": verified,
         "refresh_features": refreshed,
+        "refresh_by_function": by_function,
     }
 
 
@@ -469,6 +480,14 @@ def committed_activity(s: SparkSession, d: str) -> str:
     return f"{root}/committed"
 
 
+def bucketed(s: SparkSession, name: str, rows: DataFrame) -> DataFrame:
+    """The rows written in buckets by user and read back."""
+    root = scratch_folder(s)
+    table = BucketedTable(s, f"{name}_{root.rsplit('-', 1)[1]}", f"{root}/{name}", buckets=8)
+    table.write(rows)
+    return table.read()
+
+
 def _without_zone(frame: DataFrame) -> DataFrame:
     return frame.select(*[F.col(c).cast("timestamp_ntz").alias(c) if t == "timestamp" else c for c, t in frame.dtypes])
 
@@ -571,6 +590,11 @@ def _consistency_queries() -> dict[str, Query]:
         online = online_rows(s, d, SKEWED_WIDTHS)
         return rounded(consistency.deviations(latest.latest_per_user(vectors(s, d)), online))
 
+    def bucketed_per_user(s: SparkSession, d: str) -> DataFrame:
+        """Two stores of a row per user that meet bucket by bucket."""
+        offline = bucketed(s, "offline", latest.latest_per_user(vectors(s, d)))
+        return rounded(consistency.deviations(offline, bucketed(s, "online", online_rows(s, d, SKEWED_WIDTHS))))
+
     def alert(s: SparkSession, d: str) -> DataFrame:
         sent = consistency.alerts(skew_report(s, d), F.lit(NOW_EPOCH))
         value = """
@@ -581,6 +605,7 @@ def _consistency_queries() -> dict[str, Query]:
 
     return {
         "relative_deviation": per_user,
+        "bucketed_deviation": bucketed_per_user,
         "consistency": lambda s, d: rounded(skew_report(s, d)),
         "consistency_healthy": lambda s, d: rounded(skew_report(s, d, DENSE_WIDTHS)),
         "skew_severity": lambda s, d: consistency.classify_skew(skew_report(s, d)).select("inconsistency_rate", "severity"),
@@ -594,6 +619,11 @@ def _serving_queries() -> dict[str, Query]:
         customer = s.read.parquet(f"{d}/customer.parquet")
         return customer.select(user_name("c_custkey").alias("user_id"))
 
+    def bucketed_lookup(s: SparkSession, d: str) -> DataFrame:
+        """All customers looked up in a table of current values, both in buckets by user."""
+        asked, current = bucketed(s, "asked", users(s, d)), bucketed(s, "current", online_rows(s, d))
+        return rounded(serving.serve_features(current, asked, NOW_EPOCH))
+
     def ages(s: SparkSession, d: str) -> DataFrame:
         return serving.freshness(online_rows(s, d), NOW_EPOCH)
 
@@ -613,6 +643,7 @@ def _serving_queries() -> dict[str, Query]:
 
     return {
         "serve_features": lambda s, d: rounded(serving.serve_features(online_rows(s, d), users(s, d), NOW_EPOCH)),
+        "bucketed_lookup": bucketed_lookup,
         "serve_requested_features": lambda s, d: rounded(
             serving.serve_features(
                 online_rows(s, d), users(s, d), NOW_EPOCH, ["avg_spend_1h", "anomaly_score", "unknown"], False
