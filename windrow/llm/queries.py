@@ -47,10 +47,9 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts, measures under two vocabularies and verdicts, by floors fitted to the documents labelled as good."""
+    """Counts, measures under two vocabularies and verdicts, by floors fitted to all documents labelled as good."""
     docs, first, second = table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), second_vocabulary()
-    floors = fertility.fitted_floors(docs, table(spark, sf_dir, "labels"), first, second)
-    return fertility.measure(docs, first, second=second, floors=floors)
+    return fertility.measure(docs, first, second=second, labels=table(spark, sf_dir, "labels"))
 
 
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
