@@ -6,6 +6,7 @@ stage's operator says; columns besides those of ``documents`` stay on the rows u
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,11 +15,20 @@ from windrow.llm.common import stored
 from windrow.llm.queries import second_vocabulary, table, tokenizer_file
 
 
+def labels_if_any(spark: SparkSession, sf_dir: str) -> DataFrame | None:
+    """The labels of the documents; a corpus may come without."""
+    try:
+        return table(spark, sf_dir, "labels")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and the fertility bands of their language, with floors fitted to labelled ones."""
+    """Documents that pass the base rules and the fertility bands of their language, with floors fitted to all labelled ones."""
     first, second = tokenizer_file("piece_bpe_32k.model"), second_vocabulary()
-    floors = fertility.fitted_floors(docs, table(spark, sf_dir, "labels"), first, second)
-    return fertility.passed(docs, first, second=second, floors=floors)
+    return fertility.passed(docs, first, second=second, labels=labels_if_any(spark, sf_dir))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
