@@ -162,6 +162,17 @@ def test_exact_p_of_large_samples(spark):
         assert p == pytest.approx(series, rel=0.03)
 
 
+def test_exact_p_of_a_million_values(spark):
+    """Some ten billion steps of lattice: near the series where p matters, and nothing to walk where it is surely 0."""
+    cases = [(500_000, 480_000, 0.002), (500_000, 480_000, 0.001), (3_000_000, 2_000_000, 0.14), (40, 4_000_000, 0.9)]
+    rows = spark.createDataFrame(cases, "n long, m long, d double").coalesce(1)
+    found = [r[0] for r in rows.select(p_value("n", "m", "d", "exact")).collect()]
+    for (n, m, d), p in zip(cases[:2], found, strict=False):
+        x = d * math.sqrt(n * m / (n + m))
+        assert p == pytest.approx(2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * x * x) for k in range(1, 100)), rel=0.01)
+    assert found[2:] == [0.0, 0.0]
+
+
 def test_exact_ks_over_samples(spark):
     rows = [("f", side, float(i + (side == "current") * 30)) for i in range(300) for side in ("baseline", "current")]
     found = ks_2samp(spark.createDataFrame(rows, "feature_name string, side string, value double"), method="exact").first()
