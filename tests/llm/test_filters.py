@@ -267,6 +267,25 @@ def test_language_of_odd_documents(spark, docs, no_docs):
     assert [(r.lang_pred, r.score) for r in language.identify(silent).collect()] == [("und", 0.0)]
 
 
+def test_limits_of_all_training_texts(spark):
+    """Every training text counts for the limit of its language, by exact rank."""
+    bits = [float((i * 7919) % 25_013) for i in range(25_013)]
+    rows = [("en", "en", b) for b in bits] + [("de", "de", b) for b in (3.0, 1.0, 2.0)] + [("de", "en", 9e9), (None, "en", 9e9)]
+    found = spark.createDataFrame(rows, "lang string, lang_pred string, bits_per_char double")
+    assert language.accepted_bits(found) == {"en": float(math.ceil(0.999 * 25_013) - 1), "de": 3.0}
+    assert language.accepted_bits(found.limit(0)) == {}
+
+
+def test_accepted_documents(spark):
+    """Of thousands of texts of a language, one in a thousand costs more than its limit: no more, and no fewer."""
+    text = "concat_ws(' ', transform(sequence(1, 8), i -> substring(md5(concat(id, ' ', i)), 1, 5)))"
+    docs = spark.range(4500).selectExpr("id AS doc_id", f"{text} AS text", "'en' AS lang")
+    found = language.identify(docs).cache()
+    training = found.filter("not held_out")
+    n = training.count()
+    assert n > 2500 and training.filter("not accepted").count() == n - math.ceil(0.999 * n)
+
+
 def kneser_ney(texts, order):
     """Probability of the last character of any run, as the definition has it."""
     grams = [Counter() for _ in range(order + 1)]

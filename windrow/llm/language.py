@@ -13,7 +13,8 @@ shared folder; a task reads one after the other for each of its slices, or holds
 one, so neither the driver nor a task ever holds a larger model.
 
 A text's language is the one whose model spends the fewest bits per character on it. Texts that cost more bits than
-nearly all training texts of that language, by a bounded sample, are marked as not accepted.
+nearly all training texts of that language are marked as not accepted; all texts are scored once, and the limits come from
+the training ones among them.
 
 Defined results: null texts and texts without letters are ``und`` with score 0. Rows without language or text train
 nothing; rows without ``doc_id`` count as training rows. Equal costs go to the first language by name. Repeated
@@ -31,7 +32,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from windrow.llm.common import column, prepared, schema_with, scratch, slices, stored
@@ -40,7 +41,6 @@ ORDER = 5
 # Orders whose runs are dealt by one character, and those above by two.
 LOW, HIGH = (1, 2), (3, 4, 5)
 PART_RUNS = 1_500_000
-CALIBRATION_ROWS = 2000  # per language, at most about so many
 ACCEPTED_SHARE = 0.999
 UNKNOWN = "und"
 BLANK = 0x20
@@ -441,19 +441,36 @@ def scored(docs: DataFrame, model: Parts, most_bits: dict[str, float] | None = N
     return docs.mapInArrow(run, schema_with(carried, found))
 
 
+def trained(training: DataFrame) -> Parts:
+    """Models of ``training(doc_id, text, lang)``."""
+    counts = stored(run_counts(training), "runs")
+    return Parts.of(stored(probabilities(counts), "model"))
+
+
+def accepted_bits(found: DataFrame) -> dict[str, float]:
+    """The bits per character that ``ACCEPTED_SHARE`` of each language's texts stay within, by exact rank.
+
+    Of ``found(lang, lang_pred, bits_per_char)``, texts predicted as what they are count. A sketch tells which ones are
+    among the highest, twice as many as lie above the limit, and only these are ranked.
+    """
+    own = found.filter(F.col("lang") == F.col("lang_pred")).select("lang", "bits_per_char")
+    low = F.percentile_approx("bits_per_char", 2 * ACCEPTED_SHARE - 1)
+    n = F.count(F.lit(1))
+    sizes = own.groupBy("lang").agg(low.alias("low"), (n - F.ceil(F.lit(ACCEPTED_SHARE) * n) + 1).alias("from_top"))
+    high = own.join(F.broadcast(sizes), "lang").filter(F.col("bits_per_char") >= F.col("low"))
+    high = high.groupBy("lang", "from_top", "bits_per_char").agg(F.count(F.lit(1)).alias("n"))
+    down = F.sum("n").over(Window.partitionBy("lang").orderBy(F.desc("bits_per_char")))
+    reached = high.withColumn("down", down).filter(F.col("down") >= F.col("from_top"))
+    return {r.lang: r.bits for r in reached.groupBy("lang").agg(F.max("bits_per_char").alias("bits")).collect()}
+
+
 def fit(training: DataFrame) -> tuple[Parts, dict[str, float]]:
     """Models of ``training(doc_id, text, lang)``, and the most bits per character that each language accepts."""
-    counts = stored(run_counts(training), "runs")
-    models = Parts.of(stored(probabilities(counts), "model"))
+    models = trained(training)
     if not models.langs:
         return models, {}
     rows = training.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, CALIBRATION_ROWS / n)))])
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1_000_000
-    own = scored(rows.filter(draw < share[F.col("lang")]), models).filter(F.col("lang") == F.col("lang_pred"))
-    limits = own.groupBy("lang").agg(F.percentile_approx("bits_per_char", ACCEPTED_SHARE).alias("bits")).collect()
-    return models, {r.lang: r.bits for r in limits}
+    return models, accepted_bits(stored(scored(rows, models).drop("doc_id"), "scored"))
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -462,5 +479,10 @@ def identify(docs: DataFrame) -> DataFrame:
     rows = docs.select(
         F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string")
     ).withColumn("held_out", held_out(F.col("doc_id")))
-    models, limits = fit(rows.filter(~F.col("held_out")).select("doc_id", "text", "lang"))
-    return scored(rows.select("doc_id", "held_out", "text"), models, limits)
+    models = trained(rows.filter(~F.col("held_out")).select("doc_id", "text", "lang"))
+    found = stored(scored(rows.select("doc_id", "held_out", "lang", "text"), models), "scored")
+    limits = accepted_bits(found.filter(~F.col("held_out")))
+    known = F.col("lang_pred") != UNKNOWN
+    for lang, bits in sorted(limits.items()):
+        known = known & ((F.col("lang_pred") != lang) | (F.col("bits_per_char") <= bits))
+    return found.drop("lang").withColumn("accepted", known)
